@@ -32,10 +32,10 @@ def apportion(values: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
         return got
 
     def at(divisor: float) -> np.ndarray:
-        return np.minimum(caps, np.floor(values / divisor + 0.5).astype(np.int64))
+        return np.minimum(caps, np.floor(values / divisor + 0.5)).astype(np.int64)
 
     low, high = 0.0, 2.0 * float(values.max()) + 1.0  # too many seats (or just enough) .. none
-    for _ in range(200):
+    for _ in range(100):
         middle = (low + high) / 2
         if middle in (low, high):
             break

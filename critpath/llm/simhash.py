@@ -162,17 +162,17 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS, bucket
             .mapInArrow(run, "u long, v long")
         )
         found = part if found is None else found.unionByName(part)
-        masks = [r.mask for r in large.select("mask").distinct().collect()]  # masks, not keys: few
+        masks = [r.mask for r in large.select("mask").distinct().collect()]  # not keys: five times as many masks a level at most
         if not masks:
             return found
         finer = []
         for m in masks:
             taken = m & ((1 << 64) - 1)
             parts = _blocks([b for b in range(64) if not taken >> b & 1], radius + 1)
-            finer.append(F.when(F.col("mask") == m, F.array(*(F.lit(_signed(taken | p)) for p in parts))))
-        keyed = common.checkpointed(
-            keyed.join(large.select("mask", "key"), ["mask", "key"]).select("fp", "far", F.explode(F.coalesce(*finer)).alias("mask"))
-        )
+            finer += [(m, _signed(taken | p)) for p in parts]
+        finer = fps.sparkSession.createDataFrame(finer, "mask long, finer long")
+        keyed = keyed.join(large.select("mask", "key"), ["mask", "key"]).join(F.broadcast(finer), "mask")
+        keyed = common.checkpointed(keyed.select("fp", "far", F.col("finer").alias("mask")))
     raise RuntimeError("buckets did not get smaller")
 
 

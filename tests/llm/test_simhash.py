@@ -52,7 +52,7 @@ def test_links_connect_all_close_pairs(spark):
             fps.add(centre ^ sum({1 << int(b) for b in rng.integers(0, 62, int(rng.integers(1, 5)))}))
     fps = sorted(fps)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for limit in (20, 10_000):
+    for limit in (100, 10_000):
         roots = {r.node: r.root for r in components(simhash.links(df, bucket_rows=limit)).collect()}
         a = np.array(fps)
         close = np.bitwise_count(a[:, None] ^ a[None, :]) <= 4
