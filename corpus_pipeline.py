@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critpath.llm import common, mixing, simhash
+from critpath.llm import common, decontaminate, langid, mixing, simhash, toxicity
+from critpath.runtime import checkpointed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents whose language is rejected go; lang becomes the predicted one."""
+    kept = langid.predict(docs, langid.fit(docs, ~langid.held_out()), keep=tuple(COLUMNS)).where("not rejected")
+    return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents with a toxicity score at the threshold or above go."""
+    index = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, index, keep=tuple(COLUMNS)).where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays."""
     found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
@@ -17,13 +30,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that hold a window of the benchmark go."""
+    found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS))
+    return found.where("n_hit = 0").select(COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: how many words of each document the mix takes; documents of which it takes none go."""
     return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [
+    ("language", language),
+    ("non_toxic", non_toxic),
     ("near_dedup", near_dedup),
+    ("decontaminated", decontaminated),
     ("mix_sources", mix_sources),
 ]
 
@@ -33,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

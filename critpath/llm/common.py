@@ -6,7 +6,6 @@ array, and every step (lower-casing, word limits, hashes) is a pass over that ar
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from critpath.runtime import checkpointed, ship  # noqa: F401
+
 #: Bytes of text that a pass over one array takes at once; a longer text is a pass of its own.
 SLICE_BYTES = 2 << 20
 
@@ -38,6 +39,7 @@ BATCH_ROWS = 2000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,20 +49,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def prepare_checkpoints(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset a temporary one is used."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 

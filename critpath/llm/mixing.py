@@ -81,7 +81,7 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     repeats: int = 3,
     block_words: int = 16,
-    shard_words: int = 4 << 20,
+    shard_words: int = 1 << 20,
     seed: int = 20240611,
     max_sources: int = 100_000,
 ) -> DataFrame:
