@@ -10,6 +10,7 @@ from .decontaminate import op8_decontaminate
 from .html_extract import op5_html
 from .langid import op7_langid
 from .license_scan import op4_licenses
+from .lm_score import op3_ppm
 from .mixing import op1_mixing
 from .simhash import op10_simhash
 from .toxicity import op6_toxicity
@@ -18,6 +19,7 @@ from .url_filter import op2_urls
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_urls": op2_urls,
+    "op3_ppm": op3_ppm,
     "op4_licenses": op4_licenses,
     "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
