@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
 from .html_extract import op5_html
+from .images import op9_images
 from .langid import op7_langid
 from .license_scan import op4_licenses
 from .lm_score import op3_ppm
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_decontaminate": op8_decontaminate,
+    "op9_images": op9_images,
     "op10_simhash": op10_simhash,
 }
 
