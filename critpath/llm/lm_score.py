@@ -1,14 +1,15 @@
 """Operator 3: language-model scores by prediction by partial matching (PPM).
 
 A text is scored as its lower-cased words, joined by single blanks, and one end symbol. The
-model is a trie of byte contexts up to four symbols long, from all training texts. A symbol is
-looked for in the longest context seen; where it never followed, the model escapes (method C:
-as likely as the context has distinct followers) to the next shorter one, leaving out symbols that
+model is a trie of byte contexts up to five symbols long, from all training texts. A symbol is
+looked for in the longest context seen; where it never followed, the model escapes (method D:
+half a count of every distinct follower) to the next shorter one, leaving out symbols that
 the longer one would have given, down to a uniform choice of the symbols never seen.
 
-The trie is kept as counts of 5-grams of symbols, whose prefixes and suffixes give all shorter
-contexts. Grams with the same two symbols before the last are resolved together, so a task
-holds at most all (257^3) grams of one such pair, whatever the corpus. Resolved grams go to the
+The trie is kept as counts of 6-grams of symbols, whose prefixes and suffixes give all shorter
+contexts. Contexts up to two symbols go to every task (at most 257^3 counts, whatever the
+corpus). Longer ones are resolved together if they share the three symbols before the
+last, so a group holds at most the 257^3 grams of one such triple. Resolved grams go to the
 scoring tasks by a broadcast as long as they are at most `broadcast_grams`; beyond, every block of
 documents gets those it needs by a join.
 
@@ -22,6 +23,7 @@ that of an empty vocabulary.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 4
+ORDER = 5
 BITS = 9
 SYMBOLS = 257  # the end symbol is 0, a byte b is b + 1
 _LOW = (1 << BITS) - 1
@@ -62,12 +64,13 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def grams(s: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Each symbol with the ORDER before it in its text (ends, before its start), the nearest in the lowest bits but one."""
-    place = np.arange(len(s)) - np.repeat(limits[:-1], np.diff(limits))
     out = s.copy()
     for j in range(1, ORDER + 1):
         before = np.zeros(len(s), np.int64)
         before[j:] = s[:-j]
-        before[place < j] = 0
+        for i in range(j):  # not from the text before
+            at = limits[:-1] + i
+            before[at[at < limits[1:]]] = 0
         out |= before << (BITS * j)
     return out
 
@@ -78,7 +81,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.slots = np.zeros(1 << self.bits, np.int32)
         self.slots[self._slot(self.keys)] = np.arange(len(keys))
 
@@ -101,45 +104,59 @@ class Lookup:
         return out
 
 
-def resolve(g: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+class Low:
+    """Counts of one and two symbols' contexts, from those of three symbols in a row (packed, sorted)."""
+
+    def __init__(self, triples: np.ndarray, counts: np.ndarray):
+        self.triples, self.counts = triples, counts
+        prev, sym = (triples >> BITS) & _LOW, triples & _LOW
+        self.pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
+        np.add.at(self.pairs, (prev, sym), counts)
+        self.single = self.pairs.sum(0)
+        self.contexts, of = np.unique(triples >> BITS, return_inverse=True)
+        self.total = np.bincount(of, counts, len(self.contexts)).astype(np.int64)
+        self.followers = np.bincount(of, counts > 0, len(self.contexts)).astype(np.int64)
+        #: What one symbol's context counts for the followers of two.
+        self.given = np.bincount(of, np.where(counts > 0, self.pairs[prev, sym], 0), len(self.contexts)).astype(np.int64)
+        self.given_by_one = (self.pairs > 0) @ self.single
+
+
+def resolve(g: np.ndarray, n: np.ndarray, low: Low) -> np.ndarray:
     """log10 probability of the last symbol of each gram after the others.
 
-    g holds all grams that share their last three symbols' contexts with any of them; n their
-    training counts (0: only asked for); pairs the counts of one symbol after another.
+    g holds all grams whose three symbols before the last are those of any of them; n their training counts (0: only
+    asked for); low the shorter contexts, with all of g's.
     """
     sym, prev = g & _LOW, (g >> BITS) & _LOW
-    single = pairs.sum(0)
-    levels = []  # for orders 4, 3, 2, 1, 0: count, context's total, followers, and total of what the longer context gives
-    shorter: tuple | None = None
-    for k in (0, 1):  # dense
-        table = pairs if k else single[None, :]
-        row = prev if k else np.zeros(len(g), np.int64)
-        levels.append([table[row, sym], table.sum(1)[row], (table > 0).sum(1)[row], None])
-    levels[0][3] = ((pairs > 0) @ single)[prev]
-    for k in (2, 3, 4):
-        key = g & ((1 << (BITS * (k + 1))) - 1)
-        nodes, at = np.unique(key, return_inverse=True)
+    triple = np.searchsorted(low.triples, g & ((1 << 3 * BITS) - 1))
+    double = np.searchsorted(low.contexts, (g >> BITS) & ((1 << 2 * BITS) - 1))
+    # For orders 0, 1, 2, ...: count, the context's total and followers, and its total of what the next longer one gives.
+    levels = [
+        [low.single[sym], np.full(len(g), low.single.sum()), np.full(len(g), (low.single > 0).sum()), low.given_by_one[prev]],
+        [low.pairs[prev, sym], low.pairs.sum(1)[prev], (low.pairs > 0).sum(1)[prev], low.given[double]],
+        [low.counts[triple], low.total[double], low.followers[double], None],
+    ]
+    shorter = low.triples, low.counts
+    for k in range(3, ORDER + 1):
+        nodes, at = np.unique(g & ((1 << (BITS * (k + 1))) - 1), return_inverse=True)
         count = np.bincount(at, n, len(nodes)).astype(np.int64)
         contexts, of_node = np.unique(nodes >> BITS, return_inverse=True)
         total = np.bincount(of_node, count, len(contexts)).astype(np.int64)
         followers = np.bincount(of_node, count > 0, len(contexts)).astype(np.int64)
-        # What the next shorter context counts for the followers of this one:
-        below = pairs[(nodes >> BITS) & _LOW, nodes & _LOW] if k == 2 else shorter[1][np.searchsorted(shorter[0], nodes & ((1 << (BITS * k)) - 1))]
+        below = shorter[1][np.searchsorted(shorter[0], nodes & ((1 << (BITS * k)) - 1))]
         given = np.bincount(of_node, np.where(count > 0, below, 0), len(contexts)).astype(np.int64)
         levels[-1][3] = given[of_node[at]]
         levels.append([count[at], total[of_node[at]], followers[of_node[at]], None])
-        shorter = (nodes, count)
+        shorter = nodes, count
     log_p = np.zeros(len(g))
     open_ = np.ones(len(g), bool)
     longer = np.zeros(len(g), np.int64)  # followers of the longer context, 0 if it was never seen
     for count, total, followers, given in levels[::-1]:
         t = total - np.where(longer > 0, given, 0) if given is not None else total
-        u = followers - longer
         hit = open_ & (count > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log_p[hit] += np.log10(count[hit] / (t[hit] + u[hit]))
-            out = open_ & ~hit & (followers > 0) & (u > 0)
-            log_p[out] += np.log10(u[out] / (t[out] + u[out]))
+        log_p[hit] += np.log10((2 * count[hit] - 1) / (2 * t[hit]))
+        out = open_ & ~hit & (followers > longer)
+        log_p[out] += np.log10((followers - longer)[out] / (2 * t[out]))
         open_ &= ~hit
         longer = np.where(followers > 0, followers, longer)
     log_p[open_] -= np.log10(SYMBOLS - longer[open_])
@@ -160,38 +177,45 @@ def _counted(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndar
     return k[first], np.add.reduceat(w, first) if len(k) else w
 
 
-def count_block(texts, held: np.ndarray, with_grams: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams and words of a block's texts, with their counts in those that are learnt from (0: only elsewhere).
-
-    Without `with_grams` the words alone are counted.
-    """
-    parts: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
-    for i, j, s, limits, words, word_limits in _streams(texts):
-        for (keys, counts), values, lim in ((parts[0], grams(s, limits) if with_grams else s[:0], limits if with_grams else limits * 0), (parts[1], words, word_limits)):
+def count_block(streams, held: np.ndarray, kinds: tuple[str, ...] = ("grams", "words")) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams and words of a block's texts, with their counts in those that are learnt from (0: only elsewhere)."""
+    parts: dict[str, tuple[list, list]] = {k: ([], []) for k in kinds}
+    for i, j, s, limits, words, word_limits in streams:
+        for kind, (keys, counts) in parts.items():
+            values, lim = (grams(s, limits), limits) if kind == "grams" else (words, word_limits)
             learn = np.repeat(~held[i:j], np.diff(lim))
             k, n = np.unique(values[learn], return_counts=True)
             other = np.unique(values[~learn])
             keys += [k, other]
             counts += [n.astype(np.int64), np.zeros(len(other), np.int64)]
-    (g, gn), (w, wn) = (_counted(*p) for p in parts)
-    return g, gn, w, wn
+    return [_counted(*p) for p in parts.values()]
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as their differences, and counts, compressed."""
+    return zlib.compress(np.diff(keys, prepend=np.int64(0)).tobytes() + counts.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(packed), np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
-def _rows_of(packed: DataFrame, keys: str, counts: str) -> DataFrame:
+def _rows_of(packed: DataFrame, keys: str) -> DataFrame:
     """block, key, n: one row for each packed key."""
 
     def run(batches):
         for batch in batches:
-            for b, k, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                k, n = np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                k, n = _unpack(x.as_buffer())
                 for i in range(0, len(k), 100_000):
                     own = k[i : i + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b, np.int32)), pa.array(own), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
 
-    return packed.select("block", keys, counts).mapInArrow(run, "block int, key long, n long")
+    return packed.select("block", keys).mapInArrow(run, "block int, key long, n long")
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadcast_grams: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadcast_grams: int = 5_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_symbols for every row of docs(doc_id, text).
 
     Rows where held_out is true aren't learnt from. Texts are dealt into blocks of about
@@ -204,26 +228,23 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadc
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int"))
 
     def collect(t: pa.Table) -> pa.Table:
-        own = count_block(t.column("text"), t.column("held_out").to_numpy())
-        columns = {c: pa.array([a.tobytes()], pa.binary()) for c, a in zip(("grams", "gram_counts", "words", "word_counts"), own)}
-        return pa.table({"block": t.column("block").slice(0, 1), **columns})
+        own = count_block(_streams(t.column("text")), t.column("held_out").to_numpy())
+        return pa.table({"block": t.column("block").slice(0, 1), **{c: pa.array([_pack(*x)], pa.binary()) for c, x in zip(("grams", "words"), own)}})
 
-    packed = common.checkpointed(blocks.groupBy("block").applyInArrow(collect, "block int, grams binary, gram_counts binary, words binary, word_counts binary"))
-    gram_rows, word_rows = _rows_of(packed, "grams", "gram_counts"), _rows_of(packed, "words", "word_counts")
+    packed = common.checkpointed(blocks.groupBy("block").applyInArrow(collect, "block int, grams binary, words binary"))
+    gram_rows, word_rows = _rows_of(packed, "grams"), _rows_of(packed, "words")
 
     totals = common.checkpointed(gram_rows.groupBy("key").agg(F.sum("n").alias("n")))
-    pair = F.col("key").bitwiseAND((1 << 2 * BITS) - 1)
-    pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-    for r in totals.groupBy(pair.alias("p")).agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS^2 rows
-        pairs[r.p >> BITS, r.p & _LOW] = r.n
-    shared_pairs = spark.sparkContext.broadcast(pairs)
+    triple = F.col("key").bitwiseAND((1 << 3 * BITS) - 1)
+    rows = totals.groupBy(triple.alias("t")).agg(F.sum("n").alias("n")).orderBy("t").toArrow()  # at most SYMBOLS^3 rows
+    shared = spark.sparkContext.broadcast((rows.column("t").to_numpy(), rows.column("n").to_numpy()))
     n_grams = totals.count()
 
     def resolved(t: pa.Table) -> pa.Table:
         g = t.column("key").to_numpy()
-        return pa.table({"key": pa.array(g), "x": pa.array(resolve(g, t.column("n").to_numpy(), shared_pairs.value))})
+        return pa.table({"key": pa.array(g), "x": pa.array(resolve(g, t.column("n").to_numpy(), _once(shared, Low)))})
 
-    group = F.pmod(F.xxhash64(F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)), F.lit(n_grams // 200_000 + spark.sparkContext.defaultParallelism))
+    group = F.pmod(F.xxhash64(F.shiftright("key", BITS).bitwiseAND((1 << 3 * BITS) - 1)), F.lit(n_grams // 200_000 + spark.sparkContext.defaultParallelism))
     model = totals.select("key", "n", group.alias("g")).groupBy("g").applyInArrow(resolved, "key long, x double")
 
     known = common.checkpointed(word_rows.groupBy("key").agg(F.sum("n").alias("x")).where("x > 0"))
@@ -243,14 +264,16 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadc
         n = t.num_rows
         held = t.column("held_out").to_numpy()
         key, x, word = (told.column(c).to_numpy() for c in ("key", "x", "word"))
-        _, _, own_words, own_counts = count_block(t.column("text"), held, with_grams=False)
+        streams = [(i, j, s.astype(np.int16), *rest) for i, j, s, *rest in _streams(t.column("text"))]
+        ((own_words, own_counts),) = count_block(streams, held, ("words",))
         counts = own_counts.astype(np.float64)
         counts[np.searchsorted(own_words, key[word])] = x[word]
         words_of = Lookup(own_words, counts)
-        grams_of = _lookup(table) if table is not None else Lookup(key[~word], x[~word])
+        grams_of = _once(table, Lookup) if table is not None else Lookup(key[~word], x[~word])
         out = np.zeros((4, n))
         n_symbols = np.zeros(n, np.int64)
-        for i, j, s, limits, words, word_limits in _streams(t.column("text")):
+        for i, j, s, limits, words, word_limits in streams:
+            s = s.astype(np.int64)
             c = words_of.get(words, 0.0)
             for row, values, lim in ((1, c > 0, word_limits), (2, np.log10(c + 1) - base, word_limits), (3, grams_of.get(grams(s, limits), np.nan), limits)):
                 out[row, i:j] = np.add.reduceat(values, lim[:-1], dtype=np.float64)
@@ -274,14 +297,15 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadc
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
-_last: list = []
+_last: dict = {}
 
 
-def _lookup(table) -> Lookup:
-    """One table a worker."""
-    if not _last or _last[0] != table.value[0].__array_interface__["data"]:
-        _last[:] = [table.value[0].__array_interface__["data"], Lookup(*table.value)]
-    return _last[1]
+def _once(shared, build):
+    """One object a worker from what a broadcast holds."""
+    value = shared.value
+    if _last.get(build, (None,))[0] is not value:
+        _last[build] = value, build(*value)
+    return _last[build][1]
 
 
 def held_out() -> Column:
