@@ -48,7 +48,7 @@ def spanning_tree(undirected: DataFrame, strategy: str = "auto") -> DataFrame:
         a, b = label.withColumnsRenamed({"x": "u", "label": "lu"}), label.withColumnsRenamed({"x": "v", "label": "lv"})
         cross = edges.join(a, "u").join(b, "v").where("lu <> lv").select("lu", "lv", F.struct("w", "u", "v").alias("e"))
         ends = cross.select(F.col("lu").alias("l"), "e").unionByName(cross.select(F.col("lv").alias("l"), "e"))
-        chosen = checkpointed(ends.groupBy("l").agg(F.min("e").alias("e")).select("e").distinct().select("e.*"))
+        chosen = checkpointed(ends.groupBy("l").agg(F.min("e").alias("e")).select("e").distinct().select("e.u", "e.v", "e.w"))
         if chosen.isEmpty():
             return tree if tree is not None else edges.limit(0)
         tree = chosen if tree is None else tree.unionByName(chosen)
