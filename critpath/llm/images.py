@@ -17,11 +17,12 @@ null media never do; repeated rows are returned as often as they stand.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critpath.operators.components import components
@@ -108,18 +109,24 @@ def keypoints(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     return i, y, x, turn, bits.view(np.int64)
 
 
+POINTS = "array<struct<descriptor:bigint,place:int>>"
+#: A place packs octave, turn, y and x into 2, 4, 13 and 13 bits; larger images keep the corners in their first 8191 pixels each way.
+_SIDE = 1 << 13
+
+
 def describe(images: DataFrame, most: tuple[int, int] = (40, 12)) -> DataFrame:
-    """id, kp, x, y, octave, turn, descriptor of images(id, media): at most `most` keypoints at full and half size."""
+    """id, digest, points of images(id, media): at most `most` keypoints at full and half size, in one row an image."""
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
+                media = part.column(1).to_pylist()
                 by_size: dict[tuple, list] = {}
-                for at, media in enumerate(part.column(1)):
-                    if (p := decode(media.as_py())) is not None:
+                for at, m in enumerate(media):
+                    if (p := decode(m)) is not None:
                         by_size.setdefault(p.shape, []).append((at, p))
-                found = []
+                found = [(np.zeros(0, np.int64),) * 3]
                 for rows in by_size.values():
                     own, pixels = np.array([a for a, _ in rows]), np.stack([p for _, p in rows])
                     for octave in (0, 1):
@@ -127,36 +134,49 @@ def describe(images: DataFrame, most: tuple[int, int] = (40, 12)) -> DataFrame:
                             h, w = pixels.shape[1] // 2 * 2, pixels.shape[2] // 2 * 2
                             pixels = (pixels[:, :h:2, :w:2] + pixels[:, 1:h:2, :w:2] + pixels[:, :h:2, 1:w:2] + pixels[:, 1:h:2, 1:w:2]) / 4
                         i, y, x, turn, bits = keypoints(pixels, most[octave])
-                        found.append((own[i], x << octave, y << octave, np.full(len(i), octave), turn, bits))
-                cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 6
-                names = ["x", "y", "octave", "turn"]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(cols[0])), pa.array(np.arange(len(cols[0])), pa.int32()), *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5])],
-                    names=["id", "kp", *names, "descriptor"],
-                )
-
-    return images.select("id", "media").mapInArrow(run, "id long, kp int, x int, y int, octave int, turn int, descriptor long")
-
-
-def links(points: DataFrame, radius: int = 10, agree: int = 4, shift: int = 8, bucket_images: int = 200) -> DataFrame:
-    """u, v, n: linked images u < v and how many keypoints of u agree on one placement."""
-    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftright(F.shiftleft("descriptor", 32 * (1 - t)), 32).alias("key")) for t in (0, 1))))
-    rows = points.select("*", tables.alias("k")).select(*points.columns, "k.t", "k.key")
-    buckets = rows.groupBy("t", "key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    rows = rows.join(buckets, ["t", "key"])
-    small, large = rows.where(F.col("n") <= bucket_images), rows.where((F.col("n") > bucket_images) & (F.col("id") != F.col("lead")))
-    firsts = rows.where((F.col("n") <= bucket_images) | (F.col("id") == F.col("lead"))).select("t", "key", *(F.col(c).alias(f"a_{c}") for c in points.columns))
-    pairs = firsts.join(small.unionByName(large).drop("n", "lead"), ["t", "key"]).where("a_id < id")
+                        y, x = y << octave, x << octave
+                        fits = (y < _SIDE) & (x < _SIDE)
+                        place = ((octave * TURNS + turn) * _SIDE + y) * _SIDE + x
+                        found.append((own[i][fits], bits[fits], place[fits]))
+                image, bits, place = (np.concatenate(c) for c in zip(*found))
+                order = np.argsort(image, kind="stable")
+                limits = np.searchsorted(image[order], np.arange(part.num_rows + 1))
+                flat = pa.StructArray.from_arrays([pa.array(bits[order]), pa.array(place[order].astype(np.uint32).view(np.int32))], names=["descriptor", "place"])
+                points = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), flat)
+                digests = pa.array([None if m is None else hashlib.sha256(m).digest() for m in media], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, points], names=["id", "digest", "points"])
+
+    return images.select("id", "media").mapInArrow(run, f"id long, digest binary, points {POINTS}")
+
+
+def _part(place: Column, shift: int, size: int) -> Column:
+    return F.shiftrightunsigned(place, shift).bitwiseAND(size - 1)
+
+
+def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 8, bucket_images: int = 200) -> DataFrame:
+    """u, v, n: linked images u < v of described(id, points), and how many keypoints of u agree on one placement."""
+    points = described.select("id", F.inline("points"))
+    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftright(F.shiftleft("descriptor", 32 * (1 - t)), 32).cast("int").alias("key")) for t in (0, 1))))
+    rows = points.select("id", "descriptor", "place", tables.alias("k")).select("k.t", "k.key", "id", "descriptor", "place")
+    # Points of one image in a bucket count too, so this may take a bucket for large that isn't quite.
+    large = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > bucket_images).select("t", "key", "lead"))
+    firsts = rows
+    if not large.isEmpty():
+        firsts = rows.join(large, ["t", "key"], "left").where("lead is null or id = lead").drop("lead")
+    firsts = firsts.select("t", "key", *(F.col(c).alias(f"a_{c}") for c in ("id", "descriptor", "place")))
+    pairs = firsts.join(rows, ["t", "key"]).where("a_id < id")
     pairs = pairs.where(F.bit_count(F.col("a_descriptor").bitwiseXOR(F.col("descriptor"))) <= radius)
-    turn, step = F.pmod(F.col("turn") - F.col("a_turn"), F.lit(TURNS)), F.col("octave") - F.col("a_octave")
+    side = _SIDE.bit_length() - 1
+    of = lambda c: (_part(F.col(c), 0, _SIDE), _part(F.col(c), side, _SIDE), _part(F.col(c), 2 * side, TURNS), _part(F.col(c), 2 * side + 4, 4))
+    (ax, ay, a_turn, a_octave), (x, y, b_turn, b_octave) = of("a_place"), of("place")
+    turn, step = F.pmod(b_turn - a_turn, F.lit(TURNS)), b_octave - a_octave
     angle, scale = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), step)
-    dx = F.col("x") - scale * (F.cos(angle) * F.col("a_x") - F.sin(angle) * F.col("a_y"))
-    dy = F.col("y") - scale * (F.sin(angle) * F.col("a_x") + F.cos(angle) * F.col("a_y"))
+    dx = x - scale * (F.cos(angle) * ax - F.sin(angle) * ay)
+    dy = y - scale * (F.sin(angle) * ax + F.cos(angle) * ay)
+    votes = pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), F.col("a_place").alias("kp"), turn.alias("turn"), step.alias("step"), dx.alias("dx"), dy.alias("dy")).distinct()
     # A vote goes to overlapping cells, so that agreement isn't lost at their limits.
-    votes = pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), F.col("a_kp").alias("kp"), turn.alias("turn"), step.alias("step"), dx.alias("dx"), dy.alias("dy")).select(
-        "u", "v", "kp", "turn", "step", F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.floor((F.col("dx") + o % 2 * shift / 2) / shift).alias("cx"), F.floor((F.col("dy") + o // 2 * shift / 2) / shift).alias("cy")) for o in range(4)))).alias("c")
-    )
-    counted = votes.groupBy("u", "v", "turn", "step", "c").agg(F.countDistinct("kp").alias("n")).where(F.col("n") >= agree)
+    cells = [F.struct(F.lit(o).alias("o"), F.floor((F.col("dx") + o % 2 * shift / 2) / shift).alias("cx"), F.floor((F.col("dy") + o // 2 * shift / 2) / shift).alias("cy")) for o in range(4)]
+    counted = votes.select("u", "v", "kp", "turn", "step", F.explode(F.array(*cells)).alias("c")).groupBy("u", "v", "turn", "step", "c").agg(F.countDistinct("kp").alias("n")).where(F.col("n") >= agree)
     return counted.groupBy("u", "v").agg(F.max("n").alias("n"))
 
 
@@ -166,19 +186,18 @@ def copies(images: DataFrame, **how) -> DataFrame:
     class_id is the smallest id of identical media, component_id the smallest id among all its linked copies, and n_links
     counts links of its class.
     """
-    images = images.select("id", "media", F.sha2("media", 256).alias("digest"))
-    digests = images.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"))
-    ids = common.checkpointed(images.select("id", "digest").join(digests, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id")))
-    classes = ids.select("class_id").distinct().withColumnRenamed("class_id", "id")
-    first = images.where("media is not null").join(classes, "id", "left_semi").dropDuplicates(["id"])
-    points = common.checkpointed(describe(first))
-    found = common.checkpointed(links(points, **how))
-    n_points = points.groupBy(F.col("id").alias("class_id")).agg(F.count("*").alias("n_keypoints"))
+    described = common.checkpointed(describe(images))
+    digests = described.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"))
+    ids = common.checkpointed(
+        described.select("id", "digest", F.size("points").alias("n_keypoints")).join(digests, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("n_keypoints").cast("long").alias("n_keypoints"))
+    )
+    classes = ids.select(F.col("class_id").alias("id")).distinct()
+    first = described.where("size(points) > 0").join(classes, "id", "left_semi").dropDuplicates(["id"])
+    found = common.checkpointed(links(first, **how))
     n_links = found.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     roots = components(found).select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
-    out = ids.join(roots, "class_id", "left").join(n_points, "class_id", "left").join(n_links, "class_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), zero("n_keypoints"), zero("n_links"))
+    out = ids.join(roots, "class_id", "left").join(n_links, "class_id", "left")
+    return out.select("id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_keypoints", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def rendered(vectors: DataFrame, size: int = 64, seed: int = 12) -> DataFrame:
