@@ -39,10 +39,10 @@ def relax(long: DataFrame, start: DataFrame, od: DataFrame | None = None, meet:
     only the nearest bucket of that width is expanded.
     """
     edges = long.select("cri", F.col("src").alias("v"), "dst", "w").repartition("cri", "v").persist(StorageLevel.MEMORY_AND_DISK)
-    state = checkpointed(start.groupBy(*KEY).agg(F.min("d").alias("d")).withColumn("open", F.lit(True)))
+    state = checkpointed(start.groupBy(*KEY).agg(F.min("d").alias("d")).withColumns({"open": F.lit(True), "done": F.lit(False)}))
     try:
         for _ in range(max_rounds):
-            ready = state.where("open")
+            ready = state.where("open").drop("done")
             if od is not None:
                 if meet:
                     ends = state.groupBy("query_id", "cri", "v").agg(F.min(F.when(F.col("side") == 0, F.col("d"))).alias("a"), F.min(F.when(F.col("side") == 1, F.col("d"))).alias("b"))
@@ -54,20 +54,19 @@ def relax(long: DataFrame, start: DataFrame, od: DataFrame | None = None, meet:
             if width is not None:
                 near = ready.groupBy("query_id", "cri").agg(F.min(F.expr(f"d div {width}")).alias("near"))
                 ready = ready.join(near, ["query_id", "cri"]).where(f"d div {width} <= near").drop("near")
-            ready = checkpointed(ready)
-            if ready.isEmpty():
-                return state.drop("open")
             reached = ready.join(edges, ["cri", "v"]).select("query_id", "cri", "side", F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("d"))
             marked = (
-                state.withColumn("was", F.col("d"))
+                state.drop("done").withColumn("was", F.col("d"))
                 .unionByName(ready.withColumn("was", F.lit(None).cast("long")).withColumn("done", F.lit(True)), allowMissingColumns=True)
                 .unionByName(reached, allowMissingColumns=True)
             )
             state = checkpointed(
                 marked.groupBy(*KEY)
                 .agg(F.min("d").alias("d"), F.min("was").alias("was"), F.bool_or(F.coalesce("done", F.lit(False))).alias("done"), F.bool_or(F.coalesce("open", F.lit(False))).alias("o"))
-                .select(*KEY, "d", (F.col("was").isNull() | (F.col("d") < F.col("was")) | (F.col("o") & ~F.col("done"))).alias("open"))
+                .select(*KEY, "d", (F.col("was").isNull() | (F.col("d") < F.col("was")) | (F.col("o") & ~F.col("done"))).alias("open"), "done")
             )
+            if state.where("done").isEmpty():  # nothing was left to expand
+                return state.drop("open", "done")
     finally:
         edges.unpersist()
     raise RuntimeError("the search did not settle")
