@@ -6,8 +6,8 @@ descriptor. Descriptors are joined through two Hamming tables, of 32 bits each;
 within `radius` bits vote for a rotation, scale step and shift, and two images are
 linked if enough keypoints agree on one. Classes are the connected components of links.
 
-Identical images are one class before any of that. In a bucket of more than `bucket_images`
-different images each is compared with the bucket's smallest id only, so no bucket emits
+Identical images are one class before any of that. In a bucket of more than `bucket_images` points of
+different images each is compared with the smallest id there only, so no bucket emits
 all its pairs.
 
 Media are binary PGM (P5) or PPM (P6) files of 8 bits. Defined results: null, empty or unreadable media and
@@ -153,7 +153,7 @@ def _part(place: Column, shift: int, size: int) -> Column:
     return F.shiftrightunsigned(place, shift).bitwiseAND(size - 1)
 
 
-def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 8, bucket_images: int = 200) -> DataFrame:
+def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 8, bucket_images: int = 16) -> DataFrame:
     """u, v, n: linked images u < v of described(id, points), and how many keypoints of u agree on one placement."""
     points = described.select("id", F.inline("points"))
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftright(F.shiftleft("descriptor", 32 * (1 - t)), 32).cast("int").alias("key")) for t in (0, 1))))
