@@ -15,8 +15,6 @@ without text or language are not learnt from; without anything to learn from all
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +23,6 @@ from pyspark.sql import functions as F
 from . import common
 
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -183,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                 letters = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offsets]) > 0
                 p = own.scores(data, offsets) if own else None
                 for d in range(j - i):
-                    has = letters[d] or (offsets[d + 1] > offsets[d] and _LETTER.search(data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace")))
+                    has = letters[d] or (offsets[d + 1] > offsets[d] and any(map(str.isalpha, data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace"))))
                     if not has or p is None:
                         pred.append(UND)
                         score.append(0.0)

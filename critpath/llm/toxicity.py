@@ -47,7 +47,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray
     return out, limits
 
 
-def informative(bags: list[dict], labels: np.ndarray, most: int, least_docs: int = 3, least_g: float = 15.0, least_lift: float = LEAST_LIFT) -> list[int]:
+def informative(bags: list[dict], labels: np.ndarray, most: int, least_docs: int = 3, least_g: float = 25.0, least_lift: float = LEAST_LIFT) -> list[int]:
     """Terms over-represented in label 1: at least `least_lift` times as common there, by a likelihood ratio of `least_g` or more."""
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     seen: dict[int, list[int]] = {}
