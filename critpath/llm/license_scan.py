@@ -200,4 +200,4 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates=TEMPLAT
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents"))
+    return scan(common.table(spark, sf_dir, "documents")).drop("blocks")

@@ -13,6 +13,7 @@ from .langid import op7_langid
 from .license_scan import op4_licenses
 from .lm_score import op3_ppm
 from .mixing import op1_mixing
+from .oracles import ORACLE_SQL  # noqa: F401
 from .simhash import op10_simhash
 from .toxicity import op6_toxicity
 from .url_filter import op2_urls
@@ -29,6 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_images": op9_images,
     "op10_simhash": op10_simhash,
 }
-
-#: DuckDB SQL by query name, where SQL can express it.
-ORACLE_SQL: dict[str, str] = {}
