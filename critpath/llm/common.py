@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from critpath.runtime import checkpointed, ship  # noqa: F401
 
 #: Bytes of text that a pass over one array takes at once; a longer text is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that end a word of the white-space kind: [^\x20\x09-\x0D]+
 _SPACE = np.zeros(256, bool)
@@ -96,13 +96,13 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        m = max(n, 2 * SLICE_BYTES)
+        m = max(n, SLICE_BYTES + 2)
         tables = []
         for base in (_P, _PINV):
             t = np.full(m, base, np.uint64)
             t[0] = 1
             tables.append(np.cumprod(t, dtype=np.uint64))
-        if n > 2 * SLICE_BYTES:  # a very long text: not kept
+        if n > SLICE_BYTES + 2:  # a very long text: not kept
             return tables
         _powers[:] = tables
     return _powers

@@ -79,8 +79,10 @@ class Lookup:
     """Values of sorted keys by a hash table of slots; a key that lost its slot is searched for."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+        if not (keys[1:] > keys[:-1]).all():
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values[order]
+        self.keys, self.values = keys, values
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.slots = np.zeros(1 << self.bits, np.int32)
         self.slots[self._slot(self.keys)] = np.arange(len(keys))
@@ -215,7 +217,7 @@ def _rows_of(packed: DataFrame, keys: str) -> DataFrame:
     return packed.select("block", keys).mapInArrow(run, "block int, key long, n long")
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadcast_grams: int = 5_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 10 << 20, broadcast_grams: int = 5_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_symbols for every row of docs(doc_id, text).
 
     Rows where held_out is true aren't learnt from. Texts are dealt into blocks of about
@@ -254,7 +256,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 12 << 20, broadc
     told = word_rows.join(known, "key").where("x <> n").select("block", "key", F.col("x").cast("double").alias("x"), F.lit(True).alias("word"))
     table = None
     if n_grams <= broadcast_grams:
-        rows = model.toArrow()
+        rows = model.orderBy("key").toArrow()
         table = spark.sparkContext.broadcast((rows.column("key").to_numpy(), rows.column("x").to_numpy().astype(np.float32)))
     else:
         told = told.unionByName(gram_rows.select("block", "key").join(model, "key").withColumn("word", F.lit(False)))
