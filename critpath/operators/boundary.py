@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critpath.operators import search
-from critpath.operators.kernels import Adjacency
+from critpath.operators.kernels import FAR, Adjacency
 from critpath.runtime import ship
 
 
@@ -47,13 +47,18 @@ def local_distances(long: DataFrame, partitions: DataFrame, starts: DataFrame, e
     asked = starts.select("pid", F.col("v").alias("src"), F.lit(0).alias("kind")).unionByName(ends.select("pid", F.col("v").alias("src"), F.lit(1).alias("kind"))).distinct()
 
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        goals = set(asked.src[asked.kind == 1].tolist())
+        starts, goals = (np.unique(asked.src[asked.kind == k].to_numpy(np.int64)) for k in (0, 1))
+        parts = [pd.DataFrame({"cri": np.zeros(0, np.int32), "s": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "dist": np.zeros(0, np.int64)})]
         for c, e in own.groupby("cri"):
             near = Adjacency(e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy())
-            for s in asked.src[asked.kind == 0].tolist():
-                rows += [(c, s, b, d) for b, d in near.distances([(s, 0)]).items() if b in goals and b != s]
-        out = pd.DataFrame(rows, columns=["cri", "s", "b", "dist"]).astype({"cri": np.int32, "s": np.int64, "b": np.int64, "dist": np.int64})
+            at, known = near.places(starts)
+            to, there = near.places(goals)
+            for i in range(0, int(known.sum()), 256):  # so many searches at once
+                s, place = starts[known][i : i + 256], at[known][i : i + 256]
+                best = near.distances(len(s), np.arange(len(s)), place, np.zeros(len(s), np.int64))[:, to[there]]
+                x, y = np.nonzero((best < FAR) & (s[:, None] != goals[there][None, :]))
+                parts.append(pd.DataFrame({"cri": np.full(len(x), c, np.int32), "s": s[x], "b": goals[there][y], "dist": best[x, y]}))
+        out = pd.concat(parts, ignore_index=True)
         out.insert(0, "pid", np.full(len(out), asked.pid.iloc[0] if len(asked) else -1, np.int32))
         return out
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable
 
 import numpy as np
 
 
+FAR = np.iinfo(np.int64).max // 4
+
+
 class Adjacency:
     """Neighbours of each vertex under one criterion, in compressed rows."""
 
@@ -15,39 +17,36 @@ class Adjacency:
         self.ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         a, b = at[: len(src)], at[len(src) :]
         order = np.argsort(a, kind="stable")
-        self.to, self.w = b[order].tolist(), w[order].tolist()
-        self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1)).tolist()
-        self.place = {int(v): i for i, v in enumerate(self.ids.tolist())}
-
-    def distances(self, seeds: Iterable[tuple[int, int]], target: int | None = None) -> dict[int, int]:
-        """Least distance of every vertex reached from (vertex, distance) seeds; stops once the target is settled."""
-        best: dict[int, int] = {}
-        outside: dict[int, int] = {}
-        queue: list[tuple[int, int]] = []
-        for v, d in seeds:
-            if (i := self.place.get(v)) is None:
-                outside[v] = min(d, outside.get(v, d))
-            elif d < best.get(i, d + 1):
-                best[i] = d
-                queue.append((d, i))
-        heapq.heapify(queue)
-        goal = self.place.get(target, -1)
-        settled: dict[int, int] = {}
-        to, w, start = self.to, self.w, self.start
-        while queue:
-            d, i = heapq.heappop(queue)
-            if i in settled:
-                continue
-            settled[i] = d
-            if i == goal:
-                break
-            for j in range(start[i], start[i + 1]):
-                n = d + w[j]
-                if n < best.get(to[j], n + 1):
-                    best[to[j]] = n
-                    heapq.heappush(queue, (n, to[j]))
-        ids = self.ids
-        return outside | {int(ids[i]): d for i, d in settled.items()}
+        self.to, self.w = b[order], np.asarray(w, np.int64)[order]
+        self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
+
+    def places(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of these vertices, and which of them exist."""
+        at = np.minimum(np.searchsorted(self.ids, v), max(0, len(self.ids) - 1))
+        return at, self.ids[at] == v if len(self.ids) else np.zeros(len(v), bool)
+
+    def distances(self, n: int, search: np.ndarray, place: np.ndarray, d: np.ndarray, goal: np.ndarray | None = None) -> np.ndarray:
+        """Least distances (a row for each of n searches; FAR: not reached) from seeds (search, place, d).
+
+        Labels that changed are expanded all at once until none does. With `goal`, a place for each search, labels as far as
+        that of the goal aren't expanded, and only the goal's distance is final.
+        """
+        size = len(self.ids)
+        best = np.full(n * size, FAR)
+        np.minimum.at(best, search * size + place, d)
+        front = np.unique(search * size + place)
+        while len(front):
+            v = front % size
+            count = self.start[v + 1] - self.start[v]
+            edge = np.repeat(self.start[v] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            reach, to = np.repeat(best[front], count) + self.w[edge], np.repeat(front - v, count) + self.to[edge]
+            better = reach < best[to]
+            if goal is not None:
+                better &= reach < np.repeat(best[front - v + goal[front // size]], count)
+            reach, to = reach[better], to[better]
+            np.minimum.at(best, to, reach)
+            front = np.unique(to)
+        return best.reshape(n, size)
 
 
 def spanning_tree(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list[tuple[int, int, int]]:

@@ -14,12 +14,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critpath.operators.kernels import Adjacency
+from critpath.operators.kernels import FAR, Adjacency
 from critpath.runtime import checkpointed, ship
 
 KEY = ["query_id", "cri", "side", "v"]
 #: Long edge rows up to which a graph is sent to every task.
-KERNEL_ROWS = 2_000_000
+KERNEL_ROWS = 6_000_000
 
 
 def seeds(od: DataFrame, criteria: int, both: bool = False) -> DataFrame:
@@ -134,19 +134,31 @@ def labels_kernel(long: DataFrame, start: DataFrame, limit: int = KERNEL_ROWS, t
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         c = int(own.cri.iloc[0])
-        if not _cache or _cache[0] != (id(graph.value), c):
-            _cache[:] = [(id(graph.value), c), graph.value.adjacency(c)]
-        t = int(own.t.iloc[0]) if targets else None
-        d = _cache[1].distances(zip(own.v.tolist(), own.d.tolist()), t)
+        if _cache.get("graph") is not graph.value:
+            _cache.clear()
+            _cache["graph"] = graph.value
+        if c not in _cache:
+            _cache[c] = graph.value.adjacency(c)
+        near: Adjacency = _cache[c]
+        v, d = own.v.to_numpy(np.int64), own.d.to_numpy(np.int64)
+        at, known = near.places(v)
+        apart = own[["v", "d"]][~known].groupby("v", as_index=False).d.min()  # a vertex without edges reaches itself
+        goal = None
         if targets:
-            d = {t: d[t]} if t in d else {}
-        n = len(d)
-        return pd.DataFrame({"query_id": np.full(n, own.query_id.iloc[0]), "cri": np.full(n, c, np.int32), "v": np.array([*d], np.int64), "d": np.array([*d.values()], np.int64)})
+            goal, found = near.places(own.t.to_numpy(np.int64)[:1])
+            apart = apart[apart.v == own.t.iloc[0]]
+            goal = goal if found.all() else None
+        best = near.distances(1, np.zeros(int(known.sum()), np.int64), at[known], d[known], goal)[0] if known.any() else np.zeros(0, np.int64)
+        seen = np.flatnonzero(best < FAR)
+        if targets:
+            seen = seen[near.ids[seen] == own.t.iloc[0]]
+        v, d = np.concatenate([near.ids[seen], apart.v.to_numpy(np.int64)]), np.concatenate([best[seen], apart.d.to_numpy(np.int64)])
+        return pd.DataFrame({"query_id": np.full(len(v), own.query_id.iloc[0]), "cri": np.full(len(v), c, np.int32), "v": v, "d": d})
 
     return start.groupBy("query_id", "cri").applyInPandas(run, "query_id long, cri int, v long, d long")
 
 
-_cache: list = []
+_cache: dict = {}
 
 
 def kernel(long: DataFrame, od: DataFrame, criteria: int, limit: int = KERNEL_ROWS) -> DataFrame:
