@@ -31,12 +31,12 @@ def random_pairs(edges: DataFrame, n_pairs: int, seed: int = 1) -> DataFrame:
     return rows.join(a, "ps").join(b, "pt").where("s <> t").select("query_id", "s", "t")
 
 
-def coverage_classes(labels: DataFrame, edges: DataFrame, vertex_table: DataFrame, first: int = 10, short_percent: int = 10, medium_percent: int = 40) -> DataFrame:
+def coverage_classes(labels: DataFrame, edges: DataFrame, vertex_table: DataFrame, first: int = 10, short_percent: int = 10, medium_percent: int = 40, most_sources: int = 1000) -> DataFrame:
     """s, v, qtype by the edges that a search from s has relaxed when it settles v.
 
     labels(s, v, d) hold the search's order (d, v). S: from `first` edges to short_percent of all, M: to
     medium_percent, L: vertices that the search never reaches before that. The
-    vertex that passes the last limit is in no class.
+    vertex that passes the last limit is in no class. Sources are a stated set of at most `most_sources`.
     """
     degree = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
     total = edges.agg(F.count("*").alias("total"))
@@ -46,7 +46,11 @@ def coverage_classes(labels: DataFrame, edges: DataFrame, vertex_table: DataFram
     qtype = F.when((F.col("cum") >= first) & part(short_percent) & (F.col("v") != F.col("s")), "S").when(part(medium_percent) & (F.col("cum") * 100 >= F.col("total") * short_percent), "M")
     seen = run.withColumn("before", F.col("cum") - F.col("degree")).where(F.col("before") * 100 < F.col("total") * medium_percent)
     near = seen.select("s", "v", qtype.alias("qtype")).where("qtype is not null")
-    far = labels.select("s").distinct().join(vertex_table.select("v")).join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit("L").alias("qtype"))
+    sources = [r.s for r in labels.select("s").distinct().limit(most_sources + 1).collect()]
+    if len(sources) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    stated = F.explode(F.array(*map(F.lit, sources)).cast("array<bigint>")).alias("s")
+    far = vertex_table.select("v", stated).join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit("L").alias("qtype"))
     return near.unionByName(far)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from critpath.functions.ids import ranked
 from critpath.operators import prep
 
 GRID_COLUMNS = 20
@@ -43,11 +44,10 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """layer, u, v, w, line: steps from one event's user to the next one's, in time order."""
-    order = Window.orderBy("ts", "event_id")  # a time line of all events: one order by definition
-    o = _table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("a"), F.lead("user_id").over(order).alias("b"), F.col("event_type").alias("layer"), "value", F.col("event_id").alias("line")
-    )
-    o = o.where("b is not null and a <> b and value is not null")
+    events = _table(spark, sf_dir, "events").select("ts", "event_id", F.col("user_id").alias("a"), F.col("event_type").alias("layer"), "value")
+    line = ranked(events, "ts", "event_id")  # the time line, without gathering it in one task
+    following = line.select((F.col("pos") - 1).alias("pos"), F.col("a").alias("b"))
+    o = line.join(following, "pos").withColumnRenamed("event_id", "line").where("a <> b and value is not null")
     return o.select("layer", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), (F.floor("value") + 1).cast("int").alias("w"), "line")
 
 

@@ -7,7 +7,7 @@ import pytest
 from critpath.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"mcsp_multi_pass", "mcsp_overlay_bi", "mcsp_bucketed"}  # tests/test_search.py has smaller cases
+SLOW = {"mcsp_multi_pass", "mcsp_overlay_bi", "mcsp_overlay_uni", "mcsp_bucketed", "mcsp_bidirectional"}  # tests/test_search.py has smaller cases
 
 
 @pytest.fixture(scope="module")
