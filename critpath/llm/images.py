@@ -153,7 +153,7 @@ def _part(place: Column, shift: int, size: int) -> Column:
     return F.shiftrightunsigned(place, shift).bitwiseAND(size - 1)
 
 
-def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 8, bucket_images: int = 16) -> DataFrame:
+def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 12, bucket_images: int = 8) -> DataFrame:
     """u, v, n: linked images u < v of described(id, points), and how many keypoints of u agree on one placement."""
     points = described.select("id", F.inline("points"))
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftright(F.shiftleft("descriptor", 32 * (1 - t)), 32).cast("int").alias("key")) for t in (0, 1))))
@@ -173,11 +173,13 @@ def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 8
     angle, scale = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), step)
     dx = x - scale * (F.cos(angle) * ax - F.sin(angle) * ay)
     dy = y - scale * (F.sin(angle) * ax + F.cos(angle) * ay)
-    votes = pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), F.col("a_place").alias("kp"), turn.alias("turn"), step.alias("step"), dx.alias("dx"), dy.alias("dy")).distinct()
-    # A vote goes to overlapping cells, so that agreement isn't lost at their limits.
-    cells = [F.struct(F.lit(o).alias("o"), F.floor((F.col("dx") + o % 2 * shift / 2) / shift).alias("cx"), F.floor((F.col("dy") + o // 2 * shift / 2) / shift).alias("cy")) for o in range(4)]
-    counted = votes.select("u", "v", "kp", "turn", "step", F.explode(F.array(*cells)).alias("c")).groupBy("u", "v", "turn", "step", "c").agg(F.countDistinct("kp").alias("n")).where(F.col("n") >= agree)
-    return counted.groupBy("u", "v").agg(F.max("n").alias("n"))
+    vote = F.struct(F.col("a_place").alias("kp"), F.round(dx).cast("int").alias("dx"), F.round(dy).cast("int").alias("dy"))
+    # An image has a bounded number of points, so a pair has a bounded number of votes.
+    votes = pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), turn.alias("turn"), step.alias("step"), vote.alias("m"))
+    votes = votes.groupBy("u", "v", "turn", "step").agg(F.collect_set("m").alias("m")).where(F.size("m") >= agree)
+    near = lambda p: F.filter("m", lambda q: (F.abs(q["dx"] - p["dx"]) <= shift // 2) & (F.abs(q["dy"] - p["dy"]) <= shift // 2))
+    best = F.array_max(F.transform("m", lambda p: F.size(F.array_distinct(F.transform(near(p), lambda q: q["kp"])))))
+    return votes.select("u", "v", best.alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))
 
 
 def copies(images: DataFrame, **how) -> DataFrame:
