@@ -6,9 +6,9 @@ descriptor. Descriptors are joined through two Hamming tables, of 32 bits each;
 within `radius` bits vote for a rotation, scale step and shift, and two images are
 linked if enough keypoints agree on one. Classes are the connected components of links.
 
-Identical images are one class before any of that. In a bucket of more than `bucket_images` points of
-different images each is compared with the smallest id there only, so no bucket emits
-all its pairs.
+Identical images are one class before any of that. A bucket of more than `bucket_images` points is
+dealt into blocks of about that many, and every two of its blocks meet in a task of their own: all pairs of a
+bucket are compared, whatever its size, and no task gathers a whole large bucket.
 
 Media are binary PGM (P5) or PPM (P6) files of 8 bits. Defined results: null, empty or unreadable media and
 images too small for a patch have no keypoints and no links; identical media still share a class,
@@ -153,19 +153,24 @@ def _part(place: Column, shift: int, size: int) -> Column:
     return F.shiftrightunsigned(place, shift).bitwiseAND(size - 1)
 
 
-def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 12, bucket_images: int = 8) -> DataFrame:
+def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 12, bucket_images: int = 1024) -> DataFrame:
     """u, v, n: linked images u < v of described(id, points), and how many keypoints of u agree on one placement."""
     points = described.select("id", F.inline("points"))
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftright(F.shiftleft("descriptor", 32 * (1 - t)), 32).cast("int").alias("key")) for t in (0, 1))))
     rows = points.select("id", "descriptor", "place", tables.alias("k")).select("k.t", "k.key", "id", "descriptor", "place")
-    # Points of one image in a bucket count too, so this may take a bucket for large that isn't quite.
-    large = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > bucket_images).select("t", "key", "lead"))
-    firsts = rows
-    if not large.isEmpty():
-        firsts = rows.join(large, ["t", "key"], "left").where("lead is null or id = lead").drop("lead")
-    firsts = firsts.select("t", "key", *(F.col(c).alias(f"a_{c}") for c in ("id", "descriptor", "place")))
-    pairs = firsts.join(rows, ["t", "key"]).where("a_id < id")
-    pairs = pairs.where(F.bit_count(F.col("a_descriptor").bitwiseXOR(F.col("descriptor"))) <= radius)
+    large = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_images).select("t", "key", F.ceil(F.col("n") / bucket_images).cast("int").alias("n_blocks")))
+    rows = rows.join(large, ["t", "key"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "place"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    rows = rows.select("t", "key", "id", "descriptor", "place", "block", other.alias("other"))
+    rows = rows.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "descriptor", "place")
+    firsts = rows.select("t", "key", "i", "j", *(F.col(c).alias(f"a_{c}") for c in ("block", "id", "descriptor", "place")))
+    differ = F.col("a_descriptor").bitwiseXOR(F.col("descriptor"))
+    # Where two blocks meet, pairs inside one of them are left to that block; points alike in both tables meet in the first.
+    own = ((F.col("i") == F.col("j")) | (F.col("a_block") != F.col("block"))) & ((F.col("t") == 0) | (differ.bitwiseAND((1 << 32) - 1) != 0))
+    pairs = firsts.join(rows, ["t", "key", "i", "j"]).where((F.col("a_id") < F.col("id")) & (F.bit_count(differ) <= radius) & own)
+    # The shuffle carries two ids and two places; what follows from them is computed behind it.
+    pairs = pairs.select("a_id", "id", "a_place", "place").repartition("a_id", "id")
     side = _SIDE.bit_length() - 1
     of = lambda c: (_part(F.col(c), 0, _SIDE), _part(F.col(c), side, _SIDE), _part(F.col(c), 2 * side, TURNS), _part(F.col(c), 2 * side + 4, 4))
     (ax, ay, a_turn, a_octave), (x, y, b_turn, b_octave) = of("a_place"), of("place")
@@ -175,8 +180,8 @@ def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 1
     dy = y - scale * (F.sin(angle) * ax + F.cos(angle) * ay)
     vote = F.struct(F.col("a_place").alias("kp"), F.round(dx).cast("int").alias("dx"), F.round(dy).cast("int").alias("dy"))
     # An image has a bounded number of points, so a pair has a bounded number of votes.
-    votes = pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), turn.alias("turn"), step.alias("step"), vote.alias("m"))
-    votes = votes.groupBy("u", "v", "turn", "step").agg(F.collect_set("m").alias("m")).where(F.size("m") >= agree)
+    votes = pairs.select("a_id", "id", turn.alias("turn"), step.alias("step"), vote.alias("m"))
+    votes = votes.groupBy(F.col("a_id").alias("u"), F.col("id").alias("v"), "turn", "step").agg(F.collect_set("m").alias("m")).where(F.size("m") >= agree)
     near = lambda p: F.filter("m", lambda q: (F.abs(q["dx"] - p["dx"]) <= shift // 2) & (F.abs(q["dy"] - p["dy"]) <= shift // 2))
     best = F.array_max(F.transform("m", lambda p: F.size(F.array_distinct(F.transform(near(p), lambda q: q["kp"])))))
     return votes.select("u", "v", best.alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))

@@ -46,6 +46,37 @@ def test_large_buckets_still_join_their_images(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def brute_links(described, radius=10, agree=4, shift=12):
+    rows = sorted((r.id, [(p.descriptor & (1 << 64) - 1, p.place) for p in r.points]) for r in described)
+    part = lambda p: (p & 8191, p >> 13 & 8191, p >> 26 & 15, p >> 30)
+    out = {}
+    for a, (u, own) in enumerate(rows):
+        for v, others in rows[a + 1 :]:
+            votes = {}
+            for d, p in own:
+                for e, q in others:
+                    if (d ^ e).bit_count() <= radius and ((d ^ e) >> 32 == 0 or (d ^ e) & 0xFFFFFFFF == 0):
+                        (ax, ay, at, ao), (x, y, t, o) = part(p), part(q)
+                        turn = (t - at) % 16
+                        c, s, k = np.cos(turn * np.pi / 8), np.sin(turn * np.pi / 8), 2.0 ** (o - ao)
+                        votes.setdefault((turn, o - ao), set()).add((p, round(x - k * (c * ax - s * ay)), round(y - k * (s * ax + c * ay))))
+            n = max((len({m[0] for m in ms if abs(m[1] - f[1]) <= shift // 2 and abs(m[2] - f[2]) <= shift // 2}) for ms in votes.values() for f in ms), default=0)
+            if n >= agree:
+                out[u, v] = n
+    return out
+
+
+def test_every_pair_of_a_large_bucket_is_voted_on(spark):
+    p, rng = picture(1), np.random.default_rng(3)
+    data = [(i, images.encode(p[i % 4 : 80 + i % 5, i % 3 :] + rng.normal(0, 1.5, p[i % 4 : 80 + i % 5, i % 3 :].shape)), "x", 1) for i in range(24)]
+    data += [(100 + k, images.encode(picture(50 + k)), "x", 1) for k in range(5)]
+    described = images.describe(spark.createDataFrame(data, SCHEMA)).cache()
+    want = brute_links(described.collect())
+    assert len(want) > 200 and max(map(max, want)) < 100
+    for how in ({}, {"bucket_images": 3}, {"bucket_images": 8}):
+        assert {(r.u, r.v): r.n for r in images.links(described, **how).collect()} == want
+
+
 def test_no_rows(spark):
     assert images.copies(spark.createDataFrame([], SCHEMA)).count() == 0
     assert images.rendered(spark.createDataFrame([(1, None), (2, [0.0, None])], "id long, vector array<float>")).where("media is null").count() == 2
