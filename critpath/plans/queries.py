@@ -165,6 +165,21 @@ def largest_component(spark, d):
     return prep.largest_component(prep.mirror(e)).select("src", "dst")
 
 
+@query(O.components(O.MULTIPLEX) + " select v, l as label from lab")
+def component_labels_all(spark, d):
+    return prep.component_labels(prep.mirror(graphs.multiplex(spark, d)))
+
+
+@query(O.components(O.MULTIPLEX) + " select l as label, count(*) size from lab group by l")
+def component_sizes_all(spark, d):
+    return prep.component_sizes(prep.component_labels(prep.mirror(graphs.multiplex(spark, d))))
+
+
+@query(O.components(O.MULTIPLEX) + ", big as (select l from lab group by l order by count(*) desc, l limit 1) select s src, t dst from e2 join lab on lab.v = e2.s join big on big.l = lab.l")
+def largest_component_all(spark, d):
+    return prep.largest_component(prep.mirror(graphs.multiplex(spark, d))).select("src", "dst")
+
+
 @query(f"with {O.SUPPLY}, {O.BOTH}, ids as (select v, row_number() over (order by v) - 1 x from vs) select a.x src, b.x dst, w0, w1, w2, w3, w4 from (select * from g union all select v, u, w0, w1, w2, w3, w4 from g) h join ids a on a.v = h.u join ids b on b.v = h.v")
 def relabel_dense(spark, d):
     return wide(prep.relabel_dense(supply_edges(spark, d))[0], 5, "src", "dst")
@@ -341,6 +356,14 @@ def local_boundary_dist(spark, d):
     return s.select(F.col("pid").cast("long").alias("pid"), F.col("cri").cast("long").alias("cri"), "s", "b", "dist")
 
 
+@query(O.local_labels(PART, "select v from pt") + " select cast(pid as bigint) pid, cast(c as bigint) cri, s, b, cast(dist as bigint) dist from full_")
+def local_boundary_dist_all(spark, d):
+    e = grid_edges(spark, d)
+    p = grid_parts(e)
+    s = B.local_distances(W.edges_long(e), p, p, B.boundary(e, p))
+    return s.select(F.col("pid").cast("long").alias("pid"), F.col("cri").cast("long").alias("cri"), "s", "b", "dist")
+
+
 # ---- query sets, metrics, paths, exports
 
 
