@@ -6,6 +6,11 @@ A block with enough of a template's words must hold one of its first words in th
 prefix); such pairs pass the length filter (enough template words in the block) and the
 positional filter (enough words left after the match), and are then verified.
 
+With `wrapped`, as the query has it, a template is also found where its words go on over line breaks:
+in a window of consecutive words, as long as the template over the threshold, that reaches over
+several lines. Windows start at words of the template, are filtered by how many of its words they
+hold, and then verified like a block; of windows that overlap the best is kept.
+
 Beside the join, fixed phrases of license names are found where their words stand
 consecutively, in any block.
 
@@ -100,6 +105,7 @@ class Index:
         self.terms, self.rank = terms, rank
         self.sets = [np.sort(rank[np.searchsorted(terms, np.unique(hashed(t)))]) for _, t in templates]
         self.labels = [label for label, _ in templates]
+        self.spans = [math.ceil(len(hashed(t)) / threshold - 1e-9) for _, t in templates]
         self.needed = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for x, (s, need) in enumerate(zip(self.sets, self.needed)):
@@ -108,6 +114,33 @@ class Index:
         self.in_prefix = np.zeros(len(terms) + 1, bool)
         self.in_prefix[list(self.postings)] = True
 
+    def wrapped(self, rank: np.ndarray, doc: np.ndarray, line: np.ndarray) -> list[tuple[int, int, float]]:
+        """(place of the first word, template, containment) for windows over several lines that hold enough of a template."""
+        out = []
+        known = np.flatnonzero(rank < len(self.terms))
+        for x, (own, need, span) in enumerate(zip(self.sets, self.needed, self.spans)):
+            member = np.zeros(len(self.terms), bool)
+            member[own] = True
+            at = known[member[rank[known]]]
+            ends = np.minimum(np.searchsorted(at, at + span), np.searchsorted(doc[at], doc[at], "right"))
+            start = np.arange(len(at))
+            several = line[at[ends - 1]] != line[at]
+            best, until = None, -1
+            for a in np.flatnonzero((ends - start >= need) & several).tolist():
+                both = len(np.unique(rank[at[a : ends[a]]]))
+                if both < need:
+                    continue
+                if a >= until:
+                    if best:
+                        out.append(best)
+                    best = (int(at[a]), x, both / len(own))
+                elif both / len(own) > best[2]:
+                    best = (int(at[a]), x, both / len(own))
+                until = int(ends[a])
+            if best:
+                out.append(best)
+        return out
+
     def scan(self, block: np.ndarray) -> list[tuple[int, float]]:
         """(template, containment) for those that a block, as sorted distinct ranks, holds enough of."""
         out, tried = [], set()
@@ -128,10 +161,11 @@ class Index:
         return out
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9, wrapped: bool = False) -> DataFrame:
     """The `keep` columns of docs(text, ...) with n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    blocks lists (line from 0, label, containment) of every block that meets a template.
+    blocks lists (line from 0, label, containment) of every block that meets a template, and with
+    `wrapped` of every window over several lines, by its first line.
     """
     terms = vocabulary(templates)
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, terms, frequencies(docs, terms), threshold, phrases))
@@ -175,6 +209,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates=TEMPLAT
                     r = int(doc[low])
                     for x, share in own.scan(block[block < len(own.terms)]):
                         found[i + r].append({"line": int(line[low] - first[r]), "label": own.labels[x], "containment": share})
+                if wrapped:
+                    for w, x, share in own.wrapped(rank, doc, line):
+                        r = int(doc[w])
+                        found[i + r].append({"line": int(line[w] - first[r]), "label": own.labels[x], "containment": share})
             joined = lambda s: ",".join(sorted(s))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -200,4 +238,4 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates=TEMPLAT
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents")).drop("blocks")
+    return scan(common.table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")

@@ -51,5 +51,23 @@ def test_against_brute_force(spark):
         assert r.doc_id == d and own == brute(t), (own, brute(t))
 
 
+def test_wrapped_notices_are_found(spark, tmp_path):
+    import textwrap
+
+    rows, want = [(0, "permission to use\nnothing of it\nthis is free", 1, "x"), (1, None, 1, "x")], {0: "", 1: ""}
+    for k, (label, t) in enumerate(L.TEMPLATES):
+        for w in (24, 40, 72):
+            i = len(rows)
+            body = "\n".join(" * " + x for x in textwrap.wrap(f"Some words. {t}. More words", w))
+            rows.append((i, f"Intro line\n{body}\nend", 1, "x"))
+            want[i] = label
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in L.op4_licenses(spark, str(tmp_path)).collect()}
+    assert len(by) == len(rows) and by[0].labels == by[1].labels == ""
+    for i, label in want.items():
+        if label:
+            assert label in by[i].labels.split(",") and by[i].score == 1.0
+
+
 def test_no_rows(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA)).collect() == []
