@@ -24,10 +24,20 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+    """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Rows are told apart by a 64-bit hash of the text, not by doc_id, which may be null or repeated. A null
+    doc_id comes after all others; ties go to the smaller hash, then lang, source and n_chars.
+    """
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    groups = simhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    rule = [F.col("doc_id").isNull().alias("unnamed"), *(F.col(c) for c in ("doc_id", "key", "lang", "source", "n_chars"))]
+    best = keyed.select("key", F.struct(*rule).alias("row")).join(groups, "key").groupBy("component_id").agg(F.min("row").alias("row"))
+    best = best.select(*(F.col(f"row.{c}").alias(f"b_{c}") for c in ("doc_id", "key", "lang", "source", "n_chars")))
+    same = F.col("key") == F.col("b_key")
+    for c in ("doc_id", "lang", "source", "n_chars"):
+        same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    return keyed.join(best, same, "left_semi").dropDuplicates(["key"]).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

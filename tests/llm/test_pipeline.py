@@ -34,3 +34,12 @@ def test_each_stage_takes_effect(spark, tmp_path):
             assert 900100 in gone
         at = out
     assert at.where("taken < 1 or taken > 3 * size").count() == 0
+
+
+def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
+    rng = __import__("random").Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, c), (3, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], COLUMNS)
+    got = P.near_dedup(spark, docs, "").select("doc_id", "text").collect()
+    assert len(got) == 4 and {tuple(r) for r in got} == {(None, a), (3, b), (7, c), (7, d)}
