@@ -1,18 +1,24 @@
 """Operator 9: cropped and edited copies among images, by local descriptors.
 
 Corners (Harris) are taken at full and half size. The patch around each is turned by its
-intensity centroid, and 64 fixed comparisons of smoothed pixels give a binary
-descriptor. Descriptors are joined through two Hamming tables, of 32 bits each; matches
-within `radius` bits vote for a rotation, scale step and shift, and two images are
-linked if enough keypoints agree on one. Classes are the connected components of links.
-
-Identical images are one class before any of that. A bucket of more than `bucket_images` points is
-dealt into blocks of about that many, and every two of its blocks meet in a task of their own: all pairs of a
-bucket are compared, whatever its size, and no task gathers a whole large bucket.
+intensity centroid, and 64 fixed comparisons of smoothed pixels give a binary descriptor.
+Two keypoints match if their descriptors differ in at most `radius` bits; descriptors meet in
+`radius + 1` Hamming tables of disjoint bits, so no match is missed. A match votes for a rotation,
+scale step and shift, and two images are linked if at least `agree` keypoints of one vote into
+one cell of `shift` pixels, in any of four grids half a cell apart. Classes of copies are the connected
+components of links.
+
+Identical images are one class before any of that. Components are found in two rounds, since a group
+of m copies has m * m / 2 links: first every image is compared with the least image that
+has one of its descriptors, exactly; then all matches between different components are voted on. A pair
+left out lies in one component already, so components are those of all links. Links are counted
+afterwards inside components only, where all of them are, on pairs of blocks of images of bounded size.
+A bucket of more than `bucket_points` points is dealt into blocks too, and every two of its blocks meet.
 
 Media are binary PGM (P5) or PPM (P6) files of 8 bits. Defined results: null, empty or unreadable media and
 images too small for a patch have no keypoints and no links; identical media still share a class,
-null media never do; repeated rows are returned as often as they stand.
+null media never do; repeated rows are returned as often as they stand; an id may have any type that can be
+ordered, and rows of one id with different media count as one image, the one with the smallest digest.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critpath.operators.components import components
@@ -78,8 +84,8 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return a
 
 
-def keypoints(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """(image, y, x, turn, descriptor) of the `most` strongest corners of each image of one size (n, h, w)."""
+def keypoints(images: np.ndarray, most: int, tile: int) -> tuple[np.ndarray, ...]:
+    """(image, y, x, turn, descriptor) of the `most` strongest corners in each tile of each image of one size (n, h, w)."""
     n, h, w = images.shape
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if min(h, w) <= 2 * MARGIN:
@@ -96,9 +102,10 @@ def keypoints(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     i, y, x = np.nonzero((r == top) & (r > 1.0) & inner)
     if not len(i):
         return none
-    order = np.lexsort((x, y, -r[i, y, x], i))
-    i, y, x = i[order], y[order], x[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
+    own = (i * (h // tile + 1) + y // tile) * (w // tile + 1) + x // tile
+    order = np.lexsort((x, y, -r[i, y, x], own))
+    i, y, x, own = i[order], y[order], x[order], own[order]
+    place = np.arange(len(i)) - np.searchsorted(own, own)
     i, y, x = (v[place < most] for v in (i, y, x))
     disc = images[i[:, None], y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
     angle = np.arctan2(disc @ _DISC[:, 0].astype(np.float32), disc @ _DISC[:, 1].astype(np.float32))
@@ -109,13 +116,17 @@ def keypoints(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     return i, y, x, turn, bits.view(np.int64)
 
 
-POINTS = "array<struct<descriptor:bigint,place:int>>"
-#: A place packs octave, turn, y and x into 2, 4, 13 and 13 bits; larger images keep the corners in their first 8191 pixels each way.
-_SIDE = 1 << 13
+POINTS = "array<struct<descriptor:bigint,place:bigint>>"
+#: A place packs octave, turn, y and x into 4, 4, 24 and 24 bits.
+_SIDE = 1 << 24
+_SHIFTS = 24, 48, 52
+
 
+def describe(images: DataFrame, most: tuple[int, int] = (40, 12), tile: int = 64) -> DataFrame:
+    """id, digest, points of images(id, media), in one row an image.
 
-def describe(images: DataFrame, most: tuple[int, int] = (40, 12)) -> DataFrame:
-    """id, digest, points of images(id, media): at most `most` keypoints at full and half size, in one row an image."""
+    points: at most `most` keypoints, at full and half size, for each square of `tile` pixels a side.
+    """
 
     def run(batches):
         for batch in batches:
@@ -133,65 +144,155 @@ def describe(images: DataFrame, most: tuple[int, int] = (40, 12)) -> DataFrame:
                         if octave:
                             h, w = pixels.shape[1] // 2 * 2, pixels.shape[2] // 2 * 2
                             pixels = (pixels[:, :h:2, :w:2] + pixels[:, 1:h:2, :w:2] + pixels[:, :h:2, 1:w:2] + pixels[:, 1:h:2, 1:w:2]) / 4
-                        i, y, x, turn, bits = keypoints(pixels, most[octave])
-                        y, x = y << octave, x << octave
-                        fits = (y < _SIDE) & (x < _SIDE)
-                        place = ((octave * TURNS + turn) * _SIDE + y) * _SIDE + x
-                        found.append((own[i][fits], bits[fits], place[fits]))
+                        i, y, x, turn, bits = keypoints(pixels, most[octave], tile >> octave)
+                        place = (octave << _SHIFTS[2]) + (turn << _SHIFTS[1]) + ((y << octave) << _SHIFTS[0]) + (x << octave)
+                        found.append((own[i], bits, place))
                 image, bits, place = (np.concatenate(c) for c in zip(*found))
                 order = np.argsort(image, kind="stable")
                 limits = np.searchsorted(image[order], np.arange(part.num_rows + 1))
-                flat = pa.StructArray.from_arrays([pa.array(bits[order]), pa.array(place[order].astype(np.uint32).view(np.int32))], names=["descriptor", "place"])
+                flat = pa.StructArray.from_arrays([pa.array(bits[order]), pa.array(place[order])], names=["descriptor", "place"])
                 points = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), flat)
                 digests = pa.array([None if m is None else hashlib.sha256(m).digest() for m in media], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), digests, points], names=["id", "digest", "points"])
 
-    return images.select("id", "media").mapInArrow(run, f"id long, digest binary, points {POINTS}")
+    return images.select("id", "media").mapInArrow(run, f"id {dict(images.dtypes)['id']}, digest binary, points {POINTS}")
 
 
-def _part(place: Column, shift: int, size: int) -> Column:
-    return F.shiftrightunsigned(place, shift).bitwiseAND(size - 1)
+def _agreeing(pairs: DataFrame, agree: int, shift: int) -> DataFrame:
+    """u, v, n from matches (u, v, a, b: their places): the most keypoints of u that vote into one cell, if `agree` or more.
+
+    The shuffle carries ids and places; what follows from them is computed behind it.
+    """
+    pairs = pairs.repartition("u", "v")
+    of = lambda c: (F.col(c).bitwiseAND(_SIDE - 1), F.shiftright(c, _SHIFTS[0]).bitwiseAND(_SIDE - 1), F.shiftright(c, _SHIFTS[1]).bitwiseAND(15), F.shiftright(c, _SHIFTS[2]))
+    (ax, ay, a_turn, a_octave), (x, y, b_turn, b_octave) = of("a"), of("b")
+    turn, step = F.pmod(b_turn - a_turn, F.lit(TURNS)), b_octave - a_octave
+    angle, scale = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), step)
+    dx = F.round(x - scale * (F.cos(angle) * ax - F.sin(angle) * ay))
+    dy = F.round(y - scale * (F.sin(angle) * ax + F.cos(angle) * ay))
+    votes = pairs.select("u", "v", turn.alias("turn"), step.alias("step"), F.col("a").alias("kp"), dx.alias("dx"), dy.alias("dy"))
+    cell = lambda c, grid: F.floor((F.col(c) + grid * (shift // 2)) / shift)
+    grids = F.array(*(F.struct(F.lit(2 * gy + gx).alias("grid"), cell("dx", gx).alias("cx"), cell("dy", gy).alias("cy")) for gy in (0, 1) for gx in (0, 1)))
+    cells = votes.select("u", "v", "turn", "step", "kp", F.explode(grids).alias("c")).distinct()
+    return cells.groupBy("u", "v", "turn", "step", "c").agg(F.count("*").alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))
 
 
-def links(described: DataFrame, radius: int = 10, agree: int = 4, shift: int = 12, bucket_images: int = 1024) -> DataFrame:
-    """u, v, n: linked images u < v of described(id, points), and how many keypoints of u agree on one placement."""
+def _first_links(described: DataFrame, agree: int, shift: int) -> DataFrame:
+    """u, v: links of images with the least image that has the same descriptor, by equal descriptors alone."""
     points = described.select("id", F.inline("points"))
-    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftright(F.shiftleft("descriptor", 32 * (1 - t)), 32).cast("int").alias("key")) for t in (0, 1))))
-    rows = points.select("id", "descriptor", "place", tables.alias("k")).select("k.t", "k.key", "id", "descriptor", "place")
-    large = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_images).select("t", "key", F.ceil(F.col("n") / bucket_images).cast("int").alias("n_blocks")))
-    rows = rows.join(large, ["t", "key"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "place"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    rows = rows.select("t", "key", "id", "descriptor", "place", "block", other.alias("other"))
-    rows = rows.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "descriptor", "place")
-    firsts = rows.select("t", "key", "i", "j", *(F.col(c).alias(f"a_{c}") for c in ("block", "id", "descriptor", "place")))
+    least = points.groupBy("descriptor").agg(F.min(F.struct("id", "place")).alias("least"), F.max("id").alias("last")).where(F.col("least.id") < F.col("last"))
+    pairs = points.join(least, "descriptor").where(F.col("least.id") < F.col("id"))
+    return _agreeing(pairs.select(F.col("least.id").alias("u"), F.col("id").alias("v"), F.col("least.place").alias("a"), F.col("place").alias("b")), agree, shift).select("u", "v")
+
+
+def _tables(radius: int) -> list[int]:
+    """Masks of the Hamming tables: disjoint runs of bits, one more than may differ."""
+    masks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _cross_links(described: DataFrame, roots: DataFrame, radius: int, agree: int, shift: int, bucket_points: int) -> DataFrame:
+    """u, v: all links between images of different roots(id, root); an image without one is its own."""
+    points = described.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.inline("points"))
+    masks = _tables(radius)
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("descriptor").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
+    rows = points.select("id", "root", "descriptor", "place", keys.alias("k")).select("k.*", "id", "root", "descriptor", "place")
+    mixed = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    rows = rows.join(mixed.drop("lo", "hi"), ["t", "key"])
+    n_blocks = F.ceil(F.col("n") / bucket_points).cast("int")
+    rows = rows.select("t", "key", "id", "root", "descriptor", "place", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id", "place"), n_blocks).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "descriptor", "place")
+    firsts = rows.select("t", "key", "i", "j", *(F.col(c).alias(f"a_{c}") for c in ("block", "id", "root", "descriptor", "place")))
     differ = F.col("a_descriptor").bitwiseXOR(F.col("descriptor"))
-    # Where two blocks meet, pairs inside one of them are left to that block; points alike in both tables meet in the first.
-    own = ((F.col("i") == F.col("j")) | (F.col("a_block") != F.col("block"))) & ((F.col("t") == 0) | (differ.bitwiseAND((1 << 32) - 1) != 0))
-    pairs = firsts.join(rows, ["t", "key", "i", "j"]).where((F.col("a_id") < F.col("id")) & (F.bit_count(differ) <= radius) & own)
-    # The shuffle carries two ids and two places; what follows from them is computed behind it.
-    pairs = pairs.select("a_id", "id", "a_place", "place").repartition("a_id", "id")
-    side = _SIDE.bit_length() - 1
-    of = lambda c: (_part(F.col(c), 0, _SIDE), _part(F.col(c), side, _SIDE), _part(F.col(c), 2 * side, TURNS), _part(F.col(c), 2 * side + 4, 4))
-    (ax, ay, a_turn, a_octave), (x, y, b_turn, b_octave) = of("a_place"), of("place")
-    turn, step = F.pmod(b_turn - a_turn, F.lit(TURNS)), b_octave - a_octave
-    angle, scale = turn * (2 * np.pi / TURNS), F.pow(F.lit(2.0), step)
-    dx = x - scale * (F.cos(angle) * ax - F.sin(angle) * ay)
-    dy = y - scale * (F.sin(angle) * ax + F.cos(angle) * ay)
-    vote = F.struct(F.col("a_place").alias("kp"), F.round(dx).cast("int").alias("dx"), F.round(dy).cast("int").alias("dy"))
-    # An image has a bounded number of points, so a pair has a bounded number of votes.
-    votes = pairs.select("a_id", "id", turn.alias("turn"), step.alias("step"), vote.alias("m"))
-    votes = votes.groupBy(F.col("a_id").alias("u"), F.col("id").alias("v"), "turn", "step").agg(F.collect_set("m").alias("m")).where(F.size("m") >= agree)
-    near = lambda p: F.filter("m", lambda q: (F.abs(q["dx"] - p["dx"]) <= shift // 2) & (F.abs(q["dy"] - p["dy"]) <= shift // 2))
-    best = F.array_max(F.transform("m", lambda p: F.size(F.array_distinct(F.transform(near(p), lambda q: q["kp"])))))
-    return votes.select("u", "v", best.alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))
-
-
-def copies(images: DataFrame, **how) -> DataFrame:
+    # Where two blocks meet, pairs inside one of them are left to that block; points alike in several tables meet in the first.
+    own = (F.col("i") == F.col("j")) | (F.col("a_block") != F.col("block"))
+    for t, m in enumerate(masks[:-1]):
+        own &= (F.col("t") <= t) | (differ.bitwiseAND(F.lit(m)) != 0)
+    pairs = firsts.join(rows, ["t", "key", "i", "j"]).where((F.col("a_id") < F.col("id")) & (F.col("a_root") != F.col("root")) & (F.bit_count(differ) <= radius) & own)
+    return _agreeing(pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), F.col("a_place").alias("a"), F.col("place").alias("b")), agree, shift).select("u", "v")
+
+
+def roots_of(described: DataFrame, radius: int = 2, agree: int = 4, shift: int = 12, bucket_points: int = 1024) -> DataFrame:
+    """id, root: of every linked image of described(id, points) the smallest id in its component of links."""
+    first = common.checkpointed(_first_links(described, agree, shift))
+    roots = components(first).select(F.col("node").alias("id"), "root")
+    cross = common.checkpointed(_cross_links(described, roots, radius, agree, shift, bucket_points))
+    return components(first.unionByName(cross)).select(F.col("node").alias("id"), "root")
+
+
+def _votes(d: np.ndarray, p: np.ndarray, others: tuple[np.ndarray, ...], n: int, radius: int, shift: int) -> np.ndarray:
+    """For one image's descriptors and places and those of n others (with their image numbers): the most keypoints that agree with each."""
+    e, q, of = others
+    if not len(d) or not len(e):
+        return np.zeros(n, np.int64)
+    found = []
+    step = max(1, (1 << 22) // len(e))
+    for i in range(0, len(d), step):
+        a, b = np.nonzero(np.bitwise_count(d[i : i + step, None] ^ e[None, :]) <= radius)
+        found.append((a + i, b))
+    a, b = (np.concatenate(c) for c in zip(*found))
+    split = lambda p: (p & _SIDE - 1, p >> _SHIFTS[0] & _SIDE - 1, p >> _SHIFTS[1] & 15, p >> _SHIFTS[2])
+    (ax, ay, at, ao), (x, y, t, o) = split(p[a]), split(q[b])
+    turn, octave = (t - at) % TURNS, o - ao
+    angle, scale = turn * (2 * np.pi / TURNS), 2.0**octave
+    dx = x - scale * (np.cos(angle) * ax - np.sin(angle) * ay)
+    dy = y - scale * (np.sin(angle) * ax + np.cos(angle) * ay)
+    dx, dy = (np.trunc(c + np.copysign(0.5, c)).astype(np.int64) for c in (dx, dy))
+    best = np.zeros(n, np.int64)
+    for gy in (0, 1):
+        for gx in (0, 1):
+            cells = np.stack([of[b], turn, octave, (dx + gx * (shift // 2)) // shift, (dy + gy * (shift // 2)) // shift, a], 1)
+            cells = np.unique(cells, axis=0)[:, :5]
+            cells, count = np.unique(cells, axis=0, return_counts=True)
+            np.maximum.at(best, cells[:, 0], count)
+    return best
+
+
+def _inner_links(described: DataFrame, roots: DataFrame, radius: int, agree: int, shift: int, block_points: int) -> DataFrame:
+    """u, v, n: all links u < v between images of one root, from pairs of blocks of about `block_points` points."""
+    rows = described.join(roots, "id").select("id", "root", "points")
+    size = rows.groupBy("root").agg(F.ceil(F.sum(F.size("points")) / block_points).cast("int").alias("n_blocks"))
+    rows = rows.join(size, "root").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", F.col("points.descriptor").alias("d"), F.col("points.place").alias("p"))
+    kind = described.schema["id"].dataType.simpleString()
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        block, same = t.column("block").to_numpy(), t.column("i")[0] == t.column("j")[0]
+        d, p = (t.column(c).combine_chunks() for c in ("d", "p"))
+        limits = d.offsets.to_numpy() - d.offsets[0].as_py()
+        d, p = d.flatten().to_numpy().view(np.uint64), p.flatten().to_numpy()
+        of = np.repeat(np.arange(len(block)), np.diff(limits))
+        us, vs, ns = [], [], []
+        for k in range(len(block) - 1):
+            a, b = limits[k], limits[k + 1]
+            n = _votes(d[a:b], p[a:b], (d[b:], p[b:], of[b:]), len(block), radius, shift)
+            linked = np.flatnonzero((n >= agree) & (same | (block != block[k])))
+            us.append(np.full(len(linked), k))
+            vs.append(linked)
+            ns.append(n[linked])
+        u, v, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (us, vs, ns))
+        ids = t.column("id")
+        return pa.table({"u": ids.take(pa.array(u)), "v": ids.take(pa.array(v)), "n": pa.array(n)})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(compare, f"u {kind}, v {kind}, n long")
+
+
+def links(described: DataFrame, radius: int = 2, agree: int = 4, shift: int = 12, bucket_points: int = 1024, block_points: int = 8192) -> DataFrame:
+    """u, v, n: all linked images u < v of described(id, points), ids distinct, and how many keypoints of u agree on one placement.
+
+    Their number grows with the square of a component; roots_of gives components without them.
+    """
+    return _inner_links(described, roots_of(described, radius, agree, shift, bucket_points), radius, agree, shift, block_points)
+
+
+def copies(images: DataFrame, radius: int = 2, agree: int = 4, shift: int = 12, bucket_points: int = 1024, block_points: int = 8192) -> DataFrame:
     """id, class_id, component_id, n_keypoints, n_links for every row of images(id, media).
 
     class_id is the smallest id of identical media, component_id the smallest id among all its linked copies, and n_links
-    counts links of its class.
+    counts the classes that its class is linked to.
     """
     described = common.checkpointed(describe(images))
     digests = described.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"))
@@ -199,11 +300,12 @@ def copies(images: DataFrame, **how) -> DataFrame:
         described.select("id", "digest", F.size("points").alias("n_keypoints")).join(digests, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("n_keypoints").cast("long").alias("n_keypoints"))
     )
     classes = ids.select(F.col("class_id").alias("id")).distinct()
-    first = described.where("size(points) > 0").join(classes, "id", "left_semi").dropDuplicates(["id"])
-    found = common.checkpointed(links(first, **how))
+    first = described.where("size(points) > 0").join(classes, "id", "left_semi").groupBy("id").agg(F.min_by("points", "digest").alias("points"))
+    first = common.checkpointed(first)
+    roots = common.checkpointed(roots_of(first, radius, agree, shift, bucket_points))
+    found = _inner_links(first, roots, radius, agree, shift, block_points)
     n_links = found.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    roots = components(found).select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
-    out = ids.join(roots, "class_id", "left").join(n_links, "class_id", "left")
+    out = ids.join(roots.select(F.col("id").alias("class_id"), F.col("root").alias("component_id")), "class_id", "left").join(n_links, "class_id", "left")
     return out.select("id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_keypoints", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -230,7 +332,7 @@ def rendered(vectors: DataFrame, size: int = 64, seed: int = 12) -> DataFrame:
                 out.append(encode((128 + 45 * (v / norm) @ patterns[len(v)]).reshape(size, size)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "media"])
 
-    return vectors.select("id", "vector").mapInArrow(run, "id long, media binary")
+    return vectors.select("id", "vector").mapInArrow(run, f"id {dict(vectors.dtypes)['id']}, media binary")
 
 
 def op9_images(spark: SparkSession, sf_dir: str) -> DataFrame:

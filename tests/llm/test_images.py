@@ -42,25 +42,29 @@ def test_crops_and_edits_are_found(spark):
 def test_large_buckets_still_join_their_images(spark):
     p = picture(1)
     data = [(i, images.encode(p + i % 7 * 0.5 + (np.arange(96) == i)[None, :] * 1.0), "x", 1) for i in range(30)]
-    got = images.copies(spark.createDataFrame(data, SCHEMA), bucket_images=3).collect()
+    got = images.copies(spark.createDataFrame(data, SCHEMA), bucket_points=3, block_points=60).collect()
     assert {r.component_id for r in got} == {0}
 
 
-def brute_links(described, radius=10, agree=4, shift=12):
+def brute_links(described, radius=2, agree=4, shift=12):
     rows = sorted((r.id, [(p.descriptor & (1 << 64) - 1, p.place) for p in r.points]) for r in described)
-    part = lambda p: (p & 8191, p >> 13 & 8191, p >> 26 & 15, p >> 30)
+    side = (1 << 24) - 1
+    part = lambda p: (p & side, p >> 24 & side, p >> 48 & 15, p >> 52)
     out = {}
     for a, (u, own) in enumerate(rows):
         for v, others in rows[a + 1 :]:
-            votes = {}
+            cells = {}
             for d, p in own:
                 for e, q in others:
-                    if (d ^ e).bit_count() <= radius and ((d ^ e) >> 32 == 0 or (d ^ e) & 0xFFFFFFFF == 0):
+                    if (d ^ e).bit_count() <= radius:
                         (ax, ay, at, ao), (x, y, t, o) = part(p), part(q)
                         turn = (t - at) % 16
                         c, s, k = np.cos(turn * np.pi / 8), np.sin(turn * np.pi / 8), 2.0 ** (o - ao)
-                        votes.setdefault((turn, o - ao), set()).add((p, round(x - k * (c * ax - s * ay)), round(y - k * (s * ax + c * ay))))
-            n = max((len({m[0] for m in ms if abs(m[1] - f[1]) <= shift // 2 and abs(m[2] - f[2]) <= shift // 2}) for ms in votes.values() for f in ms), default=0)
+                        dx, dy = (int(np.trunc(z + np.copysign(0.5, z))) for z in (x - k * (c * ax - s * ay), y - k * (s * ax + c * ay)))
+                        for gy in (0, shift // 2):
+                            for gx in (0, shift // 2):
+                                cells.setdefault((turn, o - ao, gy, gx, (dx + gx) // shift, (dy + gy) // shift), set()).add(p)
+            n = max(map(len, cells.values()), default=0)
             if n >= agree:
                 out[u, v] = n
     return out
@@ -73,10 +77,58 @@ def test_every_pair_of_a_large_bucket_is_voted_on(spark):
     described = images.describe(spark.createDataFrame(data, SCHEMA)).cache()
     want = brute_links(described.collect())
     assert len(want) > 200 and max(map(max, want)) < 100
-    for how in ({}, {"bucket_images": 3}, {"bucket_images": 8}):
+    for how in ({}, {"bucket_points": 3, "block_points": 100}, {"bucket_points": 8, "block_points": 400}):
         assert {(r.u, r.v): r.n for r in images.links(described, **how).collect()} == want
 
 
+def brute_roots(links):
+    root = {x: x for pair in links for x in pair}
+    for _ in range(len(root)):
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    return root
+
+
+def test_components_are_those_of_all_links(spark):
+    rng = np.random.default_rng(8)
+    data = []
+    for k in range(5):  # a chain: every image is a noisy crop of the one before
+        p = picture(k, 140)
+        for j in range(6):
+            data.append((10 * k + j, images.encode(p), "x", 1))
+            p = p[13:, :-12] + rng.normal(0, 9.0, (p.shape[0] - 13, p.shape[1] - 12))
+    data += [(100 + k, images.encode(picture(50 + k)), "x", 1) for k in range(5)]
+    described = images.describe(spark.createDataFrame(data, SCHEMA)).cache()
+    want = brute_links(described.collect())
+    assert 10 < len(want) < 75
+    for how in ({}, {"bucket_points": 2}):
+        assert {r.id: r.root for r in images.roots_of(described, **how).collect()} == brute_roots(want)
+
+
+def test_flips_up_to_the_radius_are_always_matched(spark):
+    rng = np.random.default_rng(2)
+    place = [(20 + 7 * i << 24) + 20 + 5 * i for i in range(4)]
+    rows = []
+    for k in range(60):
+        base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 4)]
+        flip = lambda n: [b ^ sum(1 << int(i) for i in rng.choice(63, n, replace=False)) for b in base]
+        for j, d in enumerate((base, flip(k % 3), flip(2 + k % 2 * 8))):
+            rows.append((10 * k + j, list(zip(d, place))))
+    described = spark.createDataFrame(rows, "id long, points array<struct<descriptor:bigint,place:bigint>>").cache()
+    want = brute_links(described.collect())
+    assert len(want) >= 90
+    assert {(r.u, r.v): r.n for r in images.links(described).collect()} == want
+
+
+def test_large_images_have_corners_all_over(spark):
+    big = np.full((700, 9300), 128.0)
+    big[300:396, 9100:9196] = picture(3)
+    big[200:296, 100:196] = picture(4)
+    data = [("a", images.encode(big), "x", 1), ("b", images.encode(picture(3)), "x", 1), ("c", images.encode(picture(4)), "x", 1), ("d", images.encode(picture(5)), "x", 1)]
+    got = images.copies(spark.createDataFrame(data, "id string, media binary, digest string, n int")).collect()
+    assert {r.id: (r.component_id, r.n_links) for r in got} == {"a": ("a", 2), "b": ("a", 1), "c": ("a", 1), "d": ("d", 0)}
+
+
 def test_no_rows(spark):
     assert images.copies(spark.createDataFrame([], SCHEMA)).count() == 0
     assert images.rendered(spark.createDataFrame([(1, None), (2, [0.0, None])], "id long, vector array<float>")).where("media is null").count() == 2
