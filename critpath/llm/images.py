@@ -1,19 +1,19 @@
 """Operator 9: cropped and edited copies among images, by local descriptors.
 
 Corners (Harris) are taken at full and half size. The patch around each is turned by its
-intensity centroid, and 64 fixed comparisons of smoothed pixels give a binary descriptor.
-Two keypoints match if their descriptors differ in at most `radius` bits; descriptors meet in
-`radius + 1` Hamming tables of disjoint bits, so no match is missed. A match votes for a rotation,
+intensity centroid, and 128 fixed comparisons of smoothed pixels give two binary words: a
+descriptor from its middle, and a check word from the whole patch. Two keypoints match if their descriptors differ in at most
+`radius` bits and their check words in at most `slack`; descriptors meet in `radius + 1` Hamming tables of disjoint
+bits, so no match is missed. A match votes for a rotation,
 scale step and shift, and two images are linked if at least `agree` keypoints of one vote into
 one cell of `shift` pixels, in any of four grids half a cell apart. Classes of copies are the connected
 components of links.
 
-Identical images are one class before any of that. Components are found in two rounds, since a group
-of m copies has m * m / 2 links: first every image is compared with the least image that
+Identical images are one class before any of that. A group of m copies has m * m / 2 links, which
+are never all made: first every image is compared with the least image that
 has one of its descriptors, exactly; then all matches between different components are voted on. A pair
-left out lies in one component already, so components are those of all links. Links are counted
-afterwards inside components only, where all of them are, on pairs of blocks of images of bounded size.
-A bucket of more than `bucket_points` points is dealt into blocks too, and every two of its blocks meet.
+left out lies in one component already, so components are those of all links.
+A bucket of more than `bucket_points` points is dealt into blocks, and every two of its blocks meet.
 
 Media are binary PGM (P5) or PPM (P6) files of 8 bits. Defined results: null, empty or unreadable media and
 images too small for a patch have no keypoints and no links; identical media still share a class,
@@ -28,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critpath.operators.components import components
@@ -59,8 +59,9 @@ def encode(pixels: np.ndarray) -> bytes:
 
 def _pattern() -> np.ndarray:
     """Offsets (turn, test, end, yx) of the comparisons, for each turn of the patch."""
-    rng = np.random.Generator(np.random.PCG64(99))
-    points = np.clip(rng.normal(0, 4.0, (64, 2, 2)), -7, 7)
+    points = np.clip(np.random.Generator(np.random.PCG64(99)).normal(0, 4.0, (64, 2, 2)), -7, 7)
+    wide = np.random.Generator(np.random.PCG64(102)).normal(0, 6.0, (64, 2, 2))
+    points = np.concatenate([points, wide * np.minimum(1, 10 / np.linalg.norm(wide, axis=2, keepdims=True))])
     out = []
     for t in range(TURNS):
         a = 2 * np.pi * t / TURNS
@@ -85,9 +86,9 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def keypoints(images: np.ndarray, most: int, tile: int) -> tuple[np.ndarray, ...]:
-    """(image, y, x, turn, descriptor) of the `most` strongest corners in each tile of each image of one size (n, h, w)."""
+    """(image, y, x, turn, descriptor, check word) of the `most` strongest corners in each tile of each image of one size (n, h, w)."""
     n, h, w = images.shape
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if min(h, w) <= 2 * MARGIN:
         return none
     smooth = _box(images, 1)
@@ -112,11 +113,12 @@ def keypoints(images: np.ndarray, most: int, tile: int) -> tuple[np.ndarray, ...
     turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
     t = _TESTS[turn]
     p = smooth[i[:, None, None], y[:, None, None] + t[..., 0], x[:, None, None] + t[..., 1]]
-    bits = ((p[..., 0] < p[..., 1]) * _WEIGHT).sum(1, dtype=np.uint64)
-    return i, y, x, turn, bits.view(np.int64)
+    less = p[..., 0] < p[..., 1]
+    bits, check = ((less[:, k : k + 64] * _WEIGHT).sum(1, dtype=np.uint64).view(np.int64) for k in (0, 64))
+    return i, y, x, turn, bits, check
 
 
-POINTS = "array<struct<descriptor:bigint,place:bigint>>"
+POINTS = "array<struct<descriptor:bigint,check:bigint,place:bigint>>"
 #: A place packs octave, turn, y and x into 4, 4, 24 and 24 bits.
 _SIDE = 1 << 24
 _SHIFTS = 24, 48, 52
@@ -137,20 +139,20 @@ def describe(images: DataFrame, most: tuple[int, int] = (40, 12), tile: int = 64
                 for at, m in enumerate(media):
                     if (p := decode(m)) is not None:
                         by_size.setdefault(p.shape, []).append((at, p))
-                found = [(np.zeros(0, np.int64),) * 3]
+                found = [(np.zeros(0, np.int64),) * 4]
                 for rows in by_size.values():
                     own, pixels = np.array([a for a, _ in rows]), np.stack([p for _, p in rows])
                     for octave in (0, 1):
                         if octave:
                             h, w = pixels.shape[1] // 2 * 2, pixels.shape[2] // 2 * 2
                             pixels = (pixels[:, :h:2, :w:2] + pixels[:, 1:h:2, :w:2] + pixels[:, :h:2, 1:w:2] + pixels[:, 1:h:2, 1:w:2]) / 4
-                        i, y, x, turn, bits = keypoints(pixels, most[octave], tile >> octave)
+                        i, y, x, turn, bits, check = keypoints(pixels, most[octave], tile >> octave)
                         place = (octave << _SHIFTS[2]) + (turn << _SHIFTS[1]) + ((y << octave) << _SHIFTS[0]) + (x << octave)
-                        found.append((own[i], bits, place))
-                image, bits, place = (np.concatenate(c) for c in zip(*found))
+                        found.append((own[i], bits, check, place))
+                image, *fields = (np.concatenate(c) for c in zip(*found))
                 order = np.argsort(image, kind="stable")
                 limits = np.searchsorted(image[order], np.arange(part.num_rows + 1))
-                flat = pa.StructArray.from_arrays([pa.array(bits[order]), pa.array(place[order])], names=["descriptor", "place"])
+                flat = pa.StructArray.from_arrays([pa.array(f[order]) for f in fields], names=["descriptor", "check", "place"])
                 points = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), flat)
                 digests = pa.array([None if m is None else hashlib.sha256(m).digest() for m in media], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), digests, points], names=["id", "digest", "points"])
@@ -177,11 +179,15 @@ def _agreeing(pairs: DataFrame, agree: int, shift: int) -> DataFrame:
     return cells.groupBy("u", "v", "turn", "step", "c").agg(F.count("*").alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))
 
 
-def _first_links(described: DataFrame, agree: int, shift: int) -> DataFrame:
+def _near(a: str, b: str, most: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+
+def _first_links(described: DataFrame, slack: int, agree: int, shift: int) -> DataFrame:
     """u, v: links of images with the least image that has the same descriptor, by equal descriptors alone."""
     points = described.select("id", F.inline("points"))
-    least = points.groupBy("descriptor").agg(F.min(F.struct("id", "place")).alias("least"), F.max("id").alias("last")).where(F.col("least.id") < F.col("last"))
-    pairs = points.join(least, "descriptor").where(F.col("least.id") < F.col("id"))
+    least = points.groupBy("descriptor").agg(F.min(F.struct("id", "place", "check")).alias("least"), F.max("id").alias("last")).where(F.col("least.id") < F.col("last"))
+    pairs = points.join(least, "descriptor").where((F.col("least.id") < F.col("id")) & _near("least.check", "check", slack))
     return _agreeing(pairs.select(F.col("least.id").alias("u"), F.col("id").alias("v"), F.col("least.place").alias("a"), F.col("place").alias("b")), agree, shift).select("u", "v")
 
 
@@ -191,122 +197,49 @@ def _tables(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _cross_links(described: DataFrame, roots: DataFrame, radius: int, agree: int, shift: int, bucket_points: int) -> DataFrame:
+def _cross_links(described: DataFrame, roots: DataFrame, radius: int, slack: int, agree: int, shift: int, bucket_points: int) -> DataFrame:
     """u, v: all links between images of different roots(id, root); an image without one is its own."""
     points = described.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.inline("points"))
     masks = _tables(radius)
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("descriptor").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
-    rows = points.select("id", "root", "descriptor", "place", keys.alias("k")).select("k.*", "id", "root", "descriptor", "place")
+    rows = points.select("id", "root", "descriptor", "check", "place", keys.alias("k")).select("k.*", "id", "root", "descriptor", "check", "place")
     mixed = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     rows = rows.join(mixed.drop("lo", "hi"), ["t", "key"])
     n_blocks = F.ceil(F.col("n") / bucket_points).cast("int")
-    rows = rows.select("t", "key", "id", "root", "descriptor", "place", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id", "place"), n_blocks).cast("int").alias("block"))
+    rows = rows.select("t", "key", "id", "root", "descriptor", "check", "place", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id", "place"), n_blocks).cast("int").alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "descriptor", "place")
-    firsts = rows.select("t", "key", "i", "j", *(F.col(c).alias(f"a_{c}") for c in ("block", "id", "root", "descriptor", "place")))
+    rows = rows.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "descriptor", "check", "place")
+    firsts = rows.select("t", "key", "i", "j", *(F.col(c).alias(f"a_{c}") for c in ("block", "id", "root", "descriptor", "check", "place")))
     differ = F.col("a_descriptor").bitwiseXOR(F.col("descriptor"))
     # Where two blocks meet, pairs inside one of them are left to that block; points alike in several tables meet in the first.
     own = (F.col("i") == F.col("j")) | (F.col("a_block") != F.col("block"))
     for t, m in enumerate(masks[:-1]):
         own &= (F.col("t") <= t) | (differ.bitwiseAND(F.lit(m)) != 0)
-    pairs = firsts.join(rows, ["t", "key", "i", "j"]).where((F.col("a_id") < F.col("id")) & (F.col("a_root") != F.col("root")) & (F.bit_count(differ) <= radius) & own)
+    pairs = firsts.join(rows, ["t", "key", "i", "j"]).where((F.col("a_id") < F.col("id")) & (F.col("a_root") != F.col("root")) & (F.bit_count(differ) <= radius) & _near("a_check", "check", slack) & own)
     return _agreeing(pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), F.col("a_place").alias("a"), F.col("place").alias("b")), agree, shift).select("u", "v")
 
 
-def roots_of(described: DataFrame, radius: int = 2, agree: int = 4, shift: int = 12, bucket_points: int = 1024) -> DataFrame:
-    """id, root: of every linked image of described(id, points) the smallest id in its component of links."""
-    first = common.checkpointed(_first_links(described, agree, shift))
+def roots_of(described: DataFrame, radius: int = 2, slack: int = 8, agree: int = 4, shift: int = 12, bucket_points: int = 1024) -> DataFrame:
+    """id, root: of every linked image of described(id, points), ids distinct, the smallest id in its component of links."""
+    first = common.checkpointed(_first_links(described, slack, agree, shift))
     roots = components(first).select(F.col("node").alias("id"), "root")
-    cross = common.checkpointed(_cross_links(described, roots, radius, agree, shift, bucket_points))
+    cross = common.checkpointed(_cross_links(described, roots, radius, slack, agree, shift, bucket_points))
     return components(first.unionByName(cross)).select(F.col("node").alias("id"), "root")
 
 
-def _votes(d: np.ndarray, p: np.ndarray, others: tuple[np.ndarray, ...], n: int, radius: int, shift: int) -> np.ndarray:
-    """For one image's descriptors and places and those of n others (with their image numbers): the most keypoints that agree with each."""
-    e, q, of = others
-    if not len(d) or not len(e):
-        return np.zeros(n, np.int64)
-    found = []
-    step = max(1, (1 << 22) // len(e))
-    for i in range(0, len(d), step):
-        a, b = np.nonzero(np.bitwise_count(d[i : i + step, None] ^ e[None, :]) <= radius)
-        found.append((a + i, b))
-    a, b = (np.concatenate(c) for c in zip(*found))
-    split = lambda p: (p & _SIDE - 1, p >> _SHIFTS[0] & _SIDE - 1, p >> _SHIFTS[1] & 15, p >> _SHIFTS[2])
-    (ax, ay, at, ao), (x, y, t, o) = split(p[a]), split(q[b])
-    turn, octave = (t - at) % TURNS, o - ao
-    angle, scale = turn * (2 * np.pi / TURNS), 2.0**octave
-    dx = x - scale * (np.cos(angle) * ax - np.sin(angle) * ay)
-    dy = y - scale * (np.sin(angle) * ax + np.cos(angle) * ay)
-    dx, dy = (np.trunc(c + np.copysign(0.5, c)).astype(np.int64) for c in (dx, dy))
-    best = np.zeros(n, np.int64)
-    for gy in (0, 1):
-        for gx in (0, 1):
-            cells = np.stack([of[b], turn, octave, (dx + gx * (shift // 2)) // shift, (dy + gy * (shift // 2)) // shift, a], 1)
-            cells = np.unique(cells, axis=0)[:, :5]
-            cells, count = np.unique(cells, axis=0, return_counts=True)
-            np.maximum.at(best, cells[:, 0], count)
-    return best
-
-
-def _inner_links(described: DataFrame, roots: DataFrame, radius: int, agree: int, shift: int, block_points: int) -> DataFrame:
-    """u, v, n: all links u < v between images of one root, from pairs of blocks of about `block_points` points."""
-    rows = described.join(roots, "id").select("id", "root", "points")
-    size = rows.groupBy("root").agg(F.ceil(F.sum(F.size("points")) / block_points).cast("int").alias("n_blocks"))
-    rows = rows.join(size, "root").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", F.col("points.descriptor").alias("d"), F.col("points.place").alias("p"))
-    kind = described.schema["id"].dataType.simpleString()
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id").combine_chunks()
-        block, same = t.column("block").to_numpy(), t.column("i")[0] == t.column("j")[0]
-        d, p = (t.column(c).combine_chunks() for c in ("d", "p"))
-        limits = d.offsets.to_numpy() - d.offsets[0].as_py()
-        d, p = d.flatten().to_numpy().view(np.uint64), p.flatten().to_numpy()
-        of = np.repeat(np.arange(len(block)), np.diff(limits))
-        us, vs, ns = [], [], []
-        for k in range(len(block) - 1):
-            a, b = limits[k], limits[k + 1]
-            n = _votes(d[a:b], p[a:b], (d[b:], p[b:], of[b:]), len(block), radius, shift)
-            linked = np.flatnonzero((n >= agree) & (same | (block != block[k])))
-            us.append(np.full(len(linked), k))
-            vs.append(linked)
-            ns.append(n[linked])
-        u, v, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (us, vs, ns))
-        ids = t.column("id")
-        return pa.table({"u": ids.take(pa.array(u)), "v": ids.take(pa.array(v)), "n": pa.array(n)})
-
-    return rows.groupBy("root", "i", "j").applyInArrow(compare, f"u {kind}, v {kind}, n long")
-
-
-def links(described: DataFrame, radius: int = 2, agree: int = 4, shift: int = 12, bucket_points: int = 1024, block_points: int = 8192) -> DataFrame:
-    """u, v, n: all linked images u < v of described(id, points), ids distinct, and how many keypoints of u agree on one placement.
-
-    Their number grows with the square of a component; roots_of gives components without them.
-    """
-    return _inner_links(described, roots_of(described, radius, agree, shift, bucket_points), radius, agree, shift, block_points)
-
-
-def copies(images: DataFrame, radius: int = 2, agree: int = 4, shift: int = 12, bucket_points: int = 1024, block_points: int = 8192) -> DataFrame:
-    """id, class_id, component_id, n_keypoints, n_links for every row of images(id, media).
+def copies(images: DataFrame, **how) -> DataFrame:
+    """id, class_id, component_id, n_keypoints for every row of images(id, media); `how` goes to roots_of.
 
-    class_id is the smallest id of identical media, component_id the smallest id among all its linked copies, and n_links
-    counts the classes that its class is linked to.
+    class_id is the smallest id of identical media, component_id the smallest id among all its linked copies.
     """
     described = common.checkpointed(describe(images))
     digests = described.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"))
-    ids = common.checkpointed(
-        described.select("id", "digest", F.size("points").alias("n_keypoints")).join(digests, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("n_keypoints").cast("long").alias("n_keypoints"))
-    )
+    ids = described.select("id", "digest", F.size("points").cast("long").alias("n_keypoints")).join(digests, "digest", "left")
+    ids = common.checkpointed(ids.select("id", F.coalesce("class_id", "id").alias("class_id"), "n_keypoints"))
     classes = ids.select(F.col("class_id").alias("id")).distinct()
     first = described.where("size(points) > 0").join(classes, "id", "left_semi").groupBy("id").agg(F.min_by("points", "digest").alias("points"))
-    first = common.checkpointed(first)
-    roots = common.checkpointed(roots_of(first, radius, agree, shift, bucket_points))
-    found = _inner_links(first, roots, radius, agree, shift, block_points)
-    n_links = found.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    out = ids.join(roots.select(F.col("id").alias("class_id"), F.col("root").alias("component_id")), "class_id", "left").join(n_links, "class_id", "left")
-    return out.select("id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_keypoints", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    roots = roots_of(common.checkpointed(first), **how).select(F.col("id").alias("class_id"), F.col("root").alias("component_id"))
+    return ids.join(roots, "class_id", "left").select("id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "n_keypoints")
 
 
 def rendered(vectors: DataFrame, size: int = 64, seed: int = 12) -> DataFrame:

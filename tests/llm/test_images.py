@@ -36,27 +36,27 @@ def test_crops_and_edits_are_found(spark):
         assert [by[10 * k + j].component_id for j in range(7)] == [10 * k] * 7
         assert by[10 * k + 6].class_id == 10 * k
     for i in [*range(1000, 1040), 2000, 2001, 2002, 2003, 2004]:
-        assert by[i].component_id == i and by[i].n_links == 0
+        assert by[i].component_id == i
 
 
 def test_large_buckets_still_join_their_images(spark):
     p = picture(1)
     data = [(i, images.encode(p + i % 7 * 0.5 + (np.arange(96) == i)[None, :] * 1.0), "x", 1) for i in range(30)]
-    got = images.copies(spark.createDataFrame(data, SCHEMA), bucket_points=3, block_points=60).collect()
+    got = images.copies(spark.createDataFrame(data, SCHEMA), bucket_points=3).collect()
     assert {r.component_id for r in got} == {0}
 
 
-def brute_links(described, radius=2, agree=4, shift=12):
-    rows = sorted((r.id, [(p.descriptor & (1 << 64) - 1, p.place) for p in r.points]) for r in described)
+def brute_links(described, radius=2, slack=8, agree=4, shift=12):
+    rows = sorted((r.id, [(p.descriptor & (1 << 64) - 1, p.check & (1 << 64) - 1, p.place) for p in r.points]) for r in described)
     side = (1 << 24) - 1
     part = lambda p: (p & side, p >> 24 & side, p >> 48 & 15, p >> 52)
     out = {}
     for a, (u, own) in enumerate(rows):
         for v, others in rows[a + 1 :]:
             cells = {}
-            for d, p in own:
-                for e, q in others:
-                    if (d ^ e).bit_count() <= radius:
+            for d, c1, p in own:
+                for e, c2, q in others:
+                    if (d ^ e).bit_count() <= radius and (c1 ^ c2).bit_count() <= slack:
                         (ax, ay, at, ao), (x, y, t, o) = part(p), part(q)
                         turn = (t - at) % 16
                         c, s, k = np.cos(turn * np.pi / 8), np.sin(turn * np.pi / 8), 2.0 ** (o - ao)
@@ -70,17 +70,6 @@ def brute_links(described, radius=2, agree=4, shift=12):
     return out
 
 
-def test_every_pair_of_a_large_bucket_is_voted_on(spark):
-    p, rng = picture(1), np.random.default_rng(3)
-    data = [(i, images.encode(p[i % 4 : 80 + i % 5, i % 3 :] + rng.normal(0, 1.5, p[i % 4 : 80 + i % 5, i % 3 :].shape)), "x", 1) for i in range(24)]
-    data += [(100 + k, images.encode(picture(50 + k)), "x", 1) for k in range(5)]
-    described = images.describe(spark.createDataFrame(data, SCHEMA)).cache()
-    want = brute_links(described.collect())
-    assert len(want) > 200 and max(map(max, want)) < 100
-    for how in ({}, {"bucket_points": 3, "block_points": 100}, {"bucket_points": 8, "block_points": 400}):
-        assert {(r.u, r.v): r.n for r in images.links(described, **how).collect()} == want
-
-
 def brute_roots(links):
     root = {x: x for pair in links for x in pair}
     for _ in range(len(root)):
@@ -89,6 +78,17 @@ def brute_roots(links):
     return root
 
 
+def test_large_buckets_against_brute_force(spark):
+    p, rng = picture(1), np.random.default_rng(3)
+    data = [(i, images.encode(p[i % 4 : 80 + i % 5, i % 3 :] + rng.normal(0, 1.5, p[i % 4 : 80 + i % 5, i % 3 :].shape)), "x", 1) for i in range(24)]
+    data += [(100 + k, images.encode(picture(50 + k)), "x", 1) for k in range(5)]
+    described = images.describe(spark.createDataFrame(data, SCHEMA)).cache()
+    want = brute_links(described.collect())
+    assert len(want) > 200 and max(map(max, want)) < 100
+    for how in ({}, {"bucket_points": 3}):
+        assert {r.id: r.root for r in images.roots_of(described, **how).collect()} == brute_roots(want)
+
+
 def test_components_are_those_of_all_links(spark):
     rng = np.random.default_rng(8)
     data = []
@@ -113,11 +113,13 @@ def test_flips_up_to_the_radius_are_always_matched(spark):
         base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 4)]
         flip = lambda n: [b ^ sum(1 << int(i) for i in rng.choice(63, n, replace=False)) for b in base]
         for j, d in enumerate((base, flip(k % 3), flip(2 + k % 2 * 8))):
-            rows.append((10 * k + j, list(zip(d, place))))
-    described = spark.createDataFrame(rows, "id long, points array<struct<descriptor:bigint,place:bigint>>").cache()
+            rows.append((10 * k + j, list(zip(d, [k] * 4, place))))
+    described = spark.createDataFrame(rows, f"id long, points {images.POINTS}").cache()
     want = brute_links(described.collect())
     assert len(want) >= 90
-    assert {(r.u, r.v): r.n for r in images.links(described).collect()} == want
+    assert {r.id: r.root for r in images.roots_of(described).collect()} == brute_roots(want)
+    none = spark.createDataFrame([], "id long, root long")
+    assert {(r.u, r.v) for r in images._cross_links(described, none, 2, 8, 4, 12, 1024).collect()} == set(want)
 
 
 def test_large_images_have_corners_all_over(spark):
@@ -126,7 +128,7 @@ def test_large_images_have_corners_all_over(spark):
     big[200:296, 100:196] = picture(4)
     data = [("a", images.encode(big), "x", 1), ("b", images.encode(picture(3)), "x", 1), ("c", images.encode(picture(4)), "x", 1), ("d", images.encode(picture(5)), "x", 1)]
     got = images.copies(spark.createDataFrame(data, "id string, media binary, digest string, n int")).collect()
-    assert {r.id: (r.component_id, r.n_links) for r in got} == {"a": ("a", 2), "b": ("a", 1), "c": ("a", 1), "d": ("d", 0)}
+    assert {r.id: r.component_id for r in got} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
 def test_no_rows(spark):
