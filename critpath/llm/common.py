@@ -146,3 +146,16 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def n_parts(spark: SparkSession, size: int, each: int) -> int:
     """Parts of about `each` bytes, but no fewer than the cluster has cores."""
     return max(int(size // each) + 1, spark.sparkContext.defaultParallelism)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """left joined with right, which has one row for each key, without sending the rows of a frequent key to one task.
+
+    Keys that hold more than one in `parts` of left's rows are fewer than `parts` whatever the input, and
+    their rows of right are broadcast; the others are shuffled. Neither side has null keys.
+    """
+    total = left.count()
+    hot = left.groupBy(key).count().where(F.col("count") * parts > total).select(key)
+    hot = F.broadcast(checkpointed(hot))
+    often = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return often.unionByName(left.join(hot, key, "left_anti").join(right, key))

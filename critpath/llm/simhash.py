@@ -1,15 +1,14 @@
 """Operator 10: SimHash near-duplicates, found with pivot distance tables.
 
-Every distinct fingerprint carries its Hamming distances to many reference fingerprints
-(pivots). Two fingerprints within `radius` bits differ by at most `radius` in each of these
-coordinates, so a pair with a larger difference in any is discarded unseen; survivors are
-verified on all 64 bits.
-
-Distances to pivots alone spread too little over 64 bits to index by (of random pairs a
-pivot keeps more than half), so comparing all pairs would grow with the square of the
-table. Pairs are therefore formed only inside buckets that share two of six bit blocks:
-four differing bits leave at least two blocks alike, so no pair is lost. A bucket above
-`bucket_rows` is split again by the same argument over its other bits, so no task gathers
+Fingerprints that may be close meet in a table of their Hamming distances to many reference
+fingerprints (pivots), sorted by the first. Two fingerprints within `radius` bits differ by at most `radius` in each
+coordinate, so a fingerprint is paired only with those that follow it within `radius` in the first coordinate;
+a pair with a larger difference in any other is discarded, and survivors are verified on all 64 bits.
+
+One table over all fingerprints would grow with the square of their number: distances to a random pivot spread too
+little over 64 bits (it keeps 57 % of random pairs). Tables are therefore laid out for
+buckets that share two of six bit blocks: four differing bits leave at least two blocks alike, so no pair is lost.
+A bucket above `bucket_rows` is split again by the same argument over its other bits, so no task gathers
 an unbounded group.
 """
 
@@ -59,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in texts], _U).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _blocks(bits: list[int], n: int) -> list[int]:
@@ -80,14 +79,13 @@ def _pivots(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, dtype=_U) * _U(2) + np.arange(n, dtype=_U) % _U(2)
 
 
-def _pivot_table(fps: DataFrame, n_pivots: int, seed: int) -> DataFrame:
-    """fps(fp) with its distances to the pivots, one byte each."""
-    far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))).cast("byte") for p in _pivots(n_pivots, seed)]
-    return fps.select("fp", F.array(*far).alias("far"))
+def pivot_table(fp: np.ndarray, n_pivots: int, seed: int) -> np.ndarray:
+    """Distances of each fingerprint to the pivots."""
+    return np.bitwise_count(fp[:, None] ^ _pivots(n_pivots, seed)[None, :]).astype(np.int8)
 
 
 def _link_runs(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each run of equal (mask, key)."""
+    """A spanning forest of the links inside each run of equal (mask, key); runs are in order of their first pivot distance."""
     n = len(fp)
     fresh = np.ones(n, bool)
     fresh[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
@@ -103,10 +101,11 @@ def _link_runs(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, far: np.ndarra
     while True:
         offset += 1
         left = left[left + offset < end[left]]
+        left = left[far[left + offset, 0] - far[left, 0] <= radius]  # what follows is farther still
         if not len(left):
             return fp[us], fp[vs]
         i = left[parent[left] != parent[left + offset]]
-        for c in range(far.shape[1]):  # the pivot table discards most pairs, coordinate by coordinate
+        for c in range(1, far.shape[1]):  # the pivot table discards most pairs, coordinate by coordinate
             i = i[np.abs(far[i, c] - far[i + offset, c]) <= radius]
         i = i[np.bitwise_count(fp[i] ^ fp[i + offset]) <= radius]
         for a in i.tolist():
@@ -126,18 +125,19 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS, bucket
     Links inside a bucket that others already imply are left out; every class of linked
     fingerprints stays connected.
     """
-    wide = common.checkpointed(_pivot_table(fps.select("fp").distinct(), n_pivots, seed))
-    keyed = wide.select("fp", "far", F.explode(F.array(*(F.lit(_signed(m)) for m in _first_masks(radius)))).alias("mask"))
+    own = common.checkpointed(fps.select("fp").distinct())
+    keyed = own.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in _first_masks(radius)))).alias("mask"))
     found = None
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table):
-            cols = [t.column(c).to_numpy() for c in ("mask", "key", "fp")]
-            far = t.column("far").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_pivots).astype(np.int8)
-            u, v = _link_runs(cols[0], cols[1], cols[2].view(np.int64), far, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            mask, key, fp = (t.column(c).to_numpy() for c in ("mask", "key", "fp"))
+            far = pivot_table(fp.view(_U), n_pivots, seed)
+            order = np.lexsort((fp, far[:, 0], key, mask))
+            u, v = _link_runs(mask[order], key[order], fp[order].view(_U), far[order], radius)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         for batch in batches:  # sorted; the last run of a batch may go on in the next
             held.append(batch)
@@ -158,8 +158,8 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS, bucket
         part = (
             keyed.join(small.select("mask", "key"), ["mask", "key"])
             .repartition("mask", "key")
-            .sortWithinPartitions("mask", "key", "fp")
-            .select("mask", "key", "fp", "far")
+            .sortWithinPartitions("mask", "key")
+            .select("mask", "key", "fp")
             .mapInArrow(run, "u long, v long")
         )
         found = part if found is None else found.unionByName(part)
@@ -173,7 +173,7 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = N_PIVOTS, bucket
             finer += [(m, _signed(taken | p)) for p in parts]
         finer = fps.sparkSession.createDataFrame(finer, "mask long, finer long")
         keyed = keyed.join(large.select("mask", "key"), ["mask", "key"]).join(F.broadcast(finer), "mask")
-        keyed = common.checkpointed(keyed.select("fp", "far", F.col("finer").alias("mask")))
+        keyed = common.checkpointed(keyed.select("fp", F.col("finer").alias("mask")))
     raise RuntimeError("buckets did not get smaller")
 
 
@@ -185,9 +185,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4) ->
     """
     marked = common.checkpointed(fingerprints(docs, shingle))
     least = common.checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = least.join(components(links(least, radius)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = common.checkpointed(components(links(least, radius)).withColumnRenamed("node", "fp").join(least, "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    linked = common.spread_join(rooted.select("fp", "root"), named, "root").select("fp", "component_id", F.lit(True).alias("linked"))
+    ids = least.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return common.spread_join(marked, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,33 @@ def test_links_connect_all_close_pairs(spark):
         assert [roots.get(x, x) for x in fps] == [fps[i] for i in reach]
 
 
+def test_every_bit_counts(spark):
+    """Fingerprints that differ in any four bits, the sign bit among them, by pivots alone and in buckets."""
+    rng = np.random.default_rng(9)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 40)}
+    for centre in sorted(fps):
+        fps.add(centre ^ 1 << 63 ^ sum({1 << int(b) for b in rng.integers(0, 63, 3)}))
+    fps = sorted(fps)
+    want = [fps[i] for i in brute(fps)]
+    assert len(set(want)) == 40
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    roots = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    assert len({roots.get(x, x) for x in signed}) == 40 and len(roots) == 80
+    u = np.array(fps, np.uint64)
+    far = simhash.pivot_table(u, 16, 7)
+    order = np.lexsort((u, far[:, 0]))
+    a, b = simhash._link_runs(np.zeros(80, int), np.zeros(80, int), u[order], far[order], 4)
+    assert len(a) == 40 and (np.bitwise_count(a ^ b) <= 4).all()
+
+
+def test_ids_of_any_type_and_frequent_texts(spark):
+    rows = [(f"d{i:04}", "the very same words in each of these", "x", 1) for i in range(1500)] + [(f"e{i:04}", f"a text of its own {i} {i * 7919} {i * 31}", "x", 1) for i in range(600)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, fp string, component_id int"))
+    by = {r.doc_id: r.component_id for r in got.collect()}
+    assert len(by) == 2100 and {by[f"d{i:04}"] for i in range(1500)} == {"d0000"}
+    assert sum(by[f"e{i:04}"] == f"e{i:04}" for i in range(600)) > 500
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1001)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
