@@ -1,36 +1,41 @@
 """Operator 6: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled rows forms the index. Its terms are the words and word
-beginnings that stand out in examples of label 1; idf weights come from all documents. Postings of each term are cut into
-blocks of examples, each with the largest weight in it. For a text, blocks are visited in the
-order of their upper bounds, until no block can beat the k-th best cosine: the nearest
-examples are exact. They vote by cosine, each weighted by how many labelled rows it stands
-for, against a prior, which gives calibrated scores; the nearest ids are the evidence.
-
-Defined results: texts without a term of the index (null and empty ones too) get the rate of
-label 1 among examples without one; without any labelled row the score is 0; repeated rows
-are scored one by one; ties between examples go to the smaller id.
+A bounded sample of labelled rows forms the index. Its terms are all words and word beginnings that two
+examples have. A term's weight is tf-idf, with document frequencies over all documents, times its relevance: how surely
+it stands out in label 1 among the examples, and never less than LEAST_RELEVANCE, so that every term counts but
+common prose doesn't drown what the labels are about.
+
+Postings of each term are cut into blocks of examples, each with the largest weight in it. For a text the block with the
+largest bound is opened first; of the others only those whose bound reaches the k-th best cosine found there: the
+nearest examples are exact. They vote by squared cosine, each weighted by how many labelled rows it stands
+for, against the rate of label 1, which gives calibrated scores; the nearest ids are the evidence.
+
+Defined results: texts without a term of the index (null and empty ones too) get the rate of label 1 among
+labelled rows; without any labelled row the score is 0; repeated rows are scored one by one; ties
+between examples go to the smaller id; a doc_id that labels hold twice has the larger label.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .lm_score import Lookup
 from .simhash import fingerprint
 
-BLOCK = 64
+BLOCK = 128
 PREFIXES = (4, 5, 6)
 #: Examples whose SimHash differs in no more bits are copies; unrelated ones differ in 32 or so.
 COPY_BITS = 8
-#: Times as common in label 1 as in label 0 a term must be.
-LEAST_LIFT = 20.0
+#: Relevance grows with the likelihood ratio g as g / (g + HALF_G), and with the lift up to FULL_LIFT.
+HALF_G = 100.0
+FULL_LIFT = 10.0
+LEAST_RELEVANCE = 0.03
+#: Terms in more than one of so many examples are kept as a matrix.
+OFTEN = 8
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -47,77 +52,124 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray
     return out, limits
 
 
-def informative(keys: list[np.ndarray], labels: np.ndarray, most: int, least_docs: int = 3, least_g: float = 25.0, least_lift: float = LEAST_LIFT) -> np.ndarray:
-    """Terms over-represented in label 1: at least `least_lift` times as common there, by a likelihood ratio of `least_g` or more.
-
-    keys: the distinct terms of each example.
-    """
-    none = np.zeros(0, np.uint64)
-    (k0, a), (terms, b) = (np.unique(np.concatenate([none, *(k for k, y in zip(keys, labels) if y == c)]), return_counts=True) for c in (0, 1))
-    common_ = b >= least_docs
-    terms, b = terms[common_], b[common_].astype(float)
-    at = np.minimum(np.searchsorted(k0, terms), max(0, len(k0) - 1))
-    a = np.where(k0[at] == terms, a[at], 0).astype(float) if len(k0) else np.zeros(len(terms))
-    n0, n1 = float((labels == 0).sum()), float((labels == 1).sum())
-    both = (a + b) / max(1.0, n0 + n1)
+def relevance(with_term: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """How surely terms stand out in label 1, from LEAST_RELEVANCE to 1; with_term: examples of labels 0 and 1 that hold each."""
+    a, b = with_term.astype(float)
+    both = (a + b) / max(1, n0 + n1)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = sum(np.where(x > 0, 2 * x * np.log(x / (m * q)), 0.0) for x, m, q in ((a, n0, both), (b, n1, both), (n0 - a, n0, 1 - both), (n1 - b, n1, 1 - both)))
-    good = np.flatnonzero((g >= least_g) & ((b + 0.5) / (n1 + 1) >= least_lift * (a + 0.5) / (n0 + 1)))
-    return terms[good[np.lexsort((terms[good], -g[good]))][:most]]
+    lift = (b + 0.5) / (n1 + 1) / ((a + 0.5) / (n0 + 1))
+    sure = np.where(lift > 1, np.maximum(g, 0) / (np.maximum(g, 0) + HALF_G) * np.minimum(1, lift / FULL_LIFT), 0)
+    return LEAST_RELEVANCE + (1 - LEAST_RELEVANCE) * sure
+
+
+def _arrays(bag) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted terms and their counts of a mapping, or as they are."""
+    if isinstance(bag, dict):
+        keys = sorted(bag)
+        return np.array(keys, np.uint64), np.array([bag[x] for x in keys], np.int64)
+    return bag
+
+
+def _unit(rows: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Weights of n vectors (their rows in order), scaled to length 1."""
+    return w / np.maximum(1e-300, np.sqrt(np.bincount(rows, w * w, n)))[rows]
 
 
 class BlockMax:
     """Inverted index with block maxima over examples' unit vectors."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, bags: list[dict], k: int, prior: float):
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, bags: list, k: int, prior: float):
         order = np.argsort(terms)
-        self.terms, self.idf = terms[order], idf[order]
+        self.terms, self.weight = terms[order], weight[order]
         self.ids, self.labels, self.weights, self.k, self.prior = ids, labels, weights, k, prior
-        self.n_blocks = -(-max(1, len(ids)) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for e, bag in enumerate(bags):
-            at, w = self.vector(bag)
-            for t, x in zip(at.tolist(), w.tolist()):
-                postings[t].append((e, x))
-        self.examples = [np.array([e for e, _ in p], np.int64) for p in postings]
-        self.values = [np.array([x for _, x in p]) for p in postings]
-        self.best = np.zeros((len(self.terms), self.n_blocks))  # block maxima
-        self.limits = []  # a term's postings by block
-        for t, (e, x) in enumerate(zip(self.examples, self.values)):
-            np.maximum.at(self.best[t], e // BLOCK, x)
-            self.limits.append(np.searchsorted(e, np.arange(self.n_blocks + 1) * BLOCK))
-
-    def vector(self, bag: dict) -> tuple[np.ndarray, np.ndarray]:
+        self.n, self.n_blocks = len(ids), -(-max(1, len(ids)) // BLOCK)
+        found = [self.vector(bag) for bag in bags]
+        none = np.zeros(0, np.int64)
+        t = np.concatenate([none, *(a for a, _ in found)])
+        x = np.concatenate([none.astype(float), *(w for _, w in found)])
+        e = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
+        # Terms of many examples are rows of a matrix, the others lists of postings.
+        df = np.bincount(t, minlength=len(self.terms))
+        often = np.flatnonzero(df * OFTEN > self.n)
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n_blocks * BLOCK))
+        dense = self.row[t] >= 0
+        self.matrix[self.row[t[dense]], e[dense]] = x[dense]
+        best = np.zeros((len(self.terms), self.n_blocks))
+        np.maximum.at(best, (t, e // BLOCK), x)
+        self.best = np.nextafter(best.astype(np.float32), np.float32(np.inf))  # block maxima; not less than the exact ones
+        t, x, e = t[~dense], x[~dense], e[~dense]
+        order = np.lexsort((e, t))
+        self.example, self.value = e[order].astype(np.int32), x[order]
+        cell = t[order] * self.n_blocks + self.example // BLOCK
+        self.limits = np.searchsorted(cell, np.arange(len(self.terms) * self.n_blocks + 1)).astype(np.int32)  # postings of each term in each block
+
+    def vector(self, bag) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms (as rows of the index) and their weights; of length 1 unless it has none."""
-        keys = np.array(sorted(bag), np.uint64)
-        at = np.minimum(np.searchsorted(self.terms, keys), len(self.terms) - 1)
+        keys, n = _arrays(bag)
+        at = np.minimum(np.searchsorted(self.terms, keys), max(0, len(self.terms) - 1))
         own = self.terms[at] == keys if len(self.terms) else np.zeros(len(keys), bool)
         at = at[own]
-        w = np.array([1 + math.log(bag[int(t)]) for t in keys[own].tolist()]) * self.idf[at]
-        return at, w / max(1e-300, math.sqrt(float((w * w).sum())))
-
-    def nearest(self, bag: dict, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest with a cosine above 0, best first."""
-        at, w = self.vector(bag)
-        bound = w @ self.best[at] if len(at) else np.zeros(0)
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(found) == self.k and bound[b] < -found[-1][0]):
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist()):
-                i, j = self.limits[t][b], self.limits[t][b + 1]
-                score[self.examples[t][i:j] - b * BLOCK] += x * self.values[t][i:j]
-            hits = np.flatnonzero(score > 0)
-            found = sorted(found + [(-round(float(score[h]), 12), b * BLOCK + int(h)) for h in hits if b * BLOCK + h != skip])[: self.k]
-        return np.array([e for _, e in found], np.int64), np.array([-s for s, _ in found])
-
-    def score(self, bag: dict, skip: int = -1) -> tuple[float, np.ndarray]:
-        """Votes by cosine against the prior, which counts as a tenth of a mean example's vote."""
-        e, s = self.nearest(bag, skip)
-        v = s**2 * self.weights[e]
-        base = 0.1 * float(self.weights.mean()) if len(self.weights) else 1.0
-        return float(((v * self.labels[e]).sum() + base * self.prior) / (v.sum() + base)), e
+        w = (1 + np.log(n[own])) * self.weight[at]
+        return at, _unit(np.zeros(len(w), np.int64), w, 1)
+
+    def _open(self, cosine: np.ndarray, wanted: np.ndarray, matrix: np.ndarray, rows: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        """Cosines of the texts with the examples of the blocks wanted(text, block)."""
+        n = len(cosine)
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            texts = np.flatnonzero(wanted[:, b])
+            part = np.zeros((n, BLOCK))
+            part[texts] = matrix[texts] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
+            low = self.limits[at * self.n_blocks + b]
+            count = self.limits[at * self.n_blocks + b + 1] - low
+            use = np.flatnonzero((count > 0) & wanted[rows, b])
+            low, count = low[use].astype(np.int64), count[use].astype(np.int64)
+            place = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            part += np.bincount(np.repeat(rows[use], count) * BLOCK + self.example[place] - b * BLOCK, np.repeat(w[use], count) * self.value[place], n * BLOCK).reshape(n, BLOCK)
+            cosine[texts, b * BLOCK : (b + 1) * BLOCK] = part[texts]
+
+    def nearest(self, rows: np.ndarray, at: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k nearest with a cosine above 0 of n texts, best first; (rows, at, w): unit vectors."""
+        row = self.row[at]
+        matrix = np.zeros((n, len(self.matrix)))
+        matrix[rows[row >= 0], row[row >= 0]] = w[row >= 0]
+        bound = np.zeros((n, self.n_blocks))
+        for i in range(0, len(at), 1 << 14):
+            own = rows[i : i + (1 << 14)]
+            if len(own):
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                bound[own[first]] += np.add.reduceat(w[i : i + (1 << 14), None] * self.best[at[i : i + (1 << 14)]], first, axis=0)
+        rare = row < 0
+        rows, at, w = rows[rare], at[rare], w[rare]
+        cosine = np.zeros((n, self.n_blocks * BLOCK))
+        opened = np.arange(self.n_blocks) == bound.argmax(1)[:, None]
+        self._open(cosine, opened, matrix, rows, at, w)
+        k = min(self.k, cosine.shape[1])
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+        self._open(cosine, ~opened & (bound > 0) & (bound >= least[:, None] - 1e-9), matrix, rows, at, w)
+        cosine = np.round(cosine, 12)
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+        text, example = np.nonzero((cosine >= least[:, None]) & (cosine > 0))
+        found = cosine[text, example]
+        order = np.lexsort((example, -found, text))
+        text, example, found = text[order], example[order], found[order]
+        first = np.arange(len(text)) - np.searchsorted(text, text) < self.k
+        return text[first], example[first], found[first]
+
+    def score(self, rows: np.ndarray, at: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Scores of n texts, and their nearest examples.
+
+        Examples vote by squared cosine; the rate of label 1 counts as a tenth of a mean example's vote as near as the nearest.
+        """
+        text, example, cosine = self.nearest(rows, at, w, n)
+        vote = cosine**2 * self.weights[example]
+        first = np.searchsorted(text, np.arange(n + 1))
+        top = np.where(first[1:] > first[:-1], cosine[np.minimum(first[:-1], max(0, len(cosine) - 1))], 1.0) if len(cosine) else np.ones(n)
+        base = 0.1 * (float(self.weights.mean()) if self.n else 1.0) * top**2
+        ones, all_ = np.bincount(text, vote * self.labels[example], n), np.bincount(text, vote, n)
+        return (ones + base * self.prior) / (all_ + base), np.split(example, first[1:-1])
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_label: tuple[int, int], seed: int = 5) -> tuple[list, dict[int, int], DataFrame]:
@@ -134,7 +186,7 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_label: tuple[
     return rows, counts, marked
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: tuple[int, int] = (3000, 1000), k: int = 15, most_terms: int = 4096) -> BlockMax:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: tuple[int, int] = (3000, 1000), k: int = 15) -> BlockMax:
     """The index over about `per_label` rows of labels 0 and 1; its document frequencies are counted over all docs."""
     rows, counts, marked = sample(docs, labels, usable, per_label)
     bags, ids, y = [], [], []
@@ -145,57 +197,53 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: tuple[int
             continue  # copies, exact or near, would make all of their words stand out
         known[r.toxic] = np.append(known[r.toxic], own)
         raw = np.frombuffer(r.text.encode(), np.uint8)
-        bags.append(np.unique(np.concatenate([h for h, _ in tokens(raw, np.array([0, len(raw)]))[0]]), return_counts=True))
+        keys, n = np.unique(np.concatenate([h for h, _ in tokens(raw, np.array([0, len(raw)]))[0]]), return_counts=True)
+        bags.append((keys, n.astype(np.int32)))
         ids.append(r.doc_id)
         y.append(r.toxic)
+    del rows
     labels01 = np.array(y, int)
     weights = np.array([counts.get(c, 0) / max(1, y.count(c)) for c in (0, 1)])[labels01]
-    terms = np.sort(informative([k for k, _ in bags], labels01, most_terms))
-    n_docs, df, by_label = document_frequencies(docs, marked, terms)
-    # What stood out in the sample by chance doesn't among all labelled rows.
-    rates = (by_label + 0.5) / (np.array([[counts.get(0, 0)], [counts.get(1, 0)]]) + 1)
-    sure = rates[1] >= LEAST_LIFT * rates[0]
-    terms, df = terms[sure], df[sure]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    bags = [dict(zip(k[own].tolist(), n[own].tolist())) for k, n in bags for own in [np.isin(k, terms)]]
-    none = np.array([not bag for bag in bags], bool)
-    base = none if none.any() else ~none
-    prior = float((weights * labels01)[base].sum() / max(1e-300, weights[base].sum()))
-    return BlockMax(terms, idf, np.array(ids, np.int64), labels01, weights, bags, k, prior)
-
-
-def document_frequencies(docs: DataFrame, marked: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of rows; of those, how many hold each of the sorted terms; and how many of each label: counted over all rows."""
+    prior = float((weights * labels01).sum() / max(1e-300, weights.sum()))
+    terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in bags)]), return_counts=True)
+    terms = terms[df >= 2]
+    holds = np.zeros((2, len(terms)))
+    for (keys, _), c in zip(bags, y):
+        holds[c, np.searchsorted(terms, keys[np.isin(keys, terms, assume_unique=True)])] += 1
+    n_docs, df = document_frequencies(docs, terms)
+    weight = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(holds, y.count(0), y.count(1))
+    return BlockMax(terms, weight, np.array(ids), labels01, weights, bags, k, prior)
+
+
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of rows, and how many of them hold each of the sorted terms: counted over all rows, once a task before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         own = shared.value
+        lookup, n, n_rows = Lookup(own.view(np.int64), np.arange(len(own))), np.zeros(len(own), np.int64), 0
         for batch in batches:
-            at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, j, data, offsets in common.slices(batch.column(1)):
-                rows, t = occurrences(own, data, offsets)
-                pairs = np.unique((rows + i) * np.int64(len(own) + 1) + t)
-                at.append(pairs // (len(own) + 1))
-                found.append(pairs % (len(own) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], names=["doc_id", "t"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    pairs = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t long").join(marked, "doc_id", "left")
-    df, by_label = np.zeros(len(terms)), np.zeros((2, len(terms)))
-    for r in pairs.groupBy("t", "toxic").count().collect() if len(terms) else ():  # a few rows a term
-        df[r.t] += r["count"]
-        if r.toxic is not None:
-            by_label[r.toxic, r.t] += r["count"]
-    return docs.count(), df, by_label
-
-
-def occurrences(terms: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) for each place of one of the sorted terms."""
+            n_rows += batch.num_rows
+            for _, _, data, offsets in common.slices(batch.column(0)):
+                rows, t = occurrences(lookup, data, offsets)
+                n += np.bincount(np.unique(rows * np.int64(len(own) + 1) + t) % (len(own) + 1), minlength=len(own))
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(n[held], n_rows))], names=["t", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term at most
+    t, n = counted.column("t").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(len(terms))
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
+
+
+def occurrences(lookup: Lookup, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) for each place of one of the terms, whose numbers `lookup` has."""
     kinds, limits = tokens(data, offsets)
     rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for h, word in kinds if len(terms) else ():
-        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        own = np.flatnonzero(terms[at] == h)
+    for h, word in kinds if len(lookup.keys) else ():
+        at = lookup.get(h.view(np.int64), -1).astype(np.int64)
+        own = np.flatnonzero(at >= 0)
         rows.append(np.searchsorted(limits, word[own], "right") - 1)
         found.append(at[own])
     return np.concatenate(rows), np.concatenate(found)
@@ -205,32 +253,31 @@ def score(docs: DataFrame, index: BlockMax, keep: tuple[str, ...] = ("doc_id",))
     """The `keep` columns of docs(text, ...) with score and evidence (ids of the nearest examples, at most 3)."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     frame = docs.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("text").alias("_text_"))
+    kind = "long" if index.ids.dtype.kind != "U" else "string"
 
     def run(batches):
         own = shared.value
-        seen: dict[tuple, tuple[float, list[int]]] = {}
+        lookup = Lookup(own.terms.view(np.int64), np.arange(len(own.terms)))
+        many = np.int64(len(own.terms) + 1)
         for batch in batches:
-            n, scores, evidence = batch.num_rows, np.full(batch.num_rows, own.prior), [[] for _ in range(batch.num_rows)]
-            for i, _, data, offsets in common.slices(batch.column(len(keep))):
-                rows, at = occurrences(own.terms, data, offsets)
-                bags: dict[int, Counter] = {}
-                for r, t in zip(rows.tolist(), at.tolist()):
-                    bags.setdefault(r, Counter())[int(own.terms[t])] += 1
-                for r, bag in bags.items():
-                    if (key := tuple(sorted(bag.items()))) not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        s, e = own.score(bag)
-                        seen[key] = s, own.ids[e[:3]].tolist()
-                    scores[i + r], evidence[i + r] = seen[key]
-            assert len(scores) == n
+            scores, evidence = np.full(batch.num_rows, own.prior), []
+            for first, end, data, offsets in common.slices(batch.column(len(keep)), 1 << 19):
+                rows, at = occurrences(lookup, data, offsets)
+                pairs, count = np.unique(rows * many + at, return_counts=True)
+                rows, at = pairs // many, pairs % many
+                w = _unit(rows, (1 + np.log(count)) * own.weight[at], end - first)
+                for i in range(first, end, 256):
+                    j = min(i + 256, end)
+                    a, b = np.searchsorted(rows, (i - first, j - first))
+                    scores[i:j], examples = own.score(rows[a:b] - (i - first), at[a:b], w[a:b], j - i)
+                    evidence += [own.ids[e[:3]].tolist() for e in examples]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(np.clip(scores, 0, 1)), pa.array(evidence, pa.list_(pa.int64()))],
+                [*batch.columns[: len(keep)], pa.array(np.clip(scores, 0, 1)), pa.array(evidence, pa.list_(pa.int64() if kind == "long" else pa.string()))],
                 names=[*(f"_{c}" for c in keep), "score", "evidence"],
             )
 
     types = ", ".join(f"`_{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = frame.mapInArrow(run, f"{types}, score double, evidence array<long>")
+    out = frame.mapInArrow(run, f"{types}, score double, evidence array<{kind}>")
     return out.select(*(F.col(f"_{c}").alias(c) for c in keep), "score", "evidence")
 
 
