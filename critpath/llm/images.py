@@ -10,10 +10,11 @@ one cell of `shift` pixels, in any of four grids half a cell apart. Classes of c
 components of links.
 
 Identical images are one class before any of that. A group of m copies has m * m / 2 links, which
-are never all made: first every image is compared with the least image that
-has one of its descriptors, exactly; then all matches between different components are voted on. A pair
-left out lies in one component already, so components are those of all links.
-A bucket of more than `bucket_points` points is dealt into blocks, and every two of its blocks meet.
+are never all made: first every keypoint is paired, for each of a few random orders of images, only with the first
+image that it matches, so that most copies of a group meet the same few images; then all matches between images
+that are still in different components are voted on. A pair
+left out lies in one component already, so components are those of all links. Buckets of a table are compared in memory, a
+bucket of more than `bucket_points` points piece by piece; in the second round every two pieces of such a bucket meet in a task.
 
 Media are binary PGM (P5) or PPM (P6) files of 8 bits. Defined results: null, empty or unreadable media and
 images too small for a patch have no keypoints and no links; identical media still share a class,
@@ -28,7 +29,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critpath.operators.components import components
@@ -179,51 +181,159 @@ def _agreeing(pairs: DataFrame, agree: int, shift: int) -> DataFrame:
     return cells.groupBy("u", "v", "turn", "step", "c").agg(F.count("*").alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))
 
 
-def _near(a: str, b: str, most: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
-
-
-def _first_links(described: DataFrame, slack: int, agree: int, shift: int) -> DataFrame:
-    """u, v: links of images with the least image that has the same descriptor, by equal descriptors alone."""
-    points = described.select("id", F.inline("points"))
-    least = points.groupBy("descriptor").agg(F.min(F.struct("id", "place", "check")).alias("least"), F.max("id").alias("last")).where(F.col("least.id") < F.col("last"))
-    pairs = points.join(least, "descriptor").where((F.col("least.id") < F.col("id")) & _near("least.check", "check", slack))
-    return _agreeing(pairs.select(F.col("least.id").alias("u"), F.col("id").alias("v"), F.col("least.place").alias("a"), F.col("place").alias("b")), agree, shift).select("u", "v")
-
-
 def _tables(radius: int) -> list[int]:
     """Masks of the Hamming tables: disjoint runs of bits, one more than may differ."""
     masks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), radius + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _cross_links(described: DataFrame, roots: DataFrame, radius: int, slack: int, agree: int, shift: int, bucket_points: int) -> DataFrame:
-    """u, v: all links between images of different roots(id, root); an image without one is its own."""
-    points = described.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.inline("points"))
-    masks = _tables(radius)
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("descriptor").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
-    rows = points.select("id", "root", "descriptor", "check", "place", keys.alias("k")).select("k.*", "id", "root", "descriptor", "check", "place")
-    mixed = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    rows = rows.join(mixed.drop("lo", "hi"), ["t", "key"])
-    n_blocks = F.ceil(F.col("n") / bucket_points).cast("int")
-    rows = rows.select("t", "key", "id", "root", "descriptor", "check", "place", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id", "place"), n_blocks).cast("int").alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "descriptor", "check", "place")
-    firsts = rows.select("t", "key", "i", "j", *(F.col(c).alias(f"a_{c}") for c in ("block", "id", "root", "descriptor", "check", "place")))
-    differ = F.col("a_descriptor").bitwiseXOR(F.col("descriptor"))
-    # Where two blocks meet, pairs inside one of them are left to that block; points alike in several tables meet in the first.
-    own = (F.col("i") == F.col("j")) | (F.col("a_block") != F.col("block"))
-    for t, m in enumerate(masks[:-1]):
-        own &= (F.col("t") <= t) | (differ.bitwiseAND(F.lit(m)) != 0)
-    pairs = firsts.join(rows, ["t", "key", "i", "j"]).where((F.col("a_id") < F.col("id")) & (F.col("a_root") != F.col("root")) & (F.bit_count(differ) <= radius) & _near("a_check", "check", slack) & own)
-    return _agreeing(pairs.select(F.col("a_id").alias("u"), F.col("id").alias("v"), F.col("a_place").alias("a"), F.col("place").alias("b")), agree, shift).select("u", "v")
+def _keyed(points: DataFrame, radius: int) -> DataFrame:
+    """points, once for each table t, with their key there."""
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("descriptor").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_tables(radius)))))
+    return points.withColumn("k", keys).select("k.*", *points.columns)
+
+
+def _buckets(batches, limit: int | None = None):
+    """(rows, whole) for runs of whole buckets of sorted batches; with `limit` a bucket that is larger, and than a batch, comes in pieces that aren't whole."""
+    held: list[pa.RecordBatch] = []
+    pieces = False  # the first bucket of what is held has been cut before
+    for batch in batches:
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        own, key = t.column("t").to_numpy(), t.column("key").to_numpy()
+        last = (own == own[-1]) & (key == key[-1]) if len(own) else np.zeros(0, bool)
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if len(own) and not last.all() else 0
+        if cut and pieces:
+            end = int(np.flatnonzero((own != own[0]) | (key != key[0]))[0])
+            yield t.slice(0, end), False
+            if cut > end:
+                yield t.slice(end, cut - end), True
+            pieces = False
+        elif cut:
+            yield t.slice(0, cut), True
+        t = t.slice(cut)
+        while limit and t.num_rows > limit:
+            yield t.slice(0, limit), False
+            t, pieces = t.slice(limit), True
+        held = t.to_batches()
+    if held:
+        yield pa.Table.from_batches(held), not pieces
+
+
+def _matches(t: pa.Table, radius: int, slack: int):
+    """(i, j) of matching rows of different images in one bucket, a distance between them in the table at a time."""
+    own, key = t.column("t").to_numpy(), t.column("key").to_numpy()
+    d, check = (t.column(c).to_numpy().view(np.uint64) for c in ("descriptor", "check"))
+    image = _codes(t.column("id"))
+    n = len(own)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+    end = np.append(np.flatnonzero(fresh)[1:], n)[np.cumsum(fresh) - 1]
+    left, offset = np.arange(n), 0
+    while True:
+        offset += 1
+        left = left[left + offset < end[left]]
+        if not len(left):
+            return
+        i = left[image[left] != image[left + offset]]
+        i = i[np.bitwise_count(d[i] ^ d[i + offset]) <= radius]
+        i = i[np.bitwise_count(check[i] ^ check[i + offset]) <= slack]
+        if len(i):
+            yield i, i + offset
+
+
+def _codes(ids: pa.ChunkedArray) -> np.ndarray:
+    """A number for each id: the same for the same id, whatever else is there."""
+    if pa.types.is_integer(ids.type):
+        return common.mix(ids.to_numpy().astype(np.int64).view(np.uint64))
+    return common.hash_words([str(x).encode() for x in ids.to_pylist()])
+
+
+def _pairs(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """u, v, a, b: pairs of rows with the smaller id first."""
+    ids = t.column("id").combine_chunks()
+    first = pc.less(ids.take(pa.array(i)), ids.take(pa.array(j))).to_numpy(zero_copy_only=False)
+    i, j = pa.array(np.where(first, i, j)), pa.array(np.where(first, j, i))
+    place = t.column("place").combine_chunks()
+    return pa.RecordBatch.from_arrays([ids.take(i), ids.take(j), place.take(i), place.take(j)], names=["u", "v", "a", "b"])
+
+
+def _first_matches(points: DataFrame, radius: int, slack: int, bucket_points: int, orders: int = 4) -> DataFrame:
+    """u, v, a, b: of each keypoint the match whose image comes first, for each of a few random orders of images.
+
+    A larger bucket leaves one row more for each of its pieces: u and v null, a its table, b its key.
+    """
+    kind = points.schema["id"].dataType
+
+    def run(batches):
+        for t, whole in _buckets(batches, bucket_points):
+            n, image = t.num_rows, _codes(t.column("id"))
+            found = [np.zeros((0, 2), np.int64)]
+            rank = [common.mix(image ^ common.mix(np.array([s + 1], np.uint64))) for s in range(orders)]
+            best = [np.full(n, np.iinfo(np.uint64).max) for _ in rank]
+            lead = [np.full(n, -1) for _ in rank]
+            for i, j in _matches(t, radius, slack):
+                for r, least, to in zip(rank, best, lead):
+                    for x, y in ((i, j), (j, i)):
+                        better = r[y] < least[x]
+                        least[x[better]], to[x[better]] = r[y[better]], y[better]
+            for to in lead:
+                x = np.flatnonzero(to >= 0)
+                found.append(np.stack([np.minimum(x, to[x]), np.maximum(x, to[x])], 1))
+            i, j = np.unique(np.concatenate(found), axis=0).T
+            yield _pairs(t, i, j)
+            if not whole:
+                none = pa.nulls(1, t.column("id").type)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([t.column("t")[0].as_py()]), t.column("key").slice(0, 1).combine_chunks()], names=["u", "v", "a", "b"])
+
+    sorted_ = _keyed(points, radius).repartition("t", "key").sortWithinPartitions("t", "key")
+    return sorted_.mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}, a long, b long")
+
+
+def _cross_matches(points: DataFrame, roots: DataFrame, large: DataFrame, radius: int, slack: int, bucket_points: int) -> DataFrame:
+    """u, v, a, b: all matches between images of different roots(id, root), an image without one being its own; large(t, key, n_blocks): buckets in pieces."""
+    kind = points.schema["id"].dataType.simpleString()
+    rows = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = _keyed(rows, radius)
+
+    def run(batches):
+        for t, _ in _buckets(batches):
+            root = _codes(t.column("root"))
+            for i, j in _matches(t, radius, slack):
+                apart = root[i] != root[j]
+                if apart.any():
+                    yield _pairs(t, i[apart], j[apart])
+
+    schema = f"u {kind}, v {kind}, a long, b long"
+    small = rows.join(large, ["t", "key"], "left_anti") if not large.isEmpty() else rows
+    found = small.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, schema)
+    if large.isEmpty():
+        return found
+    rows = rows.join(large, ["t", "key"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "place"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def meet(t: pa.Table) -> pa.Table:
+        root, block = _codes(t.column("root")), t.column("block").to_numpy()
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        out = [_pairs(t, *(np.zeros(0, np.int64),) * 2)]
+        for i, j in _matches(t, radius, slack):
+            own = (root[i] != root[j]) & (same | (block[i] != block[j]))  # pairs inside a block are left to that block
+            out.append(_pairs(t, i[own], j[own]))
+        return pa.Table.from_batches(out)
+
+    return found.unionByName(rows.groupBy("t", "key", "i", "j").applyInArrow(meet, schema))
 
 
 def roots_of(described: DataFrame, radius: int = 2, slack: int = 8, agree: int = 4, shift: int = 12, bucket_points: int = 1024) -> DataFrame:
     """id, root: of every linked image of described(id, points), ids distinct, the smallest id in its component of links."""
-    first = common.checkpointed(_first_links(described, slack, agree, shift))
-    roots = components(first).select(F.col("node").alias("id"), "root")
-    cross = common.checkpointed(_cross_links(described, roots, radius, slack, agree, shift, bucket_points))
+    points = described.select("id", F.inline("points"))
+    found = common.checkpointed(_first_matches(points, radius, slack, bucket_points))
+    first = common.checkpointed(_agreeing(found.where("u is not null"), agree, shift).select("u", "v"))
+    large = found.where("u is null").groupBy(F.col("a").cast("int").alias("t"), F.col("b").alias("key")).agg((F.count("*") + 1).cast("int").alias("n_blocks"))
+    roots = common.checkpointed(components(first).select(F.col("node").alias("id"), "root"))
+    cross = _cross_matches(points, roots, common.checkpointed(large), radius, slack, bucket_points)
+    cross = common.checkpointed(_agreeing(cross, agree, shift).select("u", "v"))
     return components(first.unionByName(cross)).select(F.col("node").alias("id"), "root")
 
 
