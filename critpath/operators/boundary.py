@@ -18,6 +18,14 @@ def with_pids(edges: DataFrame, partitions: DataFrame) -> DataFrame:
     return edges.join(p.withColumnsRenamed({"v": "src", "pid": "ps"}), "src").join(p.withColumnsRenamed({"v": "dst", "pid": "pd"}), "dst")
 
 
+def check_boundary(found: DataFrame, partitions: DataFrame) -> DataFrame:
+    """The same boundary; a partition without a boundary vertex is an error."""
+    bare = partitions.select("pid").distinct().join(found.select("pid").distinct(), "pid", "left_anti").limit(1).collect()
+    if bare:
+        raise ValueError(f"partition {bare[0].pid} has no boundary vertex")
+    return found
+
+
 def boundary(edges: DataFrame, partitions: DataFrame) -> DataFrame:
     """v, pid, tag of vertices with a neighbour in another partition.
 
@@ -37,10 +45,24 @@ def boundary_stats(found: DataFrame) -> DataFrame:
     return n.agg(F.sum("n").alias("n_boundary"), F.floor(F.sum("n") / F.count("*")).alias("avg_boundary"), F.max("n").alias("max_boundary"))
 
 
-def local_distances(long: DataFrame, partitions: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+def _passed(best: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Which distances best[s, b] between the same vertices are also those of a way through a third one.
+
+    Finite positive distances; `to` are the columns of the rows' own vertices. One vertex in the middle is tried at a time.
+    """
+    through = np.zeros(best.shape, bool)
+    for x in range(len(to)):
+        first, second = best[:, to[x]].copy(), best[x].copy()
+        first[x] = second[to[x]] = FAR  # not the ends themselves
+        through |= (first[:, None] + second[None, :] == best) & (best < FAR)
+    return through
+
+
+def local_distances(long: DataFrame, partitions: DataFrame, starts: DataFrame, ends: DataFrame, pruned: bool = False) -> DataFrame:
     """pid, cri, s, b, dist: least distances inside a partition, from its starts(v, pid) to its ends(v, pid).
 
-    One task searches one partition, whose size is bounded by the partitioner.
+    One task searches one partition, whose size is bounded by the partitioner. Pruned (starts and ends alike): a pair
+    stays if under some criterion no shortest path between them passes another of the vertices.
     """
     ship(long.sparkSession)
     inner = with_pids(long, partitions).where("ps = pd").select(F.col("ps").alias("pid"), F.col("cri").cast("int").alias("cri"), "src", "dst", "w")
@@ -59,6 +81,15 @@ def local_distances(long: DataFrame, partitions: DataFrame, starts: DataFrame, e
                 x, y = np.nonzero((best < FAR) & (s[:, None] != goals[there][None, :]))
                 parts.append(pd.DataFrame({"cri": np.full(len(x), c, np.int32), "s": s[x], "b": goals[there][y], "dist": best[x, y]}))
         out = pd.concat(parts, ignore_index=True)
+        if pruned and len(out):
+            v, kept = np.unique(out[["s", "b"]].to_numpy()), []
+            for c, d in out.groupby("cri"):
+                best = np.full((len(v), len(v)), FAR)
+                best[np.searchsorted(v, d.s), np.searchsorted(v, d.b)] = d.dist
+                x, y = np.nonzero((best < FAR) & ~_passed(best, np.arange(len(v))))
+                kept.append(x * len(v) + y)
+            pair = np.searchsorted(v, out.s) * len(v) + np.searchsorted(v, out.b)
+            out = out[np.isin(pair, np.concatenate(kept))].reset_index(drop=True)
         out.insert(0, "pid", np.full(len(out), asked.pid.iloc[0] if len(asked) else -1, np.int32))
         return out
 
@@ -71,13 +102,7 @@ def shortcuts_long(long: DataFrame, partitions: DataFrame, found: DataFrame, pru
     Pruned: a pair stays if under some criterion no shortest path between them passes
     another boundary vertex; then its distances under all criteria stay.
     """
-    d = local_distances(long, partitions, found.select("v", "pid"), found.select("v", "pid"))
-    if not pruned:
-        return d
-    first, second = d.select("pid", "cri", "s", F.col("b").alias("x"), F.col("dist").alias("d1")), d.select("pid", "cri", F.col("s").alias("x"), "b", F.col("dist").alias("d2"))
-    through = first.join(second, ["pid", "cri", "x"]).groupBy("pid", "cri", "s", "b").agg(F.min(F.col("d1") + F.col("d2")).alias("through"))
-    kept = d.join(through, ["pid", "cri", "s", "b"], "left").where("through is null or through > dist").select("s", "b").distinct()
-    return d.join(kept, ["s", "b"], "left_semi")
+    return local_distances(long, partitions, found.select("v", "pid"), found.select("v", "pid"), pruned)
 
 
 def shortcuts(long: DataFrame, partitions: DataFrame, found: DataFrame, criteria: int, pruned: bool = True) -> DataFrame:

@@ -28,12 +28,20 @@ def spanning_tree(undirected: DataFrame, strategy: str = "auto") -> DataFrame:
     """u, v, w: the minimum spanning forest of (u, v, w); equal weights in order of u, then v.
 
     Within TREE_ROWS one task builds it; beyond, rounds in which every component takes its least
-    outgoing edge. The order is strict, so both give the same edges.
+    outgoing edge. The order is strict, so both give the same edges. `prim` grows one tree from the least vertex in one
+    task, with equal weights in order of the vertex reached, and takes a connected graph only.
     """
     ship(undirected.sparkSession)
     edges = undirected.select("u", "v", F.col("w").cast("long").alias("w")).where("u <> v")
     if strategy == "auto":
         strategy = "kernel" if edges.limit(TREE_ROWS + 1).count() <= TREE_ROWS else "rounds"
+    if strategy == "prim":
+
+        def grow(own: pd.DataFrame) -> pd.DataFrame:
+            tree = kernels.prim(own.u.to_numpy(), own.v.to_numpy(), own.w.to_numpy())
+            return pd.DataFrame([(min(a, b), max(a, b), w) for a, b, w in tree], columns=["u", "v", "w"]).astype("int64")
+
+        return edges.groupBy(F.lit(0).alias("g")).applyInPandas(grow, "u long, v long, w long")
     if strategy == "kernel":
 
         def run(own: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import numpy as np
@@ -17,7 +18,9 @@ class Adjacency:
         self.ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         a, b = at[: len(src)], at[len(src) :]
         order = np.argsort(a, kind="stable")
-        self.to, self.w = b[order], np.asarray(w, np.int64)[order]
+        w = np.asarray(w, np.int64)[order]
+        small = not len(w) or w.max() < 1 << 31  # half the bytes to send
+        self.to, self.w = b[order].astype(np.int32), w.astype(np.int32) if small else w
         self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
 
     def places(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +52,27 @@ class Adjacency:
         return best.reshape(n, size)
 
 
+    def meeting(self, s: int, t: int) -> int:
+        """Least distance between two places by a search from both; FAR if there is no path."""
+        best = np.full((2, len(self.ids)), FAR)
+        best[0, s] = best[1, t] = 0
+        fronts, least = [np.array([s]), np.array([t])], FAR if s != t else 0
+        while len(fronts[0]) or len(fronts[1]):
+            side = 0 if len(fronts[1]) == 0 or 0 < len(fronts[0]) <= len(fronts[1]) else 1
+            own, v = best[side], fronts[side]
+            v = v[2 * own[v] <= least]  # an optimal path has labels up to its half from both ends
+            count = self.start[v + 1] - self.start[v]
+            edge = np.repeat(self.start[v] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            reach, to = np.repeat(own[v], count) + self.w[edge], self.to[edge]
+            better = (reach < own[to]) & (reach <= least)
+            reach, to = reach[better], to[better]
+            np.minimum.at(own, to, reach)
+            fronts[side] = np.unique(to)
+            if len(to):
+                least = min(least, int((best[0][to] + best[1][to]).min()))
+        return least
+
+
 def spanning_tree(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list[tuple[int, int, int]]:
     """Edges (w, u, v) of the minimum spanning forest; equal weights in order of the smaller, then the larger end."""
     u, v = np.minimum(src, dst), np.maximum(src, dst)
@@ -69,6 +93,34 @@ def spanning_tree(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list[tuple
     return tree
 
 
+def prim(src: np.ndarray, dst: np.ndarray, w: np.ndarray, start: int | None = None) -> list[tuple[int, int, int]]:
+    """Edges (from, to, w) of the spanning tree in the order in which it grows from `start` (else the least vertex).
+
+    Next comes the lightest edge to a vertex outside; of equal ones that to the smallest vertex, then from the smallest. A graph
+    that isn't connected is an error.
+    """
+    near: dict[int, list[tuple[int, int]]] = {}
+    for a, b, x in zip(src.tolist(), dst.tolist(), w.tolist()):
+        near.setdefault(a, []).append((x, b))
+        near.setdefault(b, []).append((x, a))
+    if not near:
+        return []
+    at = min(near) if start is None else start
+    inside, queue, tree = {at}, [(x, b, at) for x, b in near[at]], []
+    heapq.heapify(queue)
+    while queue:
+        x, b, a = heapq.heappop(queue)
+        if b not in inside:
+            inside.add(b)
+            tree.append((a, b, x))
+            for y, c in near[b]:
+                if c not in inside:
+                    heapq.heappush(queue, (y, c, b))
+    if len(inside) < len(near):
+        raise ValueError("the graph is not connected")
+    return tree
+
+
 def preorder(edges: Iterable[tuple[int, int]]) -> list[int]:
     """Vertices of a forest in depth-first order: roots and children by ascending id."""
     near: dict[int, list[int]] = {}

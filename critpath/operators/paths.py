@@ -31,11 +31,42 @@ def paths(long: DataFrame, labels: DataFrame, source: int, targets: DataFrame) -
     return walked.join(length, ["cri", "t"]).select("cri", "t", (F.col("n") - F.col("back")).cast("int").alias("step"), "v")
 
 
+def meetings(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """cri, t, v, cost: where searches from the source, forward(cri, v, d), and from each target, backward(t, cri, v, d), meet.
+
+    Of the vertices on a shortest path that nearest its middle, then the smallest.
+    """
+    both = forward.join(backward.withColumnRenamed("d", "e"), ["cri", "v"])
+    best = both.groupBy("cri", "t").agg(F.min(F.struct((F.col("d") + F.col("e")).alias("cost"), F.abs(F.col("d") - F.col("e")).alias("off"), "v")).alias("m"))
+    return best.select("cri", "t", "m.v", "m.cost")
+
+
+def bidirectional_paths(long: DataFrame, forward: DataFrame, backward: DataFrame, source: int) -> DataFrame:
+    """cri, t, step, v: paths from the source to each target t, put together at the vertex where the two searches meet."""
+    met = checkpointed(meetings(forward, backward).select("cri", "t", "v"))
+    first = checkpointed(predecessors(long, forward))
+    tight = long.join(backward.select("t", "cri", F.col("v").alias("src"), F.col("d").alias("da")), ["cri", "src"])
+    tight = tight.join(backward.select("t", "cri", F.col("v").alias("dst"), F.col("d").alias("db")), ["t", "cri", "dst"]).where("da + w = db")
+    last = checkpointed(tight.groupBy("t", "cri", F.col("dst").alias("v")).agg(F.min("src").alias("pred")))
+
+    def walk(pred: DataFrame, on: list[str], end) -> DataFrame:
+        at = met.select("cri", "t", "v", F.lit(0).alias("back"))
+        walked = at
+        while not (at := checkpointed(at.where(F.col("v") != end).join(pred, on).select("cri", "t", F.col("pred").alias("v"), (F.col("back") + 1).alias("back")))).isEmpty():
+            walked = walked.unionByName(at)
+        return walked
+
+    ahead = walk(first, ["cri", "v"], F.lit(source))
+    length = ahead.groupBy("cri", "t").agg(F.max("back").alias("n"))
+    ahead = ahead.join(length, ["cri", "t"]).select("cri", "t", (F.col("n") - F.col("back")).alias("step"), "v")
+    return joined_paths(ahead, walk(last, ["cri", "t", "v"], F.col("t")).withColumnRenamed("back", "step"))
+
+
 def joined_paths(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Paths of a bidirectional search: forward to the meeting vertex, then backward from it, in one numbering."""
     n = forward.groupBy("cri", "t").agg(F.max("step").alias("n"))
     rest = backward.join(n, ["cri", "t"]).where("step > 0").select("cri", "t", (F.col("n") + F.col("step")).cast("int").alias("step"), "v")
-    return forward.select("cri", "t", "step", "v").unionByName(rest)
+    return forward.select("cri", "t", F.col("step").cast("int").alias("step"), "v").unionByName(rest)
 
 
 def shown(walk: DataFrame) -> DataFrame:

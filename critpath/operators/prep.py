@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from critpath.functions.ids import ranked
+from critpath.functions.ids import ranked, running
 from critpath.operators.components import components
 
 
@@ -24,9 +25,10 @@ def check_bounds(edges: DataFrame, n: int) -> DataFrame:
     return edges.withColumn("u", F.when(ok, F.col("u")).otherwise(F.raise_error(F.lit("a vertex id is out of bounds"))))
 
 
-def shift_ids(edges: DataFrame, by: int) -> DataFrame:
-    """Ids moved by a constant (1-based files: -1)."""
-    return edges.withColumns({"u": F.col("u") + by, "v": F.col("v") + by})
+def shift_ids(edges: DataFrame, by: int, missing: int | None = None) -> DataFrame:
+    """Ids moved by a constant (1-based files: -1); a weight w of the value `missing` becomes null."""
+    moved = edges.withColumns({"u": F.col("u") + by, "v": F.col("v") + by})
+    return moved if missing is None else moved.withColumn("w", F.when(F.col("w") != missing, F.col("w")))
 
 
 def dedup(edges: DataFrame, order: str, keep: str = "first") -> DataFrame:
@@ -78,10 +80,13 @@ def bounded(w: Column, least: int) -> Column:
     return F.greatest(w.cast("int"), F.lit(least))
 
 
-def derive_criteria(base: DataFrame, least: int, most: int, noise: Sequence[Column], uniform: Column, sigma_percent: int = 10) -> DataFrame:
+def derive_criteria(
+    base: DataFrame, least: int, most: int, noise: Sequence[Column], uniform: Column, sigma_percent: int = 10, factors: tuple[float, float] = (2, 1), second: Column | None = None
+) -> DataFrame:
     """u, v, weights of five criteria from one base weight w of each undirected edge.
 
-    base; correlated around twice and around once the base; anti-correlated; independent.
+    base; correlated around twice and around once the base (`factors`); anti-correlated; independent. With `second`
+    that column of base is the second criterion. The earlier form has factors 0.5 and 0.7 and a sigma of 20 %.
     `noise` gives three standard normal draws (or any other columns) and `uniform` one in
     [0, 1). Draw before mirroring, so that both directions agree.
     """
@@ -92,17 +97,27 @@ def derive_criteria(base: DataFrame, least: int, most: int, noise: Sequence[Colu
         "v",
         F.array(
             w.cast("int"),
-            bounded((2 + s * n1) * w, least),
-            bounded((1 + s * n2) * w, least),
+            bounded((factors[0] + s * n1) * w, least) if second is None else second.cast("int"),
+            bounded((factors[1] + s * n2) * w, least),
             bounded(1000 * (most - (1 + s * n3) * w) / most, least),
             (least + (1000 * uniform * (most - least) / most).cast("int")).cast("int"),
         ).alias("weights"),
     )
 
 
-def random_criteria(base: DataFrame, least: int, most: int, seed: int = 1, sigma_percent: int = 10) -> DataFrame:
-    """derive_criteria with seeded draws."""
-    return derive_criteria(base, least, most, [F.randn(seed + i) for i in range(3)], F.rand(seed + 3), sigma_percent)
+def drawn(seed: int, *keys: str) -> Column:
+    """A number in (0, 1) that depends on the seed and the keys' values alone."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def drawn_normal(seed: int, *keys: str) -> Column:
+    """A standard normal number, likewise."""
+    return F.sqrt(-2 * F.log(drawn(2 * seed, *keys))) * F.cos(2 * math.pi * drawn(2 * seed + 1, *keys))
+
+
+def random_criteria(base: DataFrame, least: int, most: int, seed: int = 1, sigma_percent: int = 10, **how) -> DataFrame:
+    """derive_criteria with draws that an edge's ends decide, so reruns, shuffles and both directions agree."""
+    return derive_criteria(base, least, most, [drawn_normal(4 * seed + i, "u", "v") for i in range(3)], drawn(8 * seed + 7, "u", "v"), sigma_percent, **how)
 
 
 def pivot_layers(layered: DataFrame, layers: Sequence, order: str = "line") -> DataFrame:
@@ -113,11 +128,23 @@ def pivot_layers(layered: DataFrame, layers: Sequence, order: str = "line") -> D
 
 
 def join_criteria(first: DataFrame, second: DataFrame) -> DataFrame:
-    """u, v, weights from two single-criterion tables (u, v, w); an edge that the second lacks is an error."""
-    second = second.select("u", "v", F.col("w").alias("w2"))
-    joined = first.select("u", "v", "w").join(second, ["u", "v"], "left")
-    w2 = F.when(F.col("w2").isNotNull(), F.col("w2")).otherwise(F.raise_error(F.lit("an edge has no second criterion")).cast("int"))
-    return joined.select("u", "v", F.array(F.col("w").cast("int"), w2.cast("int")).alias("weights"))
+    """u, v, weights from two single-criterion tables (u, v, w); an edge that one of them lacks is an error."""
+    a, b = (t.select("u", "v", F.col("w").cast("int").alias(f"w{i}"), F.lit(True).alias(f"in{i}")) for i, t in enumerate((first, second)))
+    joined = a.join(b, ["u", "v"], "full")
+    whole = F.col("in0").isNotNull() & F.col("in1").isNotNull()
+    u = F.when(whole, F.col("u")).otherwise(F.raise_error(F.lit("an edge is in one of the two tables only")).cast("long"))
+    return joined.select(u.alias("u"), "v", F.array("w0", "w1").alias("weights"))
+
+
+def merge_criteria(first: DataFrame, second: DataFrame) -> DataFrame:
+    """u, v, weights: each edge (u, v, w) of the first table, with its weight in the second or null; of repeated rows the largest."""
+    b = second.groupBy("u", "v").agg(F.max("w").cast("int").alias("w1"))
+    return first.join(b, ["u", "v"], "left").select("u", "v", F.array(F.col("w").cast("int"), "w1").alias("weights"))
+
+
+def prefix_offsets(edges: DataFrame) -> DataFrame:
+    """v, degree, offset: where a vertex's edges begin in a list of all, by ascending vertex."""
+    return running(degrees(edges), "degree", "v", name="offset")
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -165,3 +192,12 @@ def category_bitmask(long: DataFrame) -> DataFrame:
 
     bit = F.expr("shiftleft(1L, 1 + cat)")
     return long.withColumn("cat", category(F.col("w"))).groupBy(F.col("src").alias("v"), "cri").agg(F.bit_or(bit).alias("mask"))
+
+
+def category_pools(long: DataFrame) -> DataFrame:
+    """cri, cat, lower, n_pools: for each criterion the categories 0.. up to that of its largest weight, each with its least weight."""
+    from critpath.functions.weights import category
+
+    top = long.groupBy("cri").agg((category(F.max("w")) + 1).alias("n_pools"))
+    pools = top.select("cri", "n_pools", F.explode(F.sequence(F.lit(0), F.col("n_pools") - 1)).alias("cat"))
+    return pools.select("cri", "cat", F.expr("shiftleft(1L, cat)").alias("lower"), "n_pools")

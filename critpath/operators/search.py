@@ -2,8 +2,9 @@
 
 All give the same result. `one_pass` relaxes all queries and criteria in one loop over one
 table of edges; `multi_pass` one criterion after the other; `bidirectional` grows labels from
-both ends; `bucketed` expands near labels first; `kernel` sends a graph of bounded size to every
-task and searches there; `auto` takes the kernel within its bound and else the loop.
+both ends; `bucketed` expands near labels first; `kernel` and `kernel_bidirectional` send a graph of bounded size to every
+task and search there, and beyond the bound take the loop; `stored` reads a partitioned graph on disk, and of
+it only the partitions that have labels to expand.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from critpath.operators.kernels import FAR, Adjacency
 from critpath.runtime import checkpointed, ship
 
 KEY = ["query_id", "cri", "side", "v"]
-#: Long edge rows up to which a graph is sent to every task.
-KERNEL_ROWS = 6_000_000
+#: Size up to which a graph is sent to every task, at 16 bytes a long edge.
+KERNEL_BYTES = 64 << 20
+KERNEL_ROWS = KERNEL_BYTES // 16
+#: Partitions up to which a round of `stored` names those it reads; beyond, it reads all.
+MOST_PIDS = 4096
 
 
 def seeds(od: DataFrame, criteria: int, both: bool = False) -> DataFrame:
@@ -33,28 +37,34 @@ def relax(long: DataFrame, start: DataFrame, od: DataFrame | None = None, meet:
     """query_id, cri, side, v, d: final labels.
 
     A round joins the labels that changed with the edges and keeps the least label of each
-    vertex, in one shuffle by the labels' key. With `od` a label that can't improve its query's
-    answer isn't expanded: one as far as the target's; or with `meet`, one past half of the best
-    meeting (an optimal path always has labels up to its half from both sides). With `width`
+    vertex, in one shuffle by the labels' key. Edges are dealt and sorted by (cri, v) once and cached, so a round
+    shuffles and sorts labels only. With `od` a label that can't improve its query's
+    answer is neither expanded nor made: one as far as the target's; or with `meet`, expanded past half of the best
+    meeting (an optimal path always has labels up to its half from both sides) or made beyond it. With `width`
     only the nearest bucket of that width is expanded.
     """
-    edges = long.select("cri", F.col("src").alias("v"), "dst", "w").repartition("cri", "v").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = long.select("cri", F.col("src").alias("v"), "dst", "w").repartition("cri", "v").sortWithinPartitions("cri", "v").persist(StorageLevel.MEMORY_AND_DISK)
     state = checkpointed(start.groupBy(*KEY).agg(F.min("d").alias("d")).withColumns({"open": F.lit(True), "done": F.lit(False)}))
     try:
         for _ in range(max_rounds):
             ready = state.where("open").drop("done")
+            most = F.lit(None).cast("long")
             if od is not None:
                 if meet:
                     ends = state.groupBy("query_id", "cri", "v").agg(F.min(F.when(F.col("side") == 0, F.col("d"))).alias("a"), F.min(F.when(F.col("side") == 1, F.col("d"))).alias("b"))
                     bound = ends.where("a is not null and b is not null").groupBy("query_id", "cri").agg(F.min(F.col("a") + F.col("b")).alias("most"))
-                    ready = ready.join(bound, ["query_id", "cri"], "left").where("most is null or 2 * d <= most").drop("most")
+                    ready = ready.join(bound, ["query_id", "cri"], "left").where("most is null or 2 * d <= most")
                 else:
                     bound = state.join(od.select("query_id", F.col("t").alias("v")), ["query_id", "v"]).select("query_id", "cri", F.col("d").alias("most"))
-                    ready = ready.join(bound, ["query_id", "cri"], "left").where("most is null or d < most").drop("most")
+                    ready = ready.join(bound, ["query_id", "cri"], "left").where("most is null or d < most")
+                most = F.col("most")
             if width is not None:
                 near = ready.groupBy("query_id", "cri").agg(F.min(F.expr(f"d div {width}")).alias("near"))
                 ready = ready.join(near, ["query_id", "cri"]).where(f"d div {width} <= near").drop("near")
-            reached = ready.join(edges, ["cri", "v"]).select("query_id", "cri", "side", F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("d"))
+            reach = F.col("d") + F.col("w")
+            useful = most.isNull() | (reach <= most if meet else reach < most)
+            reached = ready.join(edges, ["cri", "v"]).where(useful).select("query_id", "cri", "side", F.col("dst").alias("v"), reach.alias("d"))
+            ready = ready.select(*KEY, "d", "open")
             marked = (
                 state.drop("done").withColumn("was", F.col("d"))
                 .unionByName(ready.withColumn("was", F.lit(None).cast("long")).withColumn("done", F.lit(True)), allowMissingColumns=True)
@@ -108,46 +118,43 @@ def bucketed(long: DataFrame, od: DataFrame, criteria: int, width: int = 64) ->
     return _answers(od, criteria, found)
 
 
-class _Graph:
-    """Long edges as arrays, built into adjacency in the task that needs a criterion."""
-
-    def __init__(self, long: DataFrame, limit: int):
-        t = long.select("cri", "src", "dst", "w").limit(limit + 1).toArrow()
-        if t.num_rows > limit:
-            raise ValueError(f"the graph has more than {limit} long edges")
-        self.cri, self.src, self.dst, self.w = (t.column(c).to_numpy() for c in ("cri", "src", "dst", "w"))
-
-    def adjacency(self, c: int) -> Adjacency:
-        own = self.cri == c
-        return Adjacency(self.src[own], self.dst[own], self.w[own])
+def _collected(long: DataFrame, limit: int) -> dict[int, Adjacency] | None:
+    """The graph of each criterion, or None if there are more than `limit` long edges; they are counted before any is sent."""
+    long = long.select("cri", "src", "dst", "w")
+    if long.limit(limit + 1).count() > limit:
+        return None
+    t = long.toArrow()
+    cri, src, dst, w = (t.column(c).to_numpy() for c in ("cri", "src", "dst", "w"))
+    return {int(c): Adjacency(src[own], dst[own], w[own]) for c in np.unique(cri) for own in [cri == c]}
 
 
 def labels_kernel(long: DataFrame, start: DataFrame, limit: int = KERNEL_ROWS, targets: bool = False) -> DataFrame:
     """query_id, cri, v, d from start(query_id, cri, v, d[, t]), by a search in memory for each (query, criterion).
 
-    The graph goes to every task, and must have at most `limit` long edges. With `targets` a search
-    ends at t, and only t's label is returned.
+    The graph goes to every task if it has at most `limit` long edges; else labels come from the loop. With `targets` a
+    search ends at t, and only t's label is returned.
     """
     spark = long.sparkSession
+    found = _collected(long, limit)
+    if found is None:
+        od = start.select("query_id", "t").distinct() if targets else None
+        labels = relax(long, start.select("query_id", "cri", F.lit(0).alias("side"), "v", "d"), od).drop("side")
+        return labels.join(od.withColumnRenamed("t", "v"), ["query_id", "v"], "left_semi") if targets else labels
     ship(spark)
-    graph = spark.sparkContext.broadcast(_Graph(long, limit))
+    graph = spark.sparkContext.broadcast(found)
+    none = Adjacency(*(np.zeros(0, np.int64),) * 3)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         c = int(own.cri.iloc[0])
-        if _cache.get("graph") is not graph.value:
-            _cache.clear()
-            _cache["graph"] = graph.value
-        if c not in _cache:
-            _cache[c] = graph.value.adjacency(c)
-        near: Adjacency = _cache[c]
+        near: Adjacency = graph.value.get(c, none)
         v, d = own.v.to_numpy(np.int64), own.d.to_numpy(np.int64)
         at, known = near.places(v)
         apart = own[["v", "d"]][~known].groupby("v", as_index=False).d.min()  # a vertex without edges reaches itself
         goal = None
         if targets:
-            goal, found = near.places(own.t.to_numpy(np.int64)[:1])
+            goal, there = near.places(own.t.to_numpy(np.int64)[:1])
             apart = apart[apart.v == own.t.iloc[0]]
-            goal = goal if found.all() else None
+            goal = goal if there.all() else None
         best = near.distances(1, np.zeros(int(known.sum()), np.int64), at[known], d[known], goal)[0] if known.any() else np.zeros(0, np.int64)
         seen = np.flatnonzero(best < FAR)
         if targets:
@@ -158,32 +165,96 @@ def labels_kernel(long: DataFrame, start: DataFrame, limit: int = KERNEL_ROWS, t
     return start.groupBy("query_id", "cri").applyInPandas(run, "query_id long, cri int, v long, d long")
 
 
-_cache: dict = {}
-
-
 def kernel(long: DataFrame, od: DataFrame, criteria: int, limit: int = KERNEL_ROWS) -> DataFrame:
     start = seeds(od, criteria).drop("side").join(od.select("query_id", "t"), "query_id")
     found = labels_kernel(long, start, limit, targets=True).select("query_id", "cri", F.col("d").alias("cost"))
     return _answers(od, criteria, found)
 
 
-STRATEGIES = {"one_pass": one_pass, "multi_pass": multi_pass, "bidirectional": bidirectional, "bucketed": bucketed, "kernel": kernel}
+def kernel_bidirectional(long: DataFrame, od: DataFrame, criteria: int, limit: int = KERNEL_ROWS) -> DataFrame:
+    """Searches from both ends in memory, with labels past half of the best meeting left unexpanded."""
+    found = _collected(long, limit)
+    if found is None:
+        return bidirectional(long, od, criteria)
+    ship(long.sparkSession)
+    graph = long.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches):
+        for own in batches:
+            cost = []
+            for c, s, t in zip(own.cri, own.s, own.t):
+                near = graph.value.get(int(c))
+                at, known = near.places(np.array([s, t])) if near else (None, np.zeros(2, bool))
+                cost.append(near.meeting(*at.tolist()) if known.all() else FAR)
+            cost = np.array(cost, np.int64)
+            yield pd.DataFrame({"query_id": own.query_id, "cri": own.cri, "cost": cost})[cost < FAR]
+
+    rows = od.select("query_id", "s", "t", F.explode(F.sequence(F.lit(0), F.lit(criteria - 1))).alias("cri"))
+    return _answers(od, criteria, rows.repartition("query_id", "cri").mapInPandas(run, "query_id long, cri int, cost long"))
+
+
+def stored(store, od: DataFrame, criteria: int, most_pids: int = MOST_PIDS, max_rounds: int = 100_000) -> DataFrame:
+    """query_id, cri, cost over a graph on disk (sources.store.Store), a partition at a time.
+
+    A round reads the partitions that hold labels to expand, by their folders, and searches inside each until nothing
+    changes there; labels that leave a partition are open in the next round. So rounds are as many
+    as partitions on a path, not vertices. A label as far as its target's isn't expanded.
+    """
+    spark, od = store.spark, od.select("query_id", "s", "t")
+    ship(spark)
+    parts = store.saved("partitions").select("v", F.col("pid").cast("int").alias("pid"))
+    key = ["query_id", "cri", "v"]
+    start = seeds(od, criteria).drop("side").join(parts, "v", "left")
+    state = checkpointed(start.select(*key, "pid", "d", F.lit(True).alias("open")))
+
+    def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in (*key, "d", "inside")})]
+        by_cri = dict(list(edges.groupby("cri")))
+        for c, labels in own.groupby("cri"):
+            if c not in by_cri:
+                out.append(labels[[*key, "d"]].assign(inside=1))
+                continue
+            e = by_cri[c]
+            near = Adjacency(e.src.to_numpy(), e.dst.to_numpy(), e.w.to_numpy())
+            inside = np.isin(near.ids, e.src.to_numpy())
+            queries, of = np.unique(labels.query_id.to_numpy(), return_inverse=True)
+            at, known = near.places(labels.v.to_numpy(np.int64))
+            out.append(labels[~known][[*key, "d"]].assign(inside=1))
+            best = near.distances(len(queries), of[known], at[known], labels.d.to_numpy(np.int64)[known])
+            q, x = np.nonzero(best < FAR)
+            out.append(pd.DataFrame({"query_id": queries[q], "cri": np.full(len(q), c), "v": near.ids[x], "d": best[q, x], "inside": inside[x].astype(int)}))
+        return pd.concat(out, ignore_index=True).astype("int64")
+
+    for _ in range(max_rounds):
+        bound = state.join(od.select("query_id", F.col("t").alias("v")), ["query_id", "v"]).select("query_id", "cri", F.col("d").alias("most"))
+        ready = state.where("open").join(bound, ["query_id", "cri"], "left").where("pid is not null and (most is null or d < most)")
+        pids = [r.pid for r in ready.select("pid").distinct().limit(most_pids + 1).collect()]
+        if not pids:
+            found = state.join(od.select("query_id", F.col("t").alias("v")), ["query_id", "v"]).select("query_id", "cri", F.col("d").alias("cost"))
+            return _answers(od, criteria, found)
+        edges = store.scan(pids if len(pids) <= most_pids else None, criteria, with_pid=True)
+        reached = ready.select("pid", *key, "d").groupBy("pid").cogroup(edges.groupBy("pid")).applyInPandas(run, "query_id long, cri int, v long, d long, inside long")
+        # Of equal labels the one that is not open counts.
+        old = state.select(*key, F.struct("d", F.col("open").cast("int").alias("o")).alias("x"))
+        new = reached.select(*key, F.struct("d", (1 - F.col("inside")).cast("int").alias("o")).alias("x"))
+        least = old.unionByName(new).groupBy(*key).agg(F.min("x").alias("x"))
+        state = checkpointed(least.join(parts, "v", "left").select(*key, "pid", "x.d", (F.col("x.o") == 1).alias("open")))
+    raise RuntimeError("the search did not settle")
+
+
+STRATEGIES = {"one_pass": one_pass, "multi_pass": multi_pass, "bidirectional": bidirectional, "bucketed": bucketed, "kernel": kernel, "kernel_bidirectional": kernel_bidirectional}
 
 
 def mcsp(long: DataFrame, od: DataFrame, criteria: int, strategy: str = "auto") -> DataFrame:
     """query_id, cri, cost of od(query_id, s, t) over long edges (cri, src, dst, w)."""
     long = long.where(F.col("cri") < criteria)
-    if strategy == "auto":
-        strategy = "kernel" if long.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS else "one_pass"
-    return STRATEGIES[strategy](long, od.select("query_id", "s", "t"), criteria)
+    return STRATEGIES["kernel" if strategy == "auto" else strategy](long, od.select("query_id", "s", "t"), criteria)
 
 
 def sssp(long: DataFrame, source: int, criteria: int, strategy: str = "auto") -> DataFrame:
     """cri, v, d: distances from one vertex to all it reaches."""
     long = long.where(F.col("cri") < criteria)
     od = long.sparkSession.createDataFrame([(0, source, source)], "query_id long, s long, t long")
-    if strategy == "auto":
-        strategy = "kernel" if long.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS else "loop"
     start = seeds(od, criteria)
-    labels = labels_kernel(long, start.drop("side")) if strategy == "kernel" else relax(long, start)
+    labels = relax(long, start) if strategy == "loop" else labels_kernel(long, start.drop("side"))
     return labels.select("cri", "v", "d")

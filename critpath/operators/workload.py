@@ -23,12 +23,16 @@ def arithmetic_pairs(edges: DataFrame, n_pairs: int) -> DataFrame:
 
 
 def random_pairs(edges: DataFrame, n_pairs: int, seed: int = 1) -> DataFrame:
-    """query_id, s, t drawn uniformly with a seed; pairs of one vertex are left out."""
+    """query_id, s, t: n_pairs pairs of different vertices, uniform, decided by the seed; no rows if there are fewer than two vertices."""
     ids = ranked(vertices(edges), "v")
     n = ids.count()
-    rows = edges.sparkSession.range(n_pairs).select(F.col("id").alias("query_id"), F.floor(F.rand(seed) * n).alias("ps"), F.floor(F.rand(seed + 1) * n).alias("pt"))
+    if n < 2:
+        return edges.sparkSession.createDataFrame([], "query_id long, s long, t long")
+    s = F.pmod(F.xxhash64(F.lit(2 * seed), "id"), F.lit(n))
+    step = F.pmod(F.xxhash64(F.lit(2 * seed + 1), "id"), F.lit(n - 1)) + 1
+    rows = edges.sparkSession.range(n_pairs).select(F.col("id").alias("query_id"), s.alias("ps"), ((s + step) % n).alias("pt"))
     a, b = ids.select(F.col("pos").alias("ps"), F.col("v").alias("s")), ids.select(F.col("pos").alias("pt"), F.col("v").alias("t"))
-    return rows.join(a, "ps").join(b, "pt").where("s <> t").select("query_id", "s", "t")
+    return rows.join(a, "ps").join(b, "pt").select("query_id", "s", "t")
 
 
 def coverage_classes(labels: DataFrame, edges: DataFrame, vertex_table: DataFrame, first: int = 10, short_percent: int = 10, medium_percent: int = 40, most_sources: int = 1000) -> DataFrame:

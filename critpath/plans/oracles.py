@@ -16,6 +16,8 @@ l_ as (select least(a,b) u, greatest(a,b) v, k, cast(floor(value) as bigint)+1 w
 MULTIPLEX = LAYERED + """,
 g as (select u, v, min(w) filter (k='click') w0, min(w) filter (k='error') w1, min(w) filter (k='purchase') w2,
     min(w) filter (k='signup') w3, min(w) filter (k='view') w4 from l_ where w > 0 group by u, v)"""
+#: The multiplex graph and the grid, with negative ids, side by side.
+TWO_GRAPHS = f"""{LAYERED}, {GRID.replace('g as (', 'grid_ as (')}, g as (select distinct u, v from l_ where w > 0 union all select -1 - v, -1 - u from grid_)"""
 #: Directed edges, vertices, degrees.
 BOTH = "e2 as (select u s, v t from g union all select v, u from g), vs as (select distinct s v from e2), deg as (select s v, count(*) d from e2 group by s)"
 
@@ -65,8 +67,8 @@ COMPONENTS = """lab(v, l) using key (v) as (
   select e.t, min(lab.l) from lab join e2 e on e.s = lab.v left join recurring.lab r on r.v = e.t group by e.t, r.l having min(lab.l) < r.l)"""
 
 
-def components(graph: str, where: str = "") -> str:
-    both = f"e2 as (select u s, v t from g {where} union all select v, u from g {where}), vs as (select distinct s v from e2)"
+def components(graph: str) -> str:
+    both = "e2 as (select u s, v t from g union all select v, u from g), vs as (select distinct s v from e2)"
     return f"with recursive {graph}, {both}, {COMPONENTS}"
 
 

@@ -11,7 +11,9 @@ from critpath.functions import weights as W
 from critpath.operators import boundary as B
 from critpath.operators import cluster, metrics, paths, prep, search, workload
 from critpath.plans import oracles as O
+from critpath.runtime import checkpointed, shared_folder
 from critpath.sources import graphs, writers
+from critpath.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,6 +132,19 @@ def criteria_corr_deterministic(spark, d):
     return wide(prep.derive_criteria(base, r[0], r[1], [F.expr(f"cast({e.split(' / ')[0]} as double) / 10.0D") for e in _NOISE], F.expr("cast((u * 31 + v * 17) % 100 as double) / 100.0D")), 5, "u", "v")
 
 
+@query(
+    f"""with {O.GRID}, r as (select min(w0) lo, max(w0) hi from g), x as (select u, v, cast(w0 as double) w, lo, hi,
+    {_noise_sql(_NOISE[0])} n0, {_noise_sql(_NOISE[1])} n1, {_noise_sql(_NOISE[2])} n2, {_noise_sql(_UNIFORM)} f from g, r)
+    select u, v, cast(w as bigint) w0, greatest(cast(trunc((cast(0.5 as double) + cast(0.2 as double) * n0) * w) as bigint), lo) w1, greatest(cast(trunc((cast(0.7 as double) + cast(0.2 as double) * n1) * w) as bigint), lo) w2,
+    greatest(cast(trunc(1000 * (hi - (1 + cast(0.2 as double) * n2) * w) / hi) as bigint), lo) w3, cast(lo + trunc(1000 * f * (hi - lo) / hi) as bigint) w4 from x"""
+)
+def criteria_earlier_form(spark, d):
+    base = graphs.grid(spark, d).select("u", "v", F.col("weights")[0].cast("long").alias("w"))
+    r = base.agg(F.min("w"), F.max("w")).first()
+    noise = [F.expr(f"cast({e.split(' / ')[0]} as double) / 10.0D") for e in _NOISE]
+    return wide(prep.derive_criteria(base, r[0], r[1], noise, F.expr("cast((u * 31 + v * 17) % 100 as double) / 100.0D"), 20, (0.5, 0.7)), 5, "u", "v")
+
+
 _TERMS = "(33 * w0)", "(33 * w1)", "(33 * w2)"
 for _how, _sql in {
     "pri": "w0",
@@ -147,37 +162,25 @@ for _how, _sql in {
     query(f"with {O.SUPPLY} select least(u, v) u, greatest(u, v) v, cast({_sql} as bigint) w from g")(_agg)
 
 
-@query(O.components(O.MULTIPLEX, "where (u + v) % 3 = 0") + " select v, l as label from lab")
+def _two_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """All edges of the multiplex graph and of the grid, whose ids are turned into negative ones: a graph of two components at least."""
+    grid = graphs.grid(spark, d).select((-1 - F.col("v")).alias("u"), (-1 - F.col("u")).alias("v"), "weights")
+    return prep.mirror(graphs.multiplex(spark, d).select("u", "v", "weights").unionByName(grid))
+
+
+@query(O.components(O.TWO_GRAPHS) + " select v, l as label from lab")
 def component_labels(spark, d):
-    e = graphs.multiplex(spark, d).where("(u + v) % 3 = 0")
-    return prep.component_labels(prep.mirror(e))
+    return prep.component_labels(_two_graphs(spark, d))
 
 
-@query(O.components(O.MULTIPLEX, "where (u + v) % 3 = 0") + " select l as label, count(*) size from lab group by l")
+@query(O.components(O.TWO_GRAPHS) + " select l as label, count(*) size from lab group by l")
 def component_sizes(spark, d):
-    e = graphs.multiplex(spark, d).where("(u + v) % 3 = 0")
-    return prep.component_sizes(prep.component_labels(prep.mirror(e)))
+    return prep.component_sizes(prep.component_labels(_two_graphs(spark, d)))
 
 
-@query(O.components(O.MULTIPLEX, "where (u + v) % 3 = 0") + ", big as (select l from lab group by l order by count(*) desc, l limit 1) select s src, t dst from e2 join lab on lab.v = e2.s join big on big.l = lab.l")
+@query(O.components(O.TWO_GRAPHS) + ", big as (select l from lab group by l order by count(*) desc, l limit 1) select s src, t dst from e2 join lab on lab.v = e2.s join big on big.l = lab.l")
 def largest_component(spark, d):
-    e = graphs.multiplex(spark, d).where("(u + v) % 3 = 0")
-    return prep.largest_component(prep.mirror(e)).select("src", "dst")
-
-
-@query(O.components(O.MULTIPLEX) + " select v, l as label from lab")
-def component_labels_all(spark, d):
-    return prep.component_labels(prep.mirror(graphs.multiplex(spark, d)))
-
-
-@query(O.components(O.MULTIPLEX) + " select l as label, count(*) size from lab group by l")
-def component_sizes_all(spark, d):
-    return prep.component_sizes(prep.component_labels(prep.mirror(graphs.multiplex(spark, d))))
-
-
-@query(O.components(O.MULTIPLEX) + ", big as (select l from lab group by l order by count(*) desc, l limit 1) select s src, t dst from e2 join lab on lab.v = e2.s join big on big.l = lab.l")
-def largest_component_all(spark, d):
-    return prep.largest_component(prep.mirror(graphs.multiplex(spark, d))).select("src", "dst")
+    return prep.largest_component(_two_graphs(spark, d)).select("src", "dst")
 
 
 @query(f"with {O.SUPPLY}, {O.BOTH}, ids as (select v, row_number() over (order by v) - 1 x from vs) select a.x src, b.x dst, w0, w1, w2, w3, w4 from (select * from g union all select v, u, w0, w1, w2, w3, w4 from g) h join ids a on a.v = h.u join ids b on b.v = h.v")
@@ -228,7 +231,7 @@ def _mcsp(edges: DataFrame, k: int, n_pairs: int, strategy: str) -> DataFrame:
     return found.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
 
 
-for _strategy in ("one_pass", "multi_pass", "bidirectional", "bucketed", "kernel"):
+for _strategy in ("one_pass", "multi_pass", "bidirectional", "bucketed", "kernel", "kernel_bidirectional"):
 
     def _search(spark, d, strategy=_strategy):
         return _mcsp(supply_edges(spark, d), 3, 6, strategy)
@@ -269,6 +272,75 @@ def mcsp_overlay_bi(spark, d):
     return _overlay(spark, d, both=True)
 
 
+# ---- a graph on disk
+
+
+def _store(spark, d, shortcuts: bool = False) -> Store:
+    """The grid by partitions of ids, written to the shared folder."""
+    store = Store(spark, shared_folder(spark), 3)
+    e = grid_edges(spark, d)
+    p = store.table("partitions", lambda: grid_parts(e))
+    store.edges(e, p)
+    if shortcuts:
+        store.shortcuts(W.edges_long(e), p, store.boundary(e, p))
+    return store
+
+
+_SCAN = f"with {O.GRID}, {O.BOTH}, {O.grid_parts(PART)}, {O.long(3, 3)}"
+
+
+@query(O.mcsp(O.GRID, 3, 3, 6))
+def mcsp_stored(spark, d):
+    r = search.stored(_store(spark, d), workload.arithmetic_pairs(grid_edges(spark, d), 6), 3)
+    return r.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
+
+
+@query(_SCAN + " select cast(c as bigint) cri, s src, t dst, w from el join pt on pt.v = el.s where pid in (1, 2) and c < 2")
+def partition_scan(spark, d):
+    return _store(spark, d).scan([1, 2], k=2).select(F.col("cri").cast("long").alias("cri"), "src", "dst", "w")
+
+
+@query(_SCAN + " select cast(c as bigint) cri, s src, t dst, w from el join pt on pt.v = el.s where pid = 1 union all select c, t, s, w from el join pt on pt.v = el.s where pid = 1")
+def partition_scan_both(spark, d):
+    return _store(spark, d).scan([1], both=True).select(F.col("cri").cast("long").alias("cri"), "src", "dst", "w")
+
+
+@query(_SCAN + " select s src, t dst, w, cast(floor(log2(w)) as bigint) cat from el join pt on pt.v = el.s where pid = 1 and c = 2")
+def category_scan(spark, d):
+    return _store(spark, d).scan_category(2, [1]).select("src", "dst", "w", F.col("cat").cast("long").alias("cat"))
+
+
+@query(
+    O.local_labels(PART, "select v from bd")
+    + """, keep as (select distinct s, b from full_ f where not exists (select 1 from full_ x join full_ y on y.s = x.b and y.c = x.c
+        where x.s = f.s and x.c = f.c and y.b = f.b and x.b <> f.b and x.dist + y.dist = f.dist))
+    select cast(c as bigint) cri, s src, b dst, cast(dist as bigint) w from full_ join keep using (s, b) where pid = 1
+    union all select cast(c as bigint), el.s, el.t, w from el join pt a on a.v = el.s join pt b on b.v = el.t where a.pid = 1 and b.pid <> 1"""
+)
+def shortcut_scan(spark, d):
+    return _store(spark, d, shortcuts=True).scan_shortcuts([1]).select(F.col("cri").cast("long").alias("cri"), "src", "dst", "w")
+
+
+@query(f"with {O.GRID}, {O.long(3, 3)} select s v, cast(c as bigint) cri, cast(bit_or(cast(1 as bigint) << (1 + cast(floor(log2(w)) as int))) as bigint) mask from el group by s, c")
+def category_index(spark, d):
+    store = _store(spark, d)
+    store.categories(store.scan())
+    return store.saved("categories").select("v", F.col("cri").cast("long").alias("cri"), "mask")
+
+
+@query(
+    f"with {O.SUPPLY}, {O.long(5, 5)}, top_ as (select c, 1 + cast(floor(log2(max(w))) as bigint) n from el group by c) "
+    "select cast(c as bigint) cri, cast(x.range as bigint) cat, cast(1 as bigint) << cast(x.range as int) as lower, n n_pools from top_, range(64) x where x.range < n"
+)
+def category_pools(spark, d):
+    return prep.category_pools(W.edges_long(supply_edges(spark, d))).select(*(F.col(c).cast("long").alias(c) for c in ("cri", "cat", "lower", "n_pools")))
+
+
+@query(f"with {O.SUPPLY}, {O.BOTH} select v, d as degree, cast(coalesce(sum(d) over (order by v rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from deg")
+def prefix_offsets(spark, d):
+    return prep.prefix_offsets(supply_edges(spark, d)).select("v", "degree", F.col("offset").cast("long").alias("offset"))
+
+
 # ---- partitions
 
 _FOLD = f"""with recursive {O.SUPPLY}, {O.BOTH}, o as (select v, d, row_number() over (order by v) - 1 pos from deg),
@@ -299,6 +371,11 @@ def mst_edges(spark, d):
     return cluster.spanning_tree(cluster.weighted(grid_edges(spark, d)))
 
 
+@query()
+def mst_prim(spark, d):
+    return cluster.spanning_tree(cluster.weighted(grid_edges(spark, d)), "prim")
+
+
 @query()
 def preorder(spark, d):
     return cluster.preorder(cluster.spanning_tree(cluster.weighted(grid_edges(spark, d))))
@@ -348,16 +425,8 @@ def _shortcuts(spark, d, pruned: bool) -> DataFrame:
     return s.select(F.col("pid").cast("long").alias("pid"), F.col("cri").cast("long").alias("cri"), "s", "b", "dist")
 
 
-@query(O.local_labels(PART, "select v from pt where v % 37 = 0") + " select cast(pid as bigint) pid, cast(c as bigint) cri, s, b, cast(dist as bigint) dist from full_")
-def local_boundary_dist(spark, d):
-    e = grid_edges(spark, d)
-    p = grid_parts(e)
-    s = B.local_distances(W.edges_long(e), p, p.where("v % 37 = 0"), B.boundary(e, p))
-    return s.select(F.col("pid").cast("long").alias("pid"), F.col("cri").cast("long").alias("cri"), "s", "b", "dist")
-
-
 @query(O.local_labels(PART, "select v from pt") + " select cast(pid as bigint) pid, cast(c as bigint) cri, s, b, cast(dist as bigint) dist from full_")
-def local_boundary_dist_all(spark, d):
+def local_boundary_dist(spark, d):
     e = grid_edges(spark, d)
     p = grid_parts(e)
     s = B.local_distances(W.edges_long(e), p, p, B.boundary(e, p))
@@ -420,6 +489,26 @@ def partitions_touched(spark, d):
     return metrics.partitions_touched(labels, od, grid_parts(e, 100))
 
 
+@query(_SETTLED + " select q query_id, count(distinct v) n_union from st group by q")
+def union_visited(spark, d):
+    _, od, labels = _labels(spark, d)
+    return metrics.union_visited(labels, od)
+
+
+@query(
+    _SETTLED
+    + """, n_ as (select q, count(*) visited from st group by q), ps as (select distinct q, c, v // 100 pid from st where v <> t),
+    sh as (select q, count(distinct pid) np, count(*) - count(distinct pid) ns from ps group by q),
+    sz as (select v // 100 pid, (2 + sum(2 + 4 * d)) // 65536 + 1 nb from (select s v, count(*) d from e2 group by s) group by 1),
+    bl as (select q, sum(nb) nb from (select distinct q, pid from ps) join sz using (pid) group by q)
+    select avg(nb) avg_blocks, cast(sum(visited) // count(*) as bigint) avg_visited, cast(sum(ns) // count(*) as bigint) avg_shared, avg(np) avg_partitions from n_ join sh using (q) join bl using (q)"""
+)
+def avg_visited(spark, d):
+    e, od, labels = _labels(spark, d)
+    io = metrics.query_io(labels, od, e, grid_parts(e, 100), 3)
+    return metrics.averages(io.withColumn("seconds", F.lit(0.0))).select("avg_blocks", "avg_visited", "avg_shared", "avg_partitions")
+
+
 @query(f"with {O.SUPPLY}, {O.BOTH}, i_ as (select v // 100 pid, cast(2 + sum(2 + 6 * d) as bigint) n_ints from deg group by 1) select cast(pid as bigint) pid, n_ints, cast(n_ints // 65536 + 1 as bigint) n_blocks from i_")
 def io_blocks(spark, d):
     e = supply_edges(spark, d)
@@ -449,6 +538,30 @@ def sp_path(spark, d):
     return paths.shown(paths.paths(long, labels, 0, targets)).select(F.col("cri").cast("long").alias("cri"), "t", "path")
 
 
+@query(
+    f"""with recursive {O.GRID}, {O.BOTH}, {O.criteria(2)}, {O.long(2, 3)}, od as (select v q, v s from vs where v in (0, 7, 61, 139, 199)),
+    d(q, c, v, dist) using key (q, c, v) as (
+      select q, c, s, cast(0 as bigint) from od, cs
+      union
+      select d.q, d.c, e.t, min(d.dist + e.w) from d join el e on e.s = d.v and e.c = d.c
+        left join recurring.d r on r.v = e.t and r.c = e.c and r.q = d.q
+      group by d.q, d.c, e.t, r.dist having min(d.dist + e.w) < coalesce(r.dist, 9223372036854775807)),
+    mt as (select c, t, arg_min(v, (off, v)) m from (select a.c, b.q t, a.v, abs(a.dist - b.dist) off, a.dist + b.dist tot, min(a.dist + b.dist) over (partition by a.c, b.q) lo
+      from d a join d b on b.c = a.c and b.v = a.v where a.q = 0 and b.q <> 0) where tot = lo group by c, t),
+    pr as (select a.q, a.c, e.t v, min(e.s) pred from el e join d a on a.c = e.c and a.v = e.s join d b on b.c = e.c and b.v = e.t and b.q = a.q where a.dist + e.w = b.dist group by a.q, a.c, e.t),
+    w1(c, t, v, back) as (select c, t, m, 0 from mt union all select w1.c, w1.t, pr.pred, w1.back + 1 from w1 join pr on pr.q = 0 and pr.c = w1.c and pr.v = w1.v where w1.v <> 0),
+    w2(c, t, v, ahead) as (select c, t, m, 0 from mt union all select w2.c, w2.t, pr.pred, w2.ahead + 1 from w2 join pr on pr.q = w2.t and pr.c = w2.c and pr.v = w2.v where w2.v <> w2.t)
+    select cast(c as bigint) cri, t, string_agg(cast(v + 1 as varchar), '-->' order by k) path from (select c, t, v, -back k from w1 union all select c, t, v, ahead from w2 where ahead > 0) group by c, t"""
+)
+def sp_path_bidirectional(spark, d):
+    long = W.edges_long(grid_edges(spark, d), 2)
+    ends = spark.createDataFrame([(x,) for x in (0, 7, 61, 139, 199)], "query_id long").join(workload.vertices(long).withColumnRenamed("v", "query_id"), "query_id", "left_semi")
+    start = ends.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cri"), F.col("query_id").alias("v"), F.lit(0).cast("long").alias("d"))
+    labels = checkpointed(search.labels_kernel(long, start))
+    forward, backward = labels.where("query_id = 0").drop("query_id"), labels.where("query_id <> 0").withColumnRenamed("query_id", "t")
+    return paths.shown(paths.bidirectional_paths(long, forward, backward, 0)).select(F.col("cri").cast("long").alias("cri"), "t", "path")
+
+
 _EXPORT = "x_ as (select least(u, v) u, greatest(u, v) v, ((((33 * w0) // 100 * 100 + 33 * w1) // 100) * 100 + 33 * coalesce(w2, 0)) // 100 w from g)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,11 +27,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare_checkpoints(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where that is unset a temporary one is used."""
+    """The cluster names the shared folder in spark.checkpoint.dir; on a local master a temporary one will do.
+
+    Checkpoints are deleted once nothing refers to them.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    prepare_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4()}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

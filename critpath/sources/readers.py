@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +11,20 @@ from critpath.operators import prep
 from critpath.schema import MISSING_WEIGHT
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, text. A line's number is its place in the file, which is split at line ends only."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("text")).where("text <> ''")
+def _lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """line, text, without blank lines unless asked for.
+
+    A line's number orders the lines of a file; a folder's files follow each other by name, whatever way Spark packs them
+    into tasks.
+    """
+    from critpath.functions.ids import ranked
+
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"), F.trim("value").alias("text"))
+    if len(rows.inputFiles()) > 1:
+        rows = ranked(rows, "file", "at", name="line").select("line", "text")
+    else:  # one file's parts are read in order
+        rows = rows.select(F.col("at").alias("line"), "text")
+    return rows if blank else rows.where("text <> ''")
 
 
 def _fields() -> Column:
@@ -46,6 +56,17 @@ def dimacs(spark: SparkSession, path: str, criterion: int = 0) -> DataFrame:
     return rows.select("line", (F.col("f")[1].cast("long") - 1).alias("u"), (F.col("f")[2].cast("long") - 1).alias("v"), _weight(F.col("f")[3 + criterion]).alias("w"))
 
 
+def dimacs_range(spark: SparkSession, path: str, criterion: int = 0) -> tuple[DataFrame, tuple[int | None, int | None]]:
+    """dimacs, and the least and largest weight."""
+    rows = dimacs(spark, path, criterion)
+    return rows, tuple(rows.agg(F.min("w"), F.max("w")).first())
+
+
+def head(spark: SparkSession, path: str, n: int = 10) -> list[str]:
+    """The first n lines."""
+    return [r.text for r in _lines(spark, path, blank=True).orderBy("line").limit(n).collect()]
+
+
 def dimacs_multi(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """line, u, v, weights of DIMACS arcs with many weights, and the names in `p criteria k ..`."""
     lines = _lines(spark, path)
@@ -132,10 +153,17 @@ def boundary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metis_parts(spark: SparkSession, path: str) -> DataFrame:
-    """v, pid: the line's number is the vertex, its value the partition."""
+    """v, pid: the line's number is the vertex, its value the partition; a blank line counts as a vertex and has no partition."""
     from critpath.functions.ids import ranked
 
-    return ranked(_lines(spark, path), "line", name="v").select("v", F.col("text").cast("int").alias("pid"))
+    return ranked(_lines(spark, path, blank=True), "line", name="v").select("v", F.col("text").try_cast("int").alias("pid")).where("pid is not null")
+
+
+def _contents(run):
+    """run over batches of file contents."""
+    from types import SimpleNamespace
+
+    return lambda batches: run(SimpleNamespace(content=[c.as_buffer() for c in batch.column(0)]) for batch in batches)
 
 
 def binary_partitions(spark: SparkSession, path: str, criteria: int, header: bool = True) -> DataFrame:
@@ -146,16 +174,22 @@ def binary_partitions(spark: SparkSession, path: str, criteria: int, header: boo
 
     def run(batches):
         for files in batches:
-            rows = []
             for content in files.content:
-                x = struct.unpack(f"<{len(content) // 4}i", content)
-                pid, at = (x[0], 2) if header else (None, 0)
-                while at < len(x):
-                    u, degree = x[at], x[at + 1]
-                    at += 2
-                    for _ in range(degree):
-                        rows.append((pid, u, x[at], [None if w == MISSING_WEIGHT else w for w in x[at + 1 : at + 1 + criteria]]))
-                        at += 1 + criteria
-            yield pd.DataFrame(rows, columns=["pid", "src", "dst", "weights"]).astype({"pid": "Int32"})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "pid int, src long, dst long, weights array<int>")
+                x = np.frombuffer(content, "<i4", len(content) // 4)
+                pid, at = (int(x[0]), 2) if header else (None, 0)
+                starts, degrees = [], []
+                while at < len(x):  # a step a vertex; its edges are read as one block
+                    starts.append(at)
+                    degrees.append(int(x[at + 1]))
+                    at += 2 + degrees[-1] * (1 + criteria)
+                first, n = np.array(starts, np.int64) + 2, np.array(degrees, np.int64)
+                edge = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                place = np.repeat(first, n) + edge * (1 + criteria)
+                w = x[place[:, None] + np.arange(1, criteria + 1)] if len(place) else np.zeros((0, criteria), np.int32)
+                flat = pa.array(w.ravel(), pa.int32(), mask=w.ravel() == MISSING_WEIGHT)
+                weights = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1) * criteria, pa.int32()), flat)
+                pids = pa.array(np.full(len(place), pid or 0), pa.int32(), mask=np.full(len(place), pid is None))
+                src = np.repeat(x[first - 2], n) if len(first) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pids, pa.array(src.astype(np.int64)), pa.array(x[place].astype(np.int64) if len(place) else src.astype(np.int64)), weights], names=["pid", "src", "dst", "weights"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_contents(run), "pid int, src long, dst long, weights array<int>")

@@ -12,7 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critpath.operators import boundary, cluster
+from critpath.functions.weights import category
+from critpath.operators import boundary, cluster, prep
 from critpath.sources import writers
 
 
@@ -26,6 +27,10 @@ class Store:
         except AnalysisException:
             return None
 
+    def saved(self, name: str) -> DataFrame:
+        """The table of this name, which must exist."""
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
     def table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         """The table of this name; built and written first if it doesn't exist."""
         if (found := self._existing(name)) is None:
@@ -58,11 +63,30 @@ class Store:
 
         return self.table("shortcuts", build, by="pid")
 
-    def scan(self, pids: Iterable[int] | None = None, k: int | None = None) -> DataFrame:
-        """Long edges (cri, src, dst, w) of some or all partitions, of the first k criteria."""
+    def scan(self, pids: Iterable[int] | None = None, k: int | None = None, with_pid: bool = False, both: bool = False) -> DataFrame:
+        """Long edges (cri, src, dst, w[, pid]) of some or all partitions, of the first k criteria; `both`: with the reversed ones."""
         k = self.criteria if k is None else k
-        rows = self.spark.read.parquet(f"{self.path}/edges")
-        if pids is not None:
-            rows = rows.where(F.col("pid").isin([int(p) for p in pids]))
+        rows = self._of("edges", pids)
         stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("cri"), F.col(f"w{c}").cast("long").alias("w")) for c in range(k)))).alias("x")
-        return rows.select("src", "dst", stacked).select("x.cri", "src", "dst", "x.w").where("w is not null")
+        own = ["pid"] if with_pid else []
+        out = rows.select(*own, "src", "dst", stacked).select(*own, "x.cri", "src", "dst", "x.w").where("w is not null")
+        back = out.select(*own, "cri", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        return out.unionByName(back) if both else out
+
+    def scan_category(self, cri: int, pids: Iterable[int] | None = None) -> DataFrame:
+        """src, dst, w, cat: edges of one criterion, of some or all partitions, with the category of their weight."""
+        rows = self._of("edges", pids).select("src", "dst", F.col(f"w{cri}").cast("long").alias("w")).where("w is not null")
+        return rows.withColumn("cat", category(F.col("w")))
+
+    def scan_shortcuts(self, pids: Iterable[int] | None = None, k: int | None = None) -> DataFrame:
+        """Long overlay edges (cri, src, dst, w) of some or all partitions, of the first k criteria."""
+        rows = self._of("shortcuts", pids).select("src", "dst", F.posexplode("weights").alias("cri", "w")).where("w is not null")
+        return rows.select("cri", "src", "dst", F.col("w").cast("long").alias("w")).where(F.col("cri") < (self.criteria if k is None else k))
+
+    def categories(self, long: DataFrame) -> DataFrame:
+        """v, cri, mask: which categories of weights leave each vertex."""
+        return self.table("categories", lambda: prep.category_bitmask(long))
+
+    def _of(self, name: str, pids: Iterable[int] | None) -> DataFrame:
+        rows = self.saved(name)
+        return rows if pids is None else rows.where(F.col("pid").isin([int(p) for p in pids]))

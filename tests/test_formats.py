@@ -1,5 +1,7 @@
 import glob
 
+import pytest
+
 from critpath.operators import prep
 from critpath.sources import readers, writers
 
@@ -27,6 +29,25 @@ def test_text_formats(spark, tmp_path):
     assert sorted(map(tuple, readers.metis_parts(spark, write(tmp_path / "p", "0\n1\n0\n")).collect())) == [(0, 0), (1, 1), (2, 0)]
 
 
+def test_arcs_of_one_file_only_are_an_error(spark, tmp_path):
+    d = write(tmp_path / "d", "p sp 3 1\na 1 2 5\n")
+    t = write(tmp_path / "t", "p sp 3 2\na 1 2 8\na 2 3 9\n")
+    for pair in ((d, t), (t, d)):
+        with pytest.raises(Exception, match="one of the two tables"):
+            readers.dimacs_pair(spark, *pair).collect()
+    assert readers.dimacs_range(spark, t)[1] == (8, 9) and readers.head(spark, t, 1) == ["p sp 3 2"]
+
+
+def test_a_folder_of_files_keeps_their_order(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    write(tmp_path / "f" / "a", "3 9\n0 1 7\n")
+    write(tmp_path / "f" / "b", "".join(f"1 2 {i}\n" for i in range(3000)))
+    write(tmp_path / "f" / "c", "0 2 5\n")
+    got = readers.single_criterion(spark, str(tmp_path / "f")).orderBy("line").collect()
+    assert [r.w for r in got] == [7, *range(3000), 5]
+    assert sorted(map(tuple, readers.metis_parts(spark, write(tmp_path / "p", "0\n\n1\n")).collect())) == [(0, 0), (2, 1)]
+
+
 def test_round_trips(spark, tmp_path):
     und = spark.createDataFrame([(0, 1, [3, None]), (1, 2, [4, 5]), (0, 2, [1, 1])], "u long, v long, weights array<int>")
     e = prep.mirror(und)

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from critpath.functions import weights as W
 from critpath.functions.ids import ranked
-from critpath.operators import boundary, cluster, metrics, prep, workload
+from critpath.operators import boundary, cluster, kernels, metrics, prep, workload
 
 EDGE = "u long, v long, weights array<int>, line long"
 
@@ -107,4 +109,51 @@ def test_metrics(spark):
 def test_random_pairs_repeat(spark):
     e = prep.mirror(spark.createDataFrame([(i, i + 1, [1], i) for i in range(20)], EDGE))
     a, b = (sorted(map(tuple, workload.random_pairs(e, 30, seed=3).collect())) for _ in range(2))
-    assert a == b and a and all(s != t for _, s, t in a)
+    assert a == b and len(a) == 30 and all(s != t for _, s, t in a)
+    assert workload.random_pairs(e.limit(0), 30).count() == 0
+
+
+def test_random_criteria_depend_on_the_edge_alone(spark):
+    base = spark.range(500).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(100).cast("long").alias("w"))
+    a = {(r.u, r.v): r.weights for r in prep.random_criteria(base, 1, 200, seed=3).collect()}
+    b = prep.mirror(prep.random_criteria(base.repartition(7, "v").sortWithinPartitions(F.desc("u")), 1, 200, seed=3)).repartition(5)
+    assert all(r.weights == a[min(r.src, r.dst), max(r.src, r.dst)] for r in b.collect())
+    ones = [w[1] for w in a.values()]
+    assert 195 < sum(ones) / 500 < 205 and 7 < (sum((x - 200) ** 2 for x in ones) / 500) ** 0.5 < 13
+    assert all(w[1] == 7 for w in (r.weights for r in prep.derive_criteria(base, 1, 200, [F.lit(0.0)] * 3, F.lit(0.5), second=F.lit(7)).collect()))
+
+
+def test_two_tables_of_weights(spark):
+    a = spark.createDataFrame([(0, 1, 5), (1, 2, 6)], "u long, v long, w int")
+    b = spark.createDataFrame([(0, 1, 8), (7, 8, 1)], "u long, v long, w int")
+    assert sorted(map(tuple, prep.merge_criteria(a, b).collect())) == [(0, 1, [5, 8]), (1, 2, [6, None])]
+    for x, y in ((a, b.where("u = 0")), (a.where("u = 0"), b)):
+        with pytest.raises(Exception, match="one of the two tables"):
+            prep.join_criteria(x, y).collect()
+    moved = prep.shift_ids(spark.createDataFrame([(1, 2, 100_000_000), (2, 3, 4)], "u long, v long, w int"), -1, missing=100_000_000)
+    assert sorted(map(tuple, moved.collect()), key=str) == [(0, 1, None), (1, 2, 4)]
+
+
+def test_prim_grows_by_weight_and_vertex():
+    u, v, w = (np.array(c) for c in zip(*[(0, 3, 2), (0, 1, 2), (1, 2, 1), (2, 3, 1), (3, 4, 5), (2, 4, 5)]))
+    assert kernels.prim(u, v, w) == [(0, 1, 2), (1, 2, 1), (2, 3, 1), (2, 4, 5)]
+    with pytest.raises(ValueError, match="connected"):
+        kernels.prim(np.array([0, 5]), np.array([1, 6]), np.array([1, 1]))
+
+
+def test_boundary_less_partition_is_reported(spark):
+    e = prep.mirror(spark.createDataFrame([(0, 1, [1], 0), (2, 3, [1], 1)], EDGE))
+    p = spark.createDataFrame([(v, v // 2, v) for v in range(4)], "v long, pid int, pos long")
+    with pytest.raises(ValueError, match="no boundary"):
+        boundary.check_boundary(boundary.boundary(e, p), p)
+
+
+def test_memory_and_task_io(spark, tmp_path):
+    assert metrics.state_mb("bi_multi_hop", 1 << 20, 3, queue_mb=10) == 42 + 60 and metrics.check_memory("dijkstra_io", 100, 1 << 20, queue_mb=50) == 32
+    with pytest.raises(ValueError, match="more than 20"):
+        metrics.check_memory("em_dijk", 20, 1 << 20, pools_mb=16)
+    took = {}
+    spark.range(100_000).write.parquet(f"{tmp_path}/x")
+    with metrics.counted_io(spark, took, "scan"):
+        spark.read.parquet(f"{tmp_path}/x").groupBy("id").count().write.format("noop").mode("overwrite").save()
+    assert took["scan"].read > 0 and took["scan"].shuffle_written > 0 and took["scan"] - took["scan"] == metrics.TaskIO()

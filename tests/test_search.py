@@ -3,10 +3,14 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from critpath.functions.weights import edges_long
 from critpath.operators import boundary, paths, prep, search
+from critpath.operators.kernels import FAR, Adjacency
+from critpath.sources.store import Store
 
 GRAPHS = {
     "triangle": [(0, 1, [1, 9]), (1, 2, [1, 9]), (0, 2, [5, 1])],
@@ -89,6 +93,55 @@ def test_paths_take_the_smallest_predecessor(spark):
     assert back.count() == 6
 
 
-def test_kernel_refuses_a_larger_graph(spark):
-    with pytest.raises(ValueError):
-        search.labels_kernel(edges_long(frame(spark, GRAPHS["tie"])), search.seeds(spark.createDataFrame([(0, 0, 3)], "query_id long, s long, t long"), 2).drop("side"), limit=3)
+def test_graphs_above_the_bound_take_the_loop(spark):
+    rows = GRAPHS["random"]
+    long = edges_long(frame(spark, rows)).cache()
+    od = spark.createDataFrame([(i, i, (i * 7 + 3) % 30) for i in range(6)], "query_id long, s long, t long")
+    want = sorted(map(tuple, search.kernel(long, od, 2).collect()), key=str)
+    assert sorted(map(tuple, search.kernel(long, od, 2, limit=0).collect()), key=str) == want
+    assert sorted(map(tuple, search.kernel_bidirectional(long, od, 2).collect()), key=str) == want
+    start = search.seeds(od, 2).drop("side")
+    key = lambda r: (r.query_id, r.cri, r.v, r.d)
+    assert sorted(map(key, search.labels_kernel(long, start, limit=0).collect())) == sorted(map(key, search.labels_kernel(long, start).collect()))
+
+
+def test_a_graph_on_disk(spark, tmp_path):
+    rows = GRAPHS["random"]
+    e = frame(spark, rows)
+    store = Store(spark, str(tmp_path / "g"), 2)
+    parts = store.table("partitions", lambda: e.select(F.col("src").alias("v")).distinct().select("v", (F.col("v") % 4).cast("int").alias("pid"), F.col("v").alias("pos")))
+    store.edges(e, parts)
+    ids = sorted({x for u, v, _ in rows for x in (u, v)})
+    od = [(i, ids[i], ids[(i * 7 + 3) % len(ids)]) for i in range(5)] + [(8, ids[0], ids[0]), (9, ids[0], 99_999)]
+    frame_ = spark.createDataFrame(od, "query_id long, s long, t long")
+    want = {(q, c): 0 if s == t else plain(rows, s, c).get(t) for q, s, t in od for c in (0, 1)}
+    for most in (search.MOST_PIDS, 0):
+        assert {(r.query_id, r.cri): r.cost for r in search.stored(store, frame_, 2, most_pids=most).collect()} == want
+
+
+def test_meeting_of_two_searches():
+    for seed in range(5):
+        rows = random_graph(seed, 30, 45)
+        und = [(u, v, w[0]) for u, v, w in rows]
+        src, dst, w = (np.array(c) for c in zip(*(und + [(v, u, w) for u, v, w in und])))
+        near = Adjacency(src, dst, w)
+        for s in range(0, len(near.ids), 4):
+            best = plain(rows, int(near.ids[s]), 0)
+            for t in range(len(near.ids)):
+                assert near.meeting(s, t) == best.get(int(near.ids[t]), FAR)
+
+
+def test_paths_from_both_ends(spark):
+    rows = random_graph(3, 30, 60)
+    long = edges_long(frame(spark, rows), 1).cache()
+    labels = {s: plain(rows, s, 0) for s in (0, 5, 9, 17)}
+    near = {(u, v): w[0] for u, v, w in rows} | {(v, u): w[0] for u, v, w in rows}
+    make = lambda s: [(s, 0, v, d) for v, d in labels[s].items()]
+    forward = spark.createDataFrame(make(0), "t long, cri int, v long, d long").drop("t")
+    backward = spark.createDataFrame([x for s in (5, 9, 17) for x in make(s)], "t long, cri int, v long, d long")
+    got = {}
+    for r in paths.bidirectional_paths(long, forward, backward, 0).orderBy("t", "step").collect():
+        got.setdefault(r.t, []).append(r.v)
+    assert set(got) == {t for t in (5, 9, 17) if t in labels[0]}
+    for t, p in got.items():
+        assert p[0] == 0 and p[-1] == t and sum(near[a, b] for a, b in zip(p, p[1:])) == labels[0][t]

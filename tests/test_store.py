@@ -27,5 +27,11 @@ def test_store_and_experiments(spark, tmp_path):
     for r in report:
         costs.setdefault((r.qtype, r.cri), set()).add((r.n_reached, r.avg_cost, r.avg_cost_compat))
     assert all(len(c) == 1 for c in costs.values())
+    report = experiments.evaluate(edges, od, strategies=("kernel",), criteria=(2,), partitions=parts).collect()
+    assert all(r.avg_visited > 0 and r.avg_partitions >= 1 and r.avg_blocks >= r.avg_partitions and r.read_bytes is not None for r in report)
+    swept = experiments.sweep_partitions(edges, od, (1, 2), ("pri", "wave"), 2).collect()
+    assert [(r.how, r.partition_kb) for r in swept] == [("pri", 1), ("pri", 2), ("wave", 1), ("wave", 2)] and swept[0].n_partitions > 1
+    assert {(r.src, r.dst) for r in store.scan_category(0, [0]).collect()} == {(r.src, r.dst) for r in store.scan([0], k=1).collect()}
+    assert {r.src for r in store.scan_shortcuts([0]).collect()} <= own and "PartitionFilters: [isnotnull(pid" in store.scan_shortcuts([0])._jdf.queryExecution().toString()
     over = boundary.overlay_search(long, parts, short, found, od, 2, strategy="kernel")
     assert over.where("cost is null").count() == 0
