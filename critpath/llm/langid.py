@@ -141,8 +141,11 @@ def train(texts: list[bytes], labels: list[str], bits: int = 15, dim: int = 16,
     return model
 
 
-def sample(docs: DataFrame, usable: Column, per_lang: int, most_bytes: int, max_langs: int, seed: int = 3) -> list:
-    """(text, lang) of about `per_lang` labelled rows of each language, the first `most_bytes` of each; at most `max_langs` languages."""
+def sample(docs: DataFrame, usable: Column, per_lang: int, most_chars: int, max_langs: int, seed: int = 3) -> list:
+    """(text, lang) of about `per_lang` labelled rows of each language; more than `max_langs` languages are an error.
+
+    Of a text longer than `most_chars` three pieces are taken, one from a seeded place in each third of it.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
     counts = rows.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()
     if len(counts) > max_langs:
@@ -150,7 +153,10 @@ def sample(docs: DataFrame, usable: Column, per_lang: int, most_bytes: int, max_
     part = F.lit(False)
     for r in counts:
         part = part | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_lang / r["count"]))))
-    kept = rows.where(part).select("doc_id", F.substring("text", 1, most_bytes).alias("text"), "lang")
+    third, piece = F.floor(F.length("text") / 3), most_chars // 3
+    start = lambda i: F.lit(1) + third * i + F.pmod(F.xxhash64(F.lit(seed + 1 + i), "doc_id", F.length("text")), F.greatest(third - piece, F.lit(1)))
+    pieces = F.concat_ws(" ", *(F.col("text").substr(start(i).cast("int"), F.lit(piece)) for i in range(3)))
+    kept = rows.where(part).select("doc_id", F.when(F.length("text") <= most_chars, F.col("text")).otherwise(pieces).alias("text"), "lang")
     return kept.orderBy("doc_id", "text", "lang").limit(2 * per_lang * max(1, len(counts))).collect()
 
 

@@ -7,11 +7,11 @@ half a count of every distinct follower) to the next shorter one, leaving out sy
 the longer one would have given, down to a uniform choice of the symbols never seen.
 
 The trie is kept as counts of 6-grams of symbols, whose prefixes and suffixes give all shorter
-contexts. Contexts up to two symbols go to every task (at most 257^3 counts, whatever the
-corpus). Longer ones are resolved together if they share the three symbols before the
-last, so a group holds at most the 257^3 grams of one such triple. Resolved grams go to the
+contexts. Grams are resolved together if they share the three symbols before the
+last, so a group holds at most the 257^3 grams of one such triple; it is joined with the counts of its own
+shorter contexts, and only those of single symbols go to every task (257^2 counts at most, whatever the corpus). Resolved grams go to the
 scoring tasks by a broadcast as long as they are at most `broadcast_grams`; beyond, every block of
-documents gets those it needs by a join.
+documents gets those it needs by a join. Both ways carry the same 32-bit logarithms.
 
 Word counts for the base score always reach the blocks by a join. Words are counted by 64-bit
 hashes.
@@ -107,13 +107,11 @@ class Lookup:
 
 
 class Low:
-    """Counts of one and two symbols' contexts, from those of three symbols in a row (packed, sorted)."""
+    """Counts of contexts of up to two symbols: of three symbols in a row (packed, sorted) those that are asked for, of two all."""
 
-    def __init__(self, triples: np.ndarray, counts: np.ndarray):
-        self.triples, self.counts = triples, counts
+    def __init__(self, triples: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
+        self.triples, self.counts, self.pairs = triples, counts, pairs
         prev, sym = (triples >> BITS) & _LOW, triples & _LOW
-        self.pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-        np.add.at(self.pairs, (prev, sym), counts)
         self.single = self.pairs.sum(0)
         self.contexts, of = np.unique(triples >> BITS, return_inverse=True)
         self.total = np.bincount(of, counts, len(self.contexts)).astype(np.int64)
@@ -227,7 +225,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 10 << 20, broadc
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = docs.agg(F.sum(common.n_bytes(F.col("text")))).first()[0] or 0
     n_blocks = common.n_parts(spark, size, block_bytes)
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int"))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def collect(t: pa.Table) -> pa.Table:
         own = count_block(_streams(t.column("text")), t.column("held_out").to_numpy())
@@ -237,17 +235,27 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 10 << 20, broadc
     gram_rows, word_rows = _rows_of(packed, "grams"), _rows_of(packed, "words")
 
     totals = common.checkpointed(gram_rows.groupBy("key").agg(F.sum("n").alias("n")))
-    triple = F.col("key").bitwiseAND((1 << 3 * BITS) - 1)
-    rows = totals.groupBy(triple.alias("t")).agg(F.sum("n").alias("n")).orderBy("t").toArrow()  # at most SYMBOLS^3 rows
-    shared = spark.sparkContext.broadcast((rows.column("t").to_numpy(), rows.column("n").to_numpy()))
+    low_bits = lambda c, n: F.col(c).bitwiseAND((1 << n * BITS) - 1)
+    triples = common.checkpointed(totals.groupBy(low_bits("key", 3).alias("t")).agg(F.sum("n").alias("n")))
+    rows = triples.groupBy(low_bits("t", 2).alias("p")).agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS^2 rows
+    pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)
+    pairs[rows.column("p").to_numpy() >> BITS, rows.column("p").to_numpy() & _LOW] = rows.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(pairs)
     n_grams = totals.count()
 
-    def resolved(t: pa.Table) -> pa.Table:
-        g = t.column("key").to_numpy()
-        return pa.table({"key": pa.array(g), "x": pa.array(resolve(g, t.column("n").to_numpy(), _once(shared, Low)))})
+    def resolved(t: pa.Table, own: pa.Table) -> pa.Table:
+        g, order = t.column("key").to_numpy(), np.argsort(own.column("t").to_numpy())
+        low = Low(own.column("t").to_numpy()[order], own.column("c").to_numpy()[order], shared.value)
+        return pa.table({"key": pa.array(g), "x": pa.array(resolve(g, t.column("n").to_numpy(), low).astype(np.float32))})
 
-    group = F.pmod(F.xxhash64(F.shiftright("key", BITS).bitwiseAND((1 << 3 * BITS) - 1)), F.lit(n_grams // 200_000 + spark.sparkContext.defaultParallelism))
-    model = totals.select("key", "n", group.alias("g")).groupBy("g").applyInArrow(resolved, "key long, x double")
+    context = F.shiftright("key", BITS).bitwiseAND((1 << 3 * BITS) - 1)
+    keyed = totals.select("key", "n", context.alias("context"))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(n_grams // 200_000 + spark.sparkContext.defaultParallelism))
+    # The counts of three symbols whose first two end one of a group's contexts, once for each group.
+    ends = keyed.select("context").distinct().select(group("context").alias("g"), low_bits("context", 2).alias("two")).distinct()
+    low = triples.select(F.shiftright("t", BITS).alias("two"), "t", F.col("n").alias("c")).join(ends, "two").select("g", "t", "c")
+    grams_of_group = keyed.select("key", "n", group("context").alias("g")).groupBy("g")
+    model = grams_of_group.cogroup(low.groupBy("g")).applyInArrow(resolved, "key long, x float")
 
     known = common.checkpointed(word_rows.groupBy("key").agg(F.sum("n").alias("x")).where("x > 0"))
     n_train, n_words = known.agg(F.sum("x"), F.count("*")).first()
@@ -257,9 +265,9 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 10 << 20, broadc
     table = None
     if n_grams <= broadcast_grams:
         rows = model.orderBy("key").toArrow()
-        table = spark.sparkContext.broadcast((rows.column("key").to_numpy(), rows.column("x").to_numpy().astype(np.float32)))
+        table = spark.sparkContext.broadcast((rows.column("key").to_numpy(), rows.column("x").to_numpy()))
     else:
-        told = told.unionByName(gram_rows.select("block", "key").join(model, "key").withColumn("word", F.lit(False)))
+        told = told.unionByName(gram_rows.select("block", "key").join(model, "key").select("block", "key", F.col("x").cast("double").alias("x"), F.lit(False).alias("word")))
     base = float(np.log10(n_train + n_words + 1))
 
     def run(t: pa.Table, told: pa.Table) -> pa.Table:

@@ -93,7 +93,7 @@ def mix(
     """
     spark = docs.sparkSession
     sized = common.checkpointed(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(common.SPACED_PATTERN)), F.lit(0)).cast("long").alias("size"))
+        docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("own"), F.coalesce(F.regexp_count("text", F.lit(common.SPACED_PATTERN)), F.lit(0)).cast("long").alias("size"))
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
@@ -109,7 +109,7 @@ def mix(
         "sid int, name string, source_size long, target double, n_shards long, quota long",
     )
     dealt = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).withColumn(
-        "shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "n_shards")
+        "shard", F.pmod(F.xxhash64(F.lit(seed), "own"), "n_shards")  # by the text too: an id may be null or repeated
     )
 
     def shard_quotas(own: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +127,7 @@ def mix(
         .groupBy("sid")
         .applyInPandas(shard_quotas, "sid int, shard long, shard_size long, blocks long, shard_quota long, step long, start long")
     )
-    line = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    line = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "own"), "own", "doc_id", "size")
     placed = dealt.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(shards, ["sid", "shard"])
     # Block j of K over S words is [j*S div K, (j+1)*S div K); a word w lies in block ((w+1)*K - 1) div S.
     extra = F.expr("""
