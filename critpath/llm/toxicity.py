@@ -27,7 +27,7 @@ from .lm_score import Lookup
 from .simhash import fingerprint
 
 BLOCK = 128
-PREFIXES = (4, 5, 6)
+PREFIXES = (4,)
 #: Examples whose SimHash differs in no more bits are copies; unrelated ones differ in 32 or so.
 COPY_BITS = 8
 #: Relevance grows with the likelihood ratio g as g / (g + HALF_G), and with the lift up to FULL_LIFT.
@@ -35,7 +35,7 @@ HALF_G = 100.0
 FULL_LIFT = 10.0
 LEAST_RELEVANCE = 0.03
 #: Terms in more than one of so many examples are kept as a matrix.
-OFTEN = 8
+OFTEN = 16
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -115,20 +115,31 @@ class BlockMax:
         w = (1 + np.log(n[own])) * self.weight[at]
         return at, _unit(np.zeros(len(w), np.int64), w, 1)
 
+    def _add(self, out: np.ndarray, rows: np.ndarray, low: np.ndarray, end: np.ndarray, w: np.ndarray, first: int) -> None:
+        """Adds the postings low..end of each (row, weight) to out, whose columns are the examples from `first` on."""
+        count = (end - low).astype(np.int64)
+        place = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+        cell = np.repeat(rows * out.shape[1] - first, count) + self.example[place]
+        out += np.bincount(cell, np.repeat(w, count) * self.value[place], out.size).reshape(out.shape)
+
     def _open(self, cosine: np.ndarray, wanted: np.ndarray, matrix: np.ndarray, rows: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
         """Cosines of the texts with the examples of the blocks wanted(text, block)."""
-        n = len(cosine)
+        most = wanted.sum(1) * 4 > self.n_blocks
+        if most.any():  # these texts read whole lists of postings at once
+            texts = np.flatnonzero(most)
+            part = matrix[texts] @ self.matrix
+            use = most[rows]
+            own = at[use] * self.n_blocks
+            self._add(part, (np.cumsum(most) - 1)[rows[use]], self.limits[own], self.limits[own + self.n_blocks], w[use], 0)
+            cosine[texts] = part
+            wanted = wanted & ~most[:, None]
         for b in np.flatnonzero(wanted.any(0)).tolist():
             texts = np.flatnonzero(wanted[:, b])
-            part = np.zeros((n, BLOCK))
-            part[texts] = matrix[texts] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
-            low = self.limits[at * self.n_blocks + b]
-            count = self.limits[at * self.n_blocks + b + 1] - low
-            use = np.flatnonzero((count > 0) & wanted[rows, b])
-            low, count = low[use].astype(np.int64), count[use].astype(np.int64)
-            place = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            part += np.bincount(np.repeat(rows[use], count) * BLOCK + self.example[place] - b * BLOCK, np.repeat(w[use], count) * self.value[place], n * BLOCK).reshape(n, BLOCK)
-            cosine[texts, b * BLOCK : (b + 1) * BLOCK] = part[texts]
+            part = matrix[texts] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
+            use = np.flatnonzero(wanted[rows, b])
+            cell = at[use] * self.n_blocks + b
+            self._add(part, (np.cumsum(wanted[:, b]) - 1)[rows[use]], self.limits[cell], self.limits[cell + 1], w[use], b * BLOCK)
+            cosine[texts, b * BLOCK : (b + 1) * BLOCK] = part
 
     def nearest(self, rows: np.ndarray, at: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, example, cosine) of the k nearest with a cosine above 0 of n texts, best first; (rows, at, w): unit vectors."""
