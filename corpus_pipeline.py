@@ -12,13 +12,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents whose language is rejected go; lang becomes the predicted one."""
+    """Operator 7: documents whose language is rejected go; lang becomes the predicted one.
+
+    A null or empty text, or one without a letter, is rejected. A null lang is predicted like any other. Rows are judged one by one, so
+    repeated rows stay or go together; of equally likely languages the first in order is taken. An empty table stays empty; so does
+    one without any lang to learn from.
+    """
     kept = langid.predict(docs, langid.fit(docs, ~langid.held_out()), keep=tuple(COLUMNS)).where("not rejected")
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents with a toxicity score at the threshold or above go."""
+    """Operator 6: documents with a toxicity score at the threshold or above go.
+
+    Without labels every score is 0 and all stay. A null or empty text has the labels' mean score and a null doc_id is scored like
+    any other; repeated rows stay or go together. A score just at the threshold goes.
+    """
     index = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), ~toxicity.held_out())
     return toxicity.score(docs, index, keep=tuple(COLUMNS)).where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
 
@@ -27,12 +36,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each group of near-duplicates the document with the smallest doc_id stays.
 
     Rows are told apart by a 64-bit hash of the text, not by doc_id, which may be null or repeated. A null
-    doc_id comes after all others; ties go to the smaller hash, then lang, source and n_chars.
+    doc_id comes after all others; ties go to the smaller hash, then lang, source and n_chars. Texts without words, null ones
+    too, are one group. An empty table stays empty.
     """
     keyed = docs.withColumn("key", F.xxhash64("text"))
     groups = simhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
     rule = [F.col("doc_id").isNull().alias("unnamed"), *(F.col(c) for c in ("doc_id", "key", "lang", "source", "n_chars"))]
-    best = keyed.select("key", F.struct(*rule).alias("row")).join(groups, "key").groupBy("component_id").agg(F.min("row").alias("row"))
+    # One row a text before any join, so that a text of very many copies is one row there.
+    texts = keyed.select("key", F.struct(*rule).alias("row")).groupBy("key").agg(F.min("row").alias("row"))
+    best = texts.join(groups, "key").groupBy("component_id").agg(F.min("row").alias("row"))
     best = best.select(*(F.col(f"row.{c}").alias(f"b_{c}") for c in ("doc_id", "key", "lang", "source", "n_chars")))
     same = F.col("key") == F.col("b_key")
     for c in ("doc_id", "lang", "source", "n_chars"):
@@ -41,13 +53,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a window of the benchmark go."""
+    """Operator 8: documents that hold a window of the benchmark go.
+
+    A null or empty text holds none and stays, as does everything if the benchmark is empty; rows are judged one by one, whatever
+    their ids.
+    """
     found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS))
     return found.where("n_hit = 0").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: how many words of each document the mix takes; documents of which it takes none go."""
+    """Operator 1: how many words of each document the mix takes; documents of which it takes none go.
+
+    A text without words has none to take. The null source is one of its own; repeated rows count as often as they stand. An
+    empty table gives no rows.
+    """
     return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
