@@ -10,7 +10,8 @@ Since the mean and the softmax's matrix commute, embedding and matrix are multip
 and a text is scored by summing one row a gram; whole texts are read.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; rows
-without text or language are not learnt from; without anything to learn from all are `und`.
+without text or language are not learnt from; without anything to learn from all are `und`. Of equally likely languages the first in order is
+taken; repeated rows are predicted one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def sample(docs: DataFrame, usable: Column, per_lang: int, most_chars: int, max_
 
 
 def fit(docs: DataFrame, usable: Column, per_lang: int = 800, most_chars: int = 3000, max_langs: int = 400) -> Model | None:
-    """A model from a bounded sample: `per_lang` rows a language, `most_chars` of each; None if there is none to learn from."""
+    """A model from a bounded sample: `per_lang` rows a language, about `most_chars` of each from all over it; None if there is none to learn from."""
     rows = sample(docs, usable, per_lang, most_chars, max_langs)
     # Half of the rows are learnt from as short pieces too, so that short texts get honest scores.
     texts, langs = [r.text.encode() for r in rows], [r.lang for r in rows]

@@ -8,7 +8,9 @@ vocabulary is never gathered. The classes' token counts are hashed to a fixed nu
 buckets, which bounds the model.
 
 Defined results: a null url, or one without `://`, has empty host and path and no words, and
-gets the more common class (allow if there is none); repeated rows are judged one by one.
+gets the more common class (allow if there is none); repeated rows are judged one by one. Of splits that are
+equally likely the one with the longer last word is taken, and of equal odds allow. An empty table gives no rows. A label of any length is split
+whole, in time that grows with its length. Columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,18 +104,21 @@ def segment(labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 transform(sequence(1, greatest(1, least({LONGEST_WORD}, length(label) - i + 1))), n -> substring(label, i, n))))""")
         ).alias("word"),
     ).distinct()
-    known = labels.withColumns({"word": F.lit(None).cast("string"), "n": F.lit(None).cast("long")}).unionByName(parts.join(vocabulary, "word"))
-
-    def split(own: pd.DataFrame) -> pd.DataFrame:
-        label = own.label.iloc[0]
-        known = own.dropna(subset=["word"])
-        counts = dict(zip(known.word, known.n))
-        words: list[str] = []
-        for run in re.findall(r"[a-z]+|[^a-z]+", label):
-            words += viterbi(run, counts, total) if run[0].isascii() and run[0].isalpha() else [run]
-        return pd.DataFrame({"label": [label], "words": [words]})
-
-    return known.groupBy("label").applyInPandas(split, "label string, words array<string>")
+    # A label has a bounded number of substrings; single letters stand in very many labels.
+    found = common.spread_join(common.checkpointed(parts), vocabulary, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            for label, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = {x["word"]: x["n"] for x in known or ()}
+                words: list[str] = []
+                for run in re.findall(r"[a-z]+|[^a-z]+", label):
+                    words += viterbi(run, counts, total) if run[0].isascii() and run[0].isalpha() else [run]
+                out.append(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["label", "words"])
+
+    return labels.join(found, "label", "left").mapInArrow(split, "label string, words array<string>")
 
 
 def bucket(token: str) -> int:
