@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from critpath.functions.ids import ranked, running
 from critpath.functions.weights import aggregate_weight
 from critpath.operators import kernels
 from critpath.operators.components import components
@@ -16,6 +17,8 @@ from critpath.schema import EDGE_BYTES, PARTITION_KB
 
 #: Undirected edges up to which the spanning tree is built in one task.
 TREE_ROWS = 5_000_000
+#: Vertices up to which packing streams through one task, at 24 bytes each.
+PACK_ROWS = 20_000_000
 
 
 def weighted(edges: DataFrame, how: str = "wave") -> DataFrame:
@@ -65,12 +68,65 @@ def spanning_tree(undirected: DataFrame, strategy: str = "auto") -> DataFrame:
         label = checkpointed(label.join(merged, "label", "left").select("x", F.coalesce("to", "label").alias("label")))
 
 
-def preorder(tree: DataFrame) -> DataFrame:
+def _order(tree: DataFrame, strategy: str) -> str:
+    if strategy != "auto":
+        return strategy
+    return "kernel" if tree.limit(TREE_ROWS + 1).count() <= TREE_ROWS else "rounds"
+
+
+def _distances(following: DataFrame) -> DataFrame:
+    """id, d: how many steps (id, to) lead from id to the end of its list, by doubling; to is null at an end."""
+    state = checkpointed(following.select("id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("d")))
+    while not (going := state.where("to is not null")).isEmpty():
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
+        moved = going.join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("d") + F.col("more")).alias("d"))
+        state = checkpointed(state.where("to is null").unionByName(moved))
+    return state.select("id", "d")
+
+
+def _tour(arcs: DataFrame) -> DataFrame:
+    """arcs(a, b, last, root) with `at`, an arc's place in the tour of its tree that leaves each vertex by its arcs in order of (last, b).
+
+    An arc is followed by the next one, round about, that leaves its head; the tour of a tree ends where the root has no further one.
+    """
+    ids = checkpointed(ranked(arcs, "a", "last", "b", name="id"))
+    first = ids.groupBy("a").agg(F.min("id").alias("first"))
+    after = ids.select((F.col("id") - 1).alias("id"), F.col("a").alias("next_a"))
+    # The arc b -> a is followed by the one after a -> b.
+    turn = ids.join(after, "id", "left").join(first, "a")
+    more = F.col("next_a").eqNullSafe(F.col("a"))
+    to = F.when(more, F.col("id") + 1).when(F.col("a") != F.col("root"), F.col("first"))
+    back = turn.select(F.col("b").alias("a"), F.col("a").alias("b"), to.alias("to"))
+    left = _distances(ids.select("a", "b", "id").join(back, ["a", "b"]).select("id", "to"))
+    placed = ids.join(left, "id")
+    length = placed.groupBy("root").agg(F.max("d").alias("most"))
+    return checkpointed(placed.join(length, "root").select("a", "b", "last", "root", (F.col("most") - F.col("d")).alias("at")))
+
+
+def _walk(tree: DataFrame) -> DataFrame:
+    """a, b, last, root, at: the tour that takes children by ascending id; last: the arc goes up to the parent.
+
+    A first tour, in any order, tells which way an arc goes: down is taken before up.
+    """
+    both = tree.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(tree.select(F.col("v").alias("a"), F.col("u").alias("b"))).distinct()
+    roots = components(tree.select("u", "v")).select(F.col("node").alias("a"), "root")
+    arcs = checkpointed(both.join(roots, "a").withColumn("last", F.lit(False)))
+    found = _tour(arcs)
+    up = found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("at").alias("back"))
+    return _tour(found.join(up, ["a", "b"]).select("a", "b", "root", (F.col("at") > F.col("back")).alias("last")))
+
+
+def preorder(tree: DataFrame, strategy: str = "auto") -> DataFrame:
     """v, pos: vertices in depth-first order of a forest (u, v), children by ascending id.
 
-    The order is sequential; its input, the tree, has one row a vertex.
+    Within TREE_ROWS one task walks it; beyond, rounds of doubling rank the arcs of its Euler tour.
     """
     ship(tree.sparkSession)
+    if _order(tree, strategy) == "rounds":
+        walk = _walk(tree)
+        entered = walk.where("not last").select("root", F.col("b").alias("v"), "at")
+        tops = walk.select("root").distinct().select("root", F.col("root").alias("v"), F.lit(-1).cast("long").alias("at"))
+        return ranked(entered.unionByName(tops), "root", "at").select("v", "pos")
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         order = kernels.preorder(zip(own.u.tolist(), own.v.tolist()))
@@ -79,9 +135,14 @@ def preorder(tree: DataFrame) -> DataFrame:
     return tree.select("u", "v").groupBy(F.lit(0).alias("g")).applyInPandas(run, "v long, pos long")
 
 
-def euler_tour(tree: DataFrame) -> DataFrame:
-    """i, v: the walk of length 2n - 1 that goes down to each child and back up, from the smallest vertex of each tree."""
+def euler_tour(tree: DataFrame, strategy: str = "auto") -> DataFrame:
+    """i, v: the walk of length 2n - 1 that goes down to each child and back up, from the smallest vertex of each tree; as preorder."""
     ship(tree.sparkSession)
+    if _order(tree, strategy) == "rounds":
+        walk = _walk(tree)
+        steps = walk.select("root", F.col("b").alias("v"), "at")
+        tops = walk.select("root").distinct().select("root", F.col("root").alias("v"), F.lit(-1).cast("long").alias("at"))
+        return ranked(steps.unionByName(tops), "root", "at", name="i").select("i", "v")
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -112,8 +173,6 @@ def euler_tour(tree: DataFrame) -> DataFrame:
 
 def list_ranks(tour: DataFrame) -> DataFrame:
     """v, pos: vertices by their first place in a tour (i, v)."""
-    from critpath.functions.ids import ranked
-
     return ranked(tour.groupBy("v").agg(F.min("i").alias("i")), "i").select("v", "pos")
 
 
@@ -122,12 +181,36 @@ def capacity(partition_kb: int = PARTITION_KB) -> int:
     return partition_kb * 1024 // EDGE_BYTES
 
 
-def pack(ordered: DataFrame, limit: int) -> DataFrame:
-    """v, pid, pos from (v, pos, degree): vertices in order fill partitions of at most `limit` edges.
-
-    A vertex above the limit has a partition of its own. The fold is sequential by
-    definition; it streams over one sorted partition and holds one batch at a time.
+def _packed_in_rounds(ordered: DataFrame, limit: int) -> DataFrame:
+    """pack without a sequential fold: where a partition would end is known for every place it could begin at, and
+    doubling finds the beginnings that follow from the first."""
+    rows = checkpointed(running(ordered.select("v", F.col("pos").cast("long").alias("pos"), F.col("degree").cast("long").alias("degree")), "degree", "pos", name="before"))
+    rows = rows.withColumn("before", F.col("before").cast("long"))
+    # A partition that begins at i ends before the first place whose running sum is above before(i) + limit.
+    sums = rows.select((F.col("before") + F.col("degree")).alias("x"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("pos"), F.lit(1).cast("long").alias("one"))
+    asks = rows.select((F.col("before") + limit).alias("x"), F.lit(1).alias("asks"), "pos", F.lit(0).cast("long").alias("one"))
+    ends = running(sums.unionByName(asks), "one", "x", "asks", name="end").where("asks = 1")
+    n = rows.count()
+    jump = checkpointed(ends.select("pos", F.greatest(F.col("end").cast("long"), F.col("pos") + 1).alias("to")).where(F.col("to") < n))
+    jumps = [jump]
+    while not (jump := checkpointed(jumps[-1].join(jumps[-1].select(F.col("pos").alias("to"), F.col("to").alias("next")), "to").select("pos", F.col("next").alias("to")))).isEmpty():
+        jumps.append(jump)
+    begins = rows.where("pos = 0").select("pos")
+    for jump in reversed(jumps):
+        begins = checkpointed(begins.unionByName(begins.join(jump, "pos").select(F.col("to").alias("pos"))).distinct())
+    marked = rows.join(begins.withColumn("new", F.lit(1).cast("long")), "pos", "left").withColumn("new", F.coalesce("new", F.lit(0).cast("long")))
+    counted = running(marked.select("v", "pos", "new"), "new", "pos", name="earlier")
+    return counted.select("v", (F.col("earlier") + F.col("new") - 1).cast("int").alias("pid"), "pos")
+
+
+def pack(ordered: DataFrame, limit: int, strategy: str = "auto") -> DataFrame:
+    """v, pid, pos from (v, pos, degree): vertices in order, from place 0, fill partitions of at most `limit` edges.
+
+    A vertex above the limit has a partition of its own. Within PACK_ROWS the fold streams over one sorted partition and holds
+    one batch at a time; beyond, rounds of doubling give the same partitions.
     """
+    if strategy == "rounds" or strategy == "auto" and ordered.limit(PACK_ROWS + 1).count() > PACK_ROWS:
+        return _packed_in_rounds(ordered, limit)
 
     def run(batches):
         pid, used, first = 0, 0, True

@@ -86,6 +86,17 @@ def test_order_tour_and_packing(spark):
     assert cluster.capacity(256) == 9362
 
 
+def test_orders_and_packing_in_rounds(spark):
+    rng = random.Random(2)
+    rows = [(p, v) if rng.random() < 0.5 else (v, p) for v in range(1, 24) for p in [rng.randrange(max(0, v - 5), v)] if v != 13] + [(40, 41), (41, 50)]
+    tree = spark.createDataFrame(rows, "u long, v long").cache()
+    for f, key in ((cluster.preorder, "pos"), (cluster.euler_tour, "i")):
+        assert [r.v for r in f(tree, "rounds").orderBy(key).collect()] == [r.v for r in f(tree, "kernel").orderBy(key).collect()]
+    ordered = spark.createDataFrame([(100 + i, i, rng.choice((0, 1, 2, 3, 9))) for i in range(40)], "v long, pos long, degree long").cache()
+    for limit in (5, 100):
+        assert sorted(map(tuple, cluster.pack(ordered, limit, "rounds").collect())) == sorted(map(tuple, cluster.pack(ordered, limit, "stream").collect()))
+
+
 def test_boundary_tags(spark):
     e = prep.mirror(spark.createDataFrame([(0, 1, [1], 0), (1, 2, [1], 1), (2, 3, [1], 2), (3, 4, [1], 3), (4, 5, [1], 4)], EDGE))
     p = spark.createDataFrame([(v, 0 if v < 3 else 1, v) for v in range(6)], "v long, pid int, pos long")
