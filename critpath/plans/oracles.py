@@ -94,3 +94,29 @@ d(s, c, v, dist) using key (s, c, v) as (
     left join recurring.d r on r.v = e.t and r.c = e.c and r.s = d.s
   group by d.s, d.c, e.t, r.dist having min(d.dist + e.w) < coalesce(r.dist, 9223372036854775807)),
 full_ as (select a.pid, d.c, d.s, d.v b, d.dist from d join bd on bd.v = d.v join pt a on a.v = d.s where d.s <> d.v)"""
+
+
+#: The minimum spanning tree of the grid, an edge at a time. kr: labels of vertices by their id; at -1 the last edge tried, at -1 - rank that an edge joins two trees.
+TREE = f"""{GRID}, {BOTH},
+xe as (select least(u, v) u, greatest(u, v) v, (33 * w0 + 33 * w1 + 33 * coalesce(w2, 0) + 99) // 100 w from g),
+re as materialized (select u, v, w, row_number() over (order by w, u, v) rk from xe),
+kr(v, l) using key (v) as (
+  select v, v from vs union all select -1, 0
+  union
+  (with e as (select re.rk, a.l la, b.l lb from kr c join re on re.rk = c.l + 1 join recurring.kr a on a.v = re.u join recurring.kr b on b.v = re.v where c.v = -1)
+  select -1, rk from e
+  union all select -1 - rk, 1 from e where la <> lb
+  union all select r.v, least(la, lb) from e join recurring.kr r on r.l = greatest(la, lb) and r.v >= 0 where la <> lb)),
+tree as materialized (select re.u, re.v, re.w from kr join re on kr.v = -1 - re.rk)"""
+#: Its depth-first order: by the path from the least vertex.
+PREORDER = f"""{TREE}, adj as (select u a, v b from tree union all select v, u from tree),
+po(v, par, path) as (select min(v), cast(-1 as bigint), [min(v)] from vs union all select adj.b, po.v, list_append(po.path, adj.b) from po join adj on adj.a = po.v where adj.b <> po.par),
+ord as materialized (select v, row_number() over (order by path) - 1 pos from po)"""
+
+
+def fold(order: str, capacity: int) -> str:
+    """r(pos, pid, used): partitions that the vertices of o(pos, v, d) fill in order."""
+    return f"""o as materialized ({order}),
+r(pos, pid, used) as (select cast(0 as bigint), cast(0 as bigint), (select d from o where pos = 0)
+  union all select o.pos, case when r.used + o.d <= {capacity} then r.pid else r.pid + 1 end, case when r.used + o.d <= {capacity} then r.used + o.d else o.d end
+  from r join o on o.pos = r.pos + 1)"""

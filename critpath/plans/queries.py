@@ -343,10 +343,7 @@ def prefix_offsets(spark, d):
 
 # ---- partitions
 
-_FOLD = f"""with recursive {O.SUPPLY}, {O.BOTH}, o as (select v, d, row_number() over (order by v) - 1 pos from deg),
-r(pos, pid, used) as (select cast(0 as bigint), cast(0 as bigint), (select d from o where pos = 0)
-  union all select o.pos, case when r.used + o.d <= 2000 then r.pid else r.pid + 1 end, case when r.used + o.d <= 2000 then r.used + o.d else o.d end
-  from r join o on o.pos = r.pos + 1)"""
+_FOLD = f"with recursive {O.SUPPLY}, {O.BOTH}, {O.fold('select v, d, row_number() over (order by v) - 1 pos from deg', 2000)}"
 
 
 def _packed(spark, d) -> DataFrame:
@@ -366,7 +363,7 @@ def partition_info(spark, d):
     return p.select(F.col("pid").cast("long").alias("pid"), "n_vertices", F.concat_ws(" ", F.transform("vertices", lambda v: v.cast("string"))).alias("vertices"))
 
 
-@query()
+@query(f"with recursive {O.TREE} select u, v, w from tree")
 def mst_edges(spark, d):
     return cluster.spanning_tree(cluster.weighted(grid_edges(spark, d)))
 
@@ -376,17 +373,17 @@ def mst_prim(spark, d):
     return cluster.spanning_tree(cluster.weighted(grid_edges(spark, d)), "prim")
 
 
-@query()
+@query(f"with recursive {O.PREORDER} select v, pos from ord")
 def preorder(spark, d):
     return cluster.preorder(cluster.spanning_tree(cluster.weighted(grid_edges(spark, d))))
 
 
-@query()
+@query(f"with recursive {O.PREORDER} select v, pos from ord")
 def euler_ranks(spark, d):
     return cluster.list_ranks(cluster.euler_tour(cluster.spanning_tree(cluster.weighted(grid_edges(spark, d)))))
 
 
-@query()
+@query(f"with recursive {O.PREORDER}, {O.fold('select ord.v, ord.pos, deg.d from ord join deg on deg.v = ord.v', cluster.capacity(4))} select o.v, cast(r.pid as integer) pid, o.pos from r join o on o.pos = r.pos")
 def graph_partition(spark, d):
     return cluster.partition(grid_edges(spark, d), partition_kb=4)
 
