@@ -275,11 +275,11 @@ def mcsp_overlay_bi(spark, d):
 # ---- a graph on disk
 
 
-def _store(spark, d, shortcuts: bool = False) -> Store:
+def _store(spark, d, shortcuts: bool = False, size: int = PART) -> Store:
     """The grid by partitions of ids, written to the shared folder."""
     store = Store(spark, shared_folder(spark), 3)
     e = grid_edges(spark, d)
-    p = store.table("partitions", lambda: grid_parts(e))
+    p = store.table("partitions", lambda: grid_parts(e, size))
     store.edges(e, p)
     if shortcuts:
         store.shortcuts(W.edges_long(e), p, store.boundary(e, p))
@@ -291,7 +291,7 @@ _SCAN = f"with {O.GRID}, {O.BOTH}, {O.grid_parts(PART)}, {O.long(3, 3)}"
 
 @query(O.mcsp(O.GRID, 3, 3, 6))
 def mcsp_stored(spark, d):
-    r = search.stored(_store(spark, d), workload.arithmetic_pairs(grid_edges(spark, d), 6), 3)
+    r = search.stored(_store(spark, d, size=8 * PART), workload.arithmetic_pairs(grid_edges(spark, d), 6), 3)
     return r.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
 
 
