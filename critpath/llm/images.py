@@ -3,15 +3,15 @@
 Corners (Harris) are taken at full and half size. The patch around each is turned by its
 intensity centroid, and 128 fixed comparisons of smoothed pixels give two binary words: a
 descriptor from its middle, and a check word from the whole patch. Two keypoints match if their descriptors differ in at most
-`radius` bits and their check words in at most `slack`; descriptors meet in `radius + 1` Hamming tables of disjoint
-bits, so no match is missed. A match votes for a rotation,
+`radius` bits and their check words in at most `slack`; descriptors are cut into `radius + 2` blocks and meet in Hamming tables of
+two blocks each: as many differing bits leave two blocks alike, so no match is missed. A match votes for a rotation,
 scale step and shift, and two images are linked if at least `agree` keypoints of one vote into
 one cell of `shift` pixels, in any of four grids half a cell apart. Classes of copies are the connected
 components of links.
 
 Identical images are one class before any of that. A group of m copies has m * m / 2 links, which
-are never all made: first every keypoint is paired, for each of a few random orders of images, only with the first
-image that it matches, so that most copies of a group meet the same few images; then all matches between images
+are never all made: first, in tables that share no bits, every keypoint is paired, for each of a few random orders of images, only with the first
+image that it matches there, so that most copies of a group meet the same few images; then all matches between images
 that are still in different components are voted on. A pair
 left out lies in one component already, so components are those of all links. Buckets of a table are compared in memory, a
 bucket of more than `bucket_points` points piece by piece; in the second round every two pieces of such a bucket meet in a task.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -181,15 +182,16 @@ def _agreeing(pairs: DataFrame, agree: int, shift: int) -> DataFrame:
     return cells.groupBy("u", "v", "turn", "step", "c").agg(F.count("*").alias("n")).where(F.col("n") >= agree).groupBy("u", "v").agg(F.max("n").alias("n"))
 
 
-def _tables(radius: int) -> list[int]:
-    """Masks of the Hamming tables: disjoint runs of bits, one more than may differ."""
-    masks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), radius + 1)]
+def _tables(radius: int, apart: bool = False) -> list[int]:
+    """Masks of the Hamming tables: two of radius + 2 runs of bits; `apart`: only as many as share no bits."""
+    parts = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), radius + 2)]
+    masks = [a | b for a, b in (zip(parts[::2], parts[1::2]) if apart else combinations(parts, 2))]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _keyed(points: DataFrame, radius: int) -> DataFrame:
+def _keyed(points: DataFrame, masks: list[int]) -> DataFrame:
     """points, once for each table t, with their key there."""
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("descriptor").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_tables(radius)))))
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("descriptor").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
     return points.withColumn("k", keys).select("k.*", *points.columns)
 
 
@@ -259,14 +261,11 @@ def _pairs(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 
 
 def _first_matches(points: DataFrame, radius: int, slack: int, bucket_points: int, orders: int = 4) -> DataFrame:
-    """u, v, a, b: of each keypoint the match whose image comes first, for each of a few random orders of images.
-
-    A larger bucket leaves one row more for each of its pieces: u and v null, a its table, b its key.
-    """
+    """u, v, a, b: of each keypoint the match whose image comes first, for each of a few random orders of images, inside buckets or pieces of them."""
     kind = points.schema["id"].dataType
 
     def run(batches):
-        for t, whole in _buckets(batches, bucket_points):
+        for t, _ in _buckets(batches, bucket_points):
             n, image = t.num_rows, _codes(t.column("id"))
             found = [np.zeros((0, 2), np.int64)]
             rank = [common.mix(image ^ common.mix(np.array([s + 1], np.uint64))) for s in range(orders)]
@@ -282,22 +281,26 @@ def _first_matches(points: DataFrame, radius: int, slack: int, bucket_points: in
                 found.append(np.stack([np.minimum(x, to[x]), np.maximum(x, to[x])], 1))
             i, j = np.unique(np.concatenate(found), axis=0).T
             yield _pairs(t, i, j)
-            if not whole:
-                none = pa.nulls(1, t.column("id").type)
-                yield pa.RecordBatch.from_arrays([none, none, pa.array([t.column("t")[0].as_py()]), t.column("key").slice(0, 1).combine_chunks()], names=["u", "v", "a", "b"])
 
-    sorted_ = _keyed(points, radius).repartition("t", "key").sortWithinPartitions("t", "key")
+    sorted_ = _keyed(points, _tables(radius, apart=True)).repartition("t", "key").sortWithinPartitions("t", "key")
     return sorted_.mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}, a long, b long")
 
 
-def _cross_matches(points: DataFrame, roots: DataFrame, large: DataFrame, radius: int, slack: int, bucket_points: int) -> DataFrame:
-    """u, v, a, b: all matches between images of different roots(id, root), an image without one being its own; large(t, key, n_blocks): buckets in pieces."""
+def _cross_matches(points: DataFrame, roots: DataFrame, radius: int, slack: int, bucket_points: int) -> DataFrame:
+    """u, v, a, b: all matches between images of different roots(id, root), an image without one being its own.
+
+    A match that several tables show comes once for each.
+    """
     kind = points.schema["id"].dataType.simpleString()
     rows = points.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = _keyed(rows, radius)
+    rows = _keyed(rows, _tables(radius))
 
     def run(batches):
-        for t, _ in _buckets(batches):
+        for t, whole in _buckets(batches, bucket_points):
+            if not whole:  # a piece of a large bucket leaves the bucket's table and key
+                none = pa.nulls(1, t.column("id").type)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([t.column("t")[0].as_py()]), t.column("key").slice(0, 1).combine_chunks()], names=["u", "v", "a", "b"])
+                continue
             root = _codes(t.column("root"))
             for i, j in _matches(t, radius, slack):
                 apart = root[i] != root[j]
@@ -305,8 +308,10 @@ def _cross_matches(points: DataFrame, roots: DataFrame, large: DataFrame, radius
                     yield _pairs(t, i[apart], j[apart])
 
     schema = f"u {kind}, v {kind}, a long, b long"
-    small = rows.join(large, ["t", "key"], "left_anti") if not large.isEmpty() else rows
-    found = small.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, schema)
+    found = common.checkpointed(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, schema))
+    large = found.where("u is null").groupBy(F.col("a").cast("int").alias("t"), F.col("b").alias("key")).agg((F.count("*") + 1).cast("int").alias("n_blocks"))
+    large = common.checkpointed(large)
+    found = found.where("u is not null")
     if large.isEmpty():
         return found
     rows = rows.join(large, ["t", "key"])
@@ -328,11 +333,10 @@ def _cross_matches(points: DataFrame, roots: DataFrame, large: DataFrame, radius
 def roots_of(described: DataFrame, radius: int = 2, slack: int = 8, agree: int = 4, shift: int = 12, bucket_points: int = 1024) -> DataFrame:
     """id, root: of every linked image of described(id, points), ids distinct, the smallest id in its component of links."""
     points = described.select("id", F.inline("points"))
-    found = common.checkpointed(_first_matches(points, radius, slack, bucket_points))
-    first = common.checkpointed(_agreeing(found.where("u is not null"), agree, shift).select("u", "v"))
-    large = found.where("u is null").groupBy(F.col("a").cast("int").alias("t"), F.col("b").alias("key")).agg((F.count("*") + 1).cast("int").alias("n_blocks"))
+    found = _first_matches(points, radius, slack, bucket_points)
+    first = common.checkpointed(_agreeing(found, agree, shift).select("u", "v"))
     roots = common.checkpointed(components(first).select(F.col("node").alias("id"), "root"))
-    cross = _cross_matches(points, roots, common.checkpointed(large), radius, slack, bucket_points)
+    cross = _cross_matches(points, roots, radius, slack, bucket_points)
     cross = common.checkpointed(_agreeing(cross, agree, shift).select("u", "v"))
     return components(first.unionByName(cross)).select(F.col("node").alias("id"), "root")
 
