@@ -216,18 +216,18 @@ def category_bitmask(spark, d):
 
 @query(O.sssp(O.SUPPLY, 5, 5, 0))
 def sssp_single(spark, d):
-    found = search.sssp(W.edges_long(supply_edges(spark, d)), 0, 5, strategy="loop")
+    found = search.sssp(W.edges_wide(supply_edges(spark, d), 5), 0, 5, strategy="loop")
     return found.select(F.col("cri").cast("long").alias("cri"), "v", "d")
 
 
 @query(O.sssp(O.GRID, 3, 3, 0))
 def sssp_grid(spark, d):
-    found = search.sssp(W.edges_long(grid_edges(spark, d)), 0, 3)
+    found = search.sssp(W.edges_wide(grid_edges(spark, d), 3), 0, 3)
     return found.select(F.col("cri").cast("long").alias("cri"), "v", "d")
 
 
 def _mcsp(edges: DataFrame, k: int, n_pairs: int, strategy: str) -> DataFrame:
-    found = search.mcsp(W.edges_long(edges, k), workload.arithmetic_pairs(edges, n_pairs), k, strategy)
+    found = search.mcsp(W.edges_wide(edges, k), workload.arithmetic_pairs(edges, n_pairs), k, strategy)
     return found.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
 
 
@@ -256,7 +256,7 @@ def mcsp_multiplex(spark, d):
 def _overlay(spark, d, **how) -> DataFrame:
     e = grid_edges(spark, d)
     long, parts = W.edges_long(e), grid_parts(e)
-    found = B.boundary(e, parts)
+    found = checkpointed(B.boundary(e, parts))
     short = B.shortcuts(long, parts, found, 3)
     r = B.overlay_search(long, parts, short, found, workload.arithmetic_pairs(e, 6), 3, **how)
     return r.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
@@ -467,7 +467,7 @@ def _labels(spark, d, k: int = 3, n_pairs: int = 6):
     e = supply_edges(spark, d)
     od = workload.arithmetic_pairs(e, n_pairs)
     start = search.seeds(od, k)
-    return e, od, search.labels_kernel(W.edges_long(e, k), start.drop("side"))
+    return e, od, search.labels_kernel(W.edges_wide(e, k), start.drop("side"))
 
 
 _SETTLED = O.searches(O.SUPPLY, 5, 3, 6) + """, goal as (select d.q, d.c, d.dist dt from d join od on od.q = d.q and od.t = d.v),
@@ -554,7 +554,7 @@ def sp_path_bidirectional(spark, d):
     long = W.edges_long(grid_edges(spark, d), 2)
     ends = spark.createDataFrame([(x,) for x in (0, 7, 61, 139, 199)], "query_id long").join(workload.vertices(long).withColumnRenamed("v", "query_id"), "query_id", "left_semi")
     start = ends.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cri"), F.col("query_id").alias("v"), F.lit(0).cast("long").alias("d"))
-    labels = checkpointed(search.labels_kernel(long, start))
+    labels = search.labels_kernel(long, start)
     forward, backward = labels.where("query_id = 0").drop("query_id"), labels.where("query_id <> 0").withColumnRenamed("query_id", "t")
     return paths.shown(paths.bidirectional_paths(long, forward, backward, 0)).select(F.col("cri").cast("long").alias("cri"), "t", "path")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from critpath.functions.weights import edges_long
+from critpath.functions.weights import edges_long, edges_wide
 from critpath.operators import boundary, paths, prep, search
 from critpath.operators.kernels import FAR, Adjacency
 from critpath.sources.store import Store
@@ -145,3 +145,43 @@ def test_paths_from_both_ends(spark):
     assert set(got) == {t for t in (5, 9, 17) if t in labels[0]}
     for t, p in got.items():
         assert p[0] == 0 and p[-1] == t and sum(near[a, b] for a, b in zip(p, p[1:])) == labels[0][t]
+
+
+@pytest.mark.parametrize("strategy", ["one_pass", "multi_pass", "bidirectional", "bucketed"])
+def test_wide_edges_in_memory_and_by_the_loop(spark, strategy, monkeypatch):
+    rows = GRAPHS["random"] if strategy == "multi_pass" else GRAPHS["null layer"]
+    wide = edges_wide(frame(spark, rows), 2).cache()
+    ids = sorted({x for u, v, _ in rows for x in (u, v)})
+    od = [(0, ids[0], ids[-1]), (1, ids[-1], ids[1]), (2, ids[1], ids[1]), (3, ids[0], 99_999)]
+    want = {(q, c): 0 if s == t else plain(rows, s, c).get(t) for q, s, t in od for c in (0, 1)}
+    pairs = spark.createDataFrame(od, "query_id long, s long, t long")
+    run = search.STRATEGIES[strategy]
+    assert {(r.query_id, r.cri): r.cost for r in run(wide, pairs, 2, limit=0).collect()} == want
+    monkeypatch.setattr(search, "_relaxed", None)  # no round of the loop
+    assert {(r.query_id, r.cri): r.cost for r in run(wide, pairs, 2).collect()} == want
+
+
+def test_near_labels_come_first():
+    class Counted:
+        def __init__(self, a):
+            self.a, self.n = a, 0
+
+        def __getitem__(self, i):
+            self.n += len(i)
+            return self.a[i]
+
+    n = 2000  # a step of one hop weighs 10, of two hops 2: hop by hop a label is corrected n times
+    u = np.arange(0, 2 * n, 2)
+    near = Adjacency(np.concatenate([u, u, u + 1]), np.concatenate([u + 2, u + 1, u + 2]), np.repeat([10, 1, 1], n))
+    near.to = Counted(near.to)
+    best = near.distances(1, np.zeros(1, int), np.zeros(1, int), np.zeros(1, int))[0]
+    assert (best == np.arange(2 * n + 1)).all() and near.to.n < 10 * 3 * n
+
+
+def test_pairs_passed_by_a_third_vertex():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 30, 70):
+        best = np.where(rng.random((n, n)) < 0.2, FAR, rng.integers(1, 9, (n, n)))
+        np.fill_diagonal(best, FAR)
+        want = [[best[s, b] < FAR and any(best[s, x] + best[x, b] == best[s, b] for x in range(n) if x not in (s, b)) for b in range(n)] for s in range(n)]
+        assert (boundary._passed(best, np.arange(n)) == np.array(want)).all()
