@@ -50,6 +50,15 @@ class Store:
 
         return self.table("edges", build, by="pid")
 
+    def neighbours(self) -> DataFrame:
+        """pid, to, n: edges from each partition to each."""
+
+        def build() -> DataFrame:
+            ends = self.saved("partitions").select(F.col("v").alias("dst"), F.col("pid").cast("int").alias("to"))
+            return self.saved("edges").select("pid", "dst").join(ends, "dst").groupBy("pid", "to").agg(F.count("*").alias("n"))
+
+        return self.table("neighbours", build)
+
     def boundary(self, edges: DataFrame, partitions: DataFrame) -> DataFrame:
         return self.table("boundary", lambda: boundary.boundary(edges, partitions))
 

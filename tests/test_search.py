@@ -185,3 +185,16 @@ def test_pairs_passed_by_a_third_vertex():
         np.fill_diagonal(best, FAR)
         want = [[best[s, b] < FAR and any(best[s, x] + best[x, b] == best[s, b] for x in range(n) if x not in (s, b)) for b in range(n)] for s in range(n)]
         assert (boundary._passed(best, np.arange(n)) == np.array(want)).all()
+
+
+def test_partitions_are_read_ahead(spark, tmp_path, monkeypatch):
+    n = 60  # a path of 60 partitions took 60 rounds
+    e = frame(spark, [(i, i + 1, [1 + i % 3]) for i in range(n - 1)])
+    store = Store(spark, str(tmp_path / "g"), 1)
+    parts = store.table("partitions", lambda: e.select(F.col("src").alias("v")).distinct().select("v", F.col("v").cast("int").alias("pid"), F.col("v").alias("pos")))
+    store.edges(e, parts)
+    pairs = spark.createDataFrame([(0, 0, n - 1)], "query_id long, s long, t long")
+    want = sum(1 + i % 3 for i in range(n - 1))
+    assert [r.cost for r in search.stored(store, pairs, 1, max_rounds=8).collect()] == [want]
+    near = {i: {j: 1 for j in (i - 1, i + 1) if 0 <= j < n} for i in range(n)}
+    assert search._around({10}, near, 4, 1000) == set(range(6, 15)) and search._around({10}, near, 4, 6) == {9, 10, 11}
