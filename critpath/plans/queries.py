@@ -44,8 +44,8 @@ def supply_edges(spark: SparkSession, d: str) -> DataFrame:
     return prep.mirror(graphs.supply(spark, d))
 
 
-def grid_parts(edges: DataFrame, size: int = PART) -> DataFrame:
-    v = workload.vertices(edges)
+def grid_parts(edges: DataFrame, size: int = PART, own: DataFrame | None = None) -> DataFrame:
+    v = workload.vertices(edges) if own is None else own
     return v.select("v", F.expr(f"cast(v div {size} as int)").alias("pid"), F.col("v").alias("pos"))
 
 
@@ -226,15 +226,29 @@ def sssp_grid(spark, d):
     return found.select(F.col("cri").cast("long").alias("cri"), "v", "d")
 
 
+def _supply_near(spark: SparkSession, d: str, k: int) -> Callable[[DataFrame], DataFrame]:
+    """For search.within: whole components of the supply graph, whose line items are found by supplier."""
+    return lambda v: W.edges_wide(prep.mirror(graphs.supply(spark, d, v)), k)
+
+
 def _mcsp(edges: DataFrame, k: int, n_pairs: int, strategy: str) -> DataFrame:
-    found = search.mcsp(W.edges_wide(edges, k), workload.arithmetic_pairs(edges, n_pairs), k, strategy)
+    return _costs(search.mcsp(W.edges_wide(edges, k), workload.arithmetic_pairs(edges, n_pairs), k, strategy))
+
+
+def _supply_mcsp(spark: SparkSession, d: str, k: int, strategy: str) -> DataFrame:
+    edges = supply_edges(spark, d)
+    od = workload.arithmetic_pairs(edges, 6, graphs.supply_vertices(spark, d))
+    return _costs(search.mcsp(W.edges_wide(edges, k), od, k, strategy, _supply_near(spark, d, k)))
+
+
+def _costs(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
 
 
 for _strategy in ("one_pass", "multi_pass", "bidirectional", "bucketed", "kernel", "kernel_bidirectional"):
 
     def _search(spark, d, strategy=_strategy):
-        return _mcsp(supply_edges(spark, d), 3, 6, strategy)
+        return _supply_mcsp(spark, d, 3, strategy)
 
     _search.__name__ = f"mcsp_{_strategy}"
     query(O.mcsp(O.SUPPLY, 5, 3, 6))(_search)
@@ -242,7 +256,7 @@ for _strategy in ("one_pass", "multi_pass", "bidirectional", "bucketed", "kernel
 for _k in (2, 4, 5):
 
     def _search(spark, d, k=_k):
-        return _mcsp(supply_edges(spark, d), k, 6, "auto")
+        return _supply_mcsp(spark, d, k, "auto")
 
     _search.__name__ = f"mcsp_k{_k}"
     query(O.mcsp(O.SUPPLY, 5, _k, 6))(_search)
@@ -465,9 +479,10 @@ def od_coverage_sml(spark, d):
 
 def _labels(spark, d, k: int = 3, n_pairs: int = 6):
     e = supply_edges(spark, d)
-    od = workload.arithmetic_pairs(e, n_pairs)
-    start = search.seeds(od, k)
-    return e, od, search.labels_kernel(W.edges_wide(e, k), start.drop("side"))
+    own = graphs.supply_vertices(spark, d)
+    od = checkpointed(workload.arithmetic_pairs(e, n_pairs, own))
+    edges = search.within(W.edges_wide(e, k), od.select(F.col("s").alias("v")), _supply_near(spark, d, k))
+    return e, od, search.labels_kernel(edges, search.seeds(od, k).drop("side"))
 
 
 _SETTLED = O.searches(O.SUPPLY, 5, 3, 6) + """, goal as (select d.q, d.c, d.dist dt from d join od on od.q = d.q and od.t = d.v),
@@ -483,7 +498,7 @@ def visited_count(spark, d):
 @query(_SETTLED + ", ps as (select distinct q, c, v // 100 pid from st where v <> t) select q query_id, count(distinct pid) n_partitions, count(*) - count(distinct pid) n_shared from ps group by q")
 def partitions_touched(spark, d):
     e, od, labels = _labels(spark, d)
-    return metrics.partitions_touched(labels, od, grid_parts(e, 100))
+    return metrics.partitions_touched(labels, od, grid_parts(e, 100, graphs.supply_vertices(spark, d)))
 
 
 @query(_SETTLED + " select q query_id, count(distinct v) n_union from st group by q")
@@ -502,7 +517,7 @@ def union_visited(spark, d):
 )
 def avg_visited(spark, d):
     e, od, labels = _labels(spark, d)
-    io = metrics.query_io(labels, od, e, grid_parts(e, 100), 3)
+    io = metrics.query_io(labels, od, e, grid_parts(e, 100, graphs.supply_vertices(spark, d)), 3)
     return metrics.averages(io.withColumn("seconds", F.lit(0.0))).select("avg_blocks", "avg_visited", "avg_shared", "avg_partitions")
 
 
@@ -519,7 +534,7 @@ def avg_cost(spark, d):
 
 @query(f'with rr as ({O.mcsp(O.SUPPLY, 5, 5, 6)}) select cri, cast(sum(case when "cost" < 200 then "cost" else 0 end) // count(*) as bigint) avg_cost from rr group by cri')
 def avg_cost_compat(spark, d):
-    return metrics.average_cost_compat(_mcsp(supply_edges(spark, d), 5, 6, "kernel"), threshold=200)
+    return metrics.average_cost_compat(_supply_mcsp(spark, d, 5, "kernel"), threshold=200)
 
 
 @query(
