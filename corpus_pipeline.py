@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critpath.llm import common, decontaminate, langid, mixing, simhash, toxicity
-from critpath.runtime import checkpointed
+from critpath.runtime import checkpointed, give_back
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one without any lang to learn from.
     """
     kept = langid.predict(docs, langid.fit(docs, ~langid.held_out()), keep=tuple(COLUMNS)).where("not rejected")
+    give_back(spark)  # the training texts
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
@@ -29,7 +30,10 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     any other; repeated rows stay or go together. A score just at the threshold goes.
     """
     index = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    return toxicity.score(docs, index, keep=tuple(COLUMNS)).where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
+    scored = toxicity.score(docs, index, keep=tuple(COLUMNS))
+    del index
+    give_back(spark)  # the examples and the index, of which tasks have copies
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +43,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id comes after all others; ties go to the smaller hash, then lang, source and n_chars. Texts without words, null ones
     too, are one group. An empty table stays empty.
     """
+    give_back(spark)
     keyed = docs.withColumn("key", F.xxhash64("text"))
     groups = simhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    give_back(spark)  # plans and figures of the rounds
     rule = [F.col("doc_id").isNull().alias("unnamed"), *(F.col(c) for c in ("doc_id", "key", "lang", "source", "n_chars"))]
     # One row a text before any join, so that a text of very many copies is one row there.
     texts = keyed.select("key", F.struct(*rule).alias("row")).groupBy("key").agg(F.min("row").alias("row"))
