@@ -468,12 +468,13 @@ cls as (select s, v, qtype from near where qtype is not null union all
 
 @query(_COVER + " select s, qtype, min(v) t, count(*) n from cls group by s, qtype")
 def od_coverage_sml(spark, d):
-    e = grid_edges(spark, d)
-    long = W.edges_long(e, 1)
-    v = workload.vertices(e)
+    e = checkpointed(W.edges_wide(grid_edges(spark, d), 1))
+    degree = checkpointed(prep.degrees(e))
+    v = degree.select("v")
     start = v.where("v in (0, 77, 123)").select(F.col("v").alias("query_id"), F.lit(0).alias("cri"), "v", F.lit(0).cast("long").alias("d"))
-    labels = search.labels_kernel(long, start).select(F.col("query_id").alias("s"), "v", "d")
-    c = workload.coverage_classes(labels, e, v)
+    enough = -(-(degree.agg(F.sum("degree")).first()[0] or 0) * workload.MEDIUM_PERCENT // 100)  # no label beyond decides a class
+    labels = search.labels_kernel(e, start, enough=enough).select(F.col("query_id").alias("s"), "v", "d")
+    c = workload.coverage_classes(labels, e, v, degree=degree)
     return c.groupBy("s", "qtype").agg(F.min("v").alias("t"), F.count("*").alias("n"))
 
 
