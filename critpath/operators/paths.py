@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critpath.runtime import checkpointed
 
+#: Labels up to which their vertices are sent to all tasks, and a path is walked in one.
+PATH_ROWS = 1_000_000
+
 
 def predecessors(long: DataFrame, labels: DataFrame) -> DataFrame:
     """cri, v, pred: of the neighbours on a shortest path to v, the one with the smallest id."""
@@ -42,14 +46,33 @@ def meetings(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def bidirectional_paths(long: DataFrame, forward: DataFrame, backward: DataFrame, source: int) -> DataFrame:
-    """cri, t, step, v: paths from the source to each target t, put together at the vertex where the two searches meet."""
+    """cri, t, step, v: paths from the source to each target t, put together at the vertex where the two searches meet.
+
+    Of forward(cri, v, d) and backward(t, cri, v, d) no more is needed than the labels up to each target's distance. If they are few, only edges
+    between their vertices are looked at, and the walks of a criterion and target run in one task; else in a round a step.
+    """
     met = checkpointed(meetings(forward, backward).select("cri", "t", "v"))
+    few = forward.count() + backward.count() <= PATH_ROWS
+    if few:
+        near = F.broadcast(forward.select("v").union(backward.select("v")).distinct())
+        long = checkpointed(long.join(near.withColumnRenamed("v", "src"), "src", "left_semi").join(near.withColumnRenamed("v", "dst"), "dst", "left_semi"))
     first = checkpointed(predecessors(long, forward))
     tight = long.join(backward.select("t", "cri", F.col("v").alias("src"), F.col("d").alias("da")), ["cri", "src"])
     tight = tight.join(backward.select("t", "cri", F.col("v").alias("dst"), F.col("d").alias("db")), ["t", "cri", "dst"]).where("da + w = db")
     last = checkpointed(tight.groupBy("t", "cri", F.col("dst").alias("v")).agg(F.min("src").alias("pred")))
 
+    def walked_in_tasks(ends: pd.DataFrame, pred: pd.DataFrame) -> pd.DataFrame:
+        back, out = dict(zip(pred.v, pred.pred)), []
+        for c, t, v, end in zip(ends.cri, ends.t, ends.v, ends.end):
+            out.append((c, t, v, n := 0))
+            while v != end and v in back:
+                out.append((c, t, v := back[v], n := n + 1))
+        return pd.DataFrame(out, columns=["cri", "t", "v", "back"])
+
     def walk(pred: DataFrame, on: list[str], end) -> DataFrame:
+        if few:
+            by = on[:-1]
+            return met.withColumn("end", end.cast("long")).groupBy(*by).cogroup(pred.groupBy(*by)).applyInPandas(walked_in_tasks, f"cri {dict(met.dtypes)['cri']}, t long, v long, back int")
         at = met.select("cri", "t", "v", F.lit(0).alias("back"))
         walked = at
         while not (at := checkpointed(at.where(F.col("v") != end).join(pred, on).select("cri", "t", F.col("pred").alias("v"), (F.col("back") + 1).alias("back")))).isEmpty():

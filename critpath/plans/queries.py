@@ -567,11 +567,15 @@ def sp_path(spark, d):
     select cast(c as bigint) cri, t, string_agg(cast(v + 1 as varchar), '-->' order by k) path from (select c, t, v, -back k from w1 union all select c, t, v, ahead from w2 where ahead > 0) group by c, t"""
 )
 def sp_path_bidirectional(spark, d):
-    long = W.edges_long(grid_edges(spark, d), 2)
-    ends = spark.createDataFrame([(x,) for x in (0, 7, 61, 139, 199)], "query_id long").join(workload.vertices(long).withColumnRenamed("v", "query_id"), "query_id", "left_semi")
-    start = ends.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cri"), F.col("query_id").alias("v"), F.lit(0).cast("long").alias("d"))
-    labels = search.labels_kernel(long, start)
-    forward, backward = labels.where("query_id = 0").drop("query_id"), labels.where("query_id <> 0").withColumnRenamed("query_id", "t")
+    edges = checkpointed(W.edges_wide(grid_edges(spark, d), 2))
+    ends = [r.src for r in edges.select("src").where("src in (0, 7, 61, 139, 199)").distinct().collect()]
+    pairs = [(2 * t + k, *((0, t) if k == 0 else (t, 0))) for t in ends if t and 0 in ends for k in (0, 1)]  # query ids: even forward, odd back
+    start = search.seeds(spark.createDataFrame(pairs, "query_id long, s long, t long"), 2).drop("side")
+    start = start.join(spark.createDataFrame(pairs, "query_id long, s long, t long").drop("s"), "query_id")
+    labels = search.labels_kernel(edges, start, targets=True, nearer=True)
+    forward = checkpointed(labels.where("query_id % 2 = 0").select("cri", "v", "d").distinct())
+    backward = labels.where("query_id % 2 = 1").select(F.expr("query_id div 2").alias("t"), "cri", "v", "d")
+    long = W.stacked(edges)
     return paths.shown(paths.bidirectional_paths(long, forward, backward, 0)).select(F.col("cri").cast("long").alias("cri"), "t", "path")
 
 

@@ -1,10 +1,11 @@
 """Searches that end where their results are decided."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from critpath.functions.weights import edges_wide
-from critpath.operators import prep, search, workload
+from critpath.functions.weights import edges_wide, stacked
+from critpath.operators import paths, prep, search, workload
 from critpath.operators.kernels import FAR, Adjacency
 
 
@@ -39,3 +40,28 @@ def test_coverage_classes_need_no_labels_beyond(spark):
         classes = workload.coverage_classes(labels, e, degree.select("v"), degree=degree if enough else None)
         found.append((labels.count(), sorted(map(tuple, classes.select("s", "v", "qtype").collect()))))
     assert found[0][1] == found[1][1] and found[1][0] < found[0][0] == 12_000
+
+
+@pytest.mark.parametrize("limit", [search.KERNEL_ROWS, 0])
+def test_labels_nearer_than_the_target(spark, limit):
+    e = edges_wide(prep.mirror(spark.createDataFrame([(u, v, [w]) for u, v, w in strip(12, 3, 3)] + [(90, 91, [1])], "u long, v long, weights array<int>")), 1)
+    start = spark.createDataFrame([(0, 0, 0, 0, 5), (1, 0, 5, 0, 0), (2, 0, 5, 0, 90), (3, 0, 7, 0, 7)], "query_id long, cri int, v long, d long, t long")
+    whole = {(r.query_id, r.v): r.d for r in search.labels_kernel(e, start).collect()}
+    goal = {q: whole[q, t] for q, t in ((0, 5), (1, 0), (3, 7))}
+    want = {(q, v): d for (q, v), d in whole.items() if q in goal and (d < goal[q] or (q, v) in {(0, 5), (1, 0), (3, 7)})}
+    assert {(r.query_id, r.v): r.d for r in search.labels_kernel(e, start, limit, targets=True, nearer=True).collect()} == want
+    assert len(want) < sum(q in goal for q, _ in whole)
+
+
+@pytest.mark.parametrize("rows", [paths.PATH_ROWS, 0])
+def test_paths_from_both_ends_need_no_labels_beyond_the_target(spark, monkeypatch, rows):
+    monkeypatch.setattr(paths, "PATH_ROWS", rows)
+    e = edges_wide(prep.mirror(spark.createDataFrame([(u, v, [w % 3 + 1]) for u, v, w in strip(12, 3, 4)], "u long, v long, weights array<int>")), 1)
+    found = []
+    for near in (False, True):
+        start = spark.createDataFrame([(q, 0, s, 0, t) for q, s, t in ((0, 0, 7), (2, 0, 4), (7, 7, 0), (4, 4, 0))], "query_id long, cri int, v long, d long, t long")
+        labels = search.labels_kernel(e, start, targets=near, nearer=near)
+        forward = labels.where("query_id in (0, 2)").select("cri", "v", "d").distinct()
+        backward = labels.where("query_id in (4, 7)").withColumnRenamed("query_id", "t")
+        found.append((labels.count(), sorted(map(tuple, paths.shown(paths.bidirectional_paths(stacked(e), forward, backward, 0)).collect()))))
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 2 and found[1][0] < found[0][0] == 48
