@@ -269,10 +269,11 @@ def mcsp_multiplex(spark, d):
 
 def _overlay(spark, d, **how) -> DataFrame:
     e = grid_edges(spark, d)
-    long, parts = W.edges_long(e), grid_parts(e)
+    parts = checkpointed(grid_parts(e))
+    e = checkpointed(B.with_pids(W.edges_wide(e, 3), parts))
     found = checkpointed(B.boundary(e, parts))
-    short = B.shortcuts(long, parts, found, 3)
-    r = B.overlay_search(long, parts, short, found, workload.arithmetic_pairs(e, 6), 3, **how)
+    short = B.shortcuts(e, parts, found, 3)
+    r = B.overlay_search(e, parts, short, found, workload.arithmetic_pairs(e, 6, parts.select("v")), 3, **how)
     return r.select("query_id", F.col("cri").cast("long").alias("cri"), "cost")
 
 

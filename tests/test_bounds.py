@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from critpath.functions.weights import edges_wide, stacked
-from critpath.operators import paths, prep, search, workload
+from critpath.operators import boundary, paths, prep, search, workload
 from critpath.operators.kernels import FAR, Adjacency
 
 
@@ -65,3 +65,34 @@ def test_paths_from_both_ends_need_no_labels_beyond_the_target(spark, monkeypatc
         backward = labels.where("query_id in (4, 7)").withColumnRenamed("query_id", "t")
         found.append((labels.count(), sorted(map(tuple, paths.shown(paths.bidirectional_paths(stacked(e), forward, backward, 0)).collect()))))
     assert found[0][1] == found[1][1] and len(found[0][1]) == 2 and found[1][0] < found[0][0] == 48
+
+
+@pytest.mark.parametrize("pruned", [False, True])
+def test_small_partitions_are_searched_together(pruned, monkeypatch):
+    """Many partitions at once, of mixed sizes, as one after the other by searches from their starts."""
+    rng = np.random.default_rng(5)
+    pid, near, starts = np.arange(40) * 3, {}, []
+    size = rng.integers(1, 14, 40)
+    for c in (0, 2):
+        rows = [(pid[p], 100 * p + int(a), 100 * p + int(b), int(rng.integers(1, 6))) for p in range(40) for a, b in rng.integers(0, size[p], (2 * size[p], 2)) if a != b]
+        near[c] = tuple(np.array(x) for x in zip(*(rows + [(p, b, a, w) for p, a, b, w in rows])))
+    starts = tuple(np.array(x) for x in zip(*((pid[p], 100 * p + a) for p in range(40) for a in range(size[p]) if a % 3)))
+    rows = lambda: sorted(x for part in boundary._searched(pid, near, starts, starts, pruned) for x in zip(*(c.tolist() for c in part)))
+    calls = []
+    tables = boundary._tables
+    monkeypatch.setattr(boundary, "_tables", lambda *a: calls.append(1) or tables(*a))
+    got = rows()
+    assert len(calls) == 1 and len(got) > 500
+    monkeypatch.setattr(boundary, "SMALL", 0)
+    assert rows() == got and len(calls) == 1
+
+
+def test_a_search_ends_at_the_goal_beyond_its_ends():
+    rows = strip(400, 4, 6)
+    u, v, w = (np.array(x) for x in zip(*rows))
+    near = Adjacency(np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([w, w]))
+    ends = np.array([0, 0, 1]), np.array([40, 44, 320]), np.array([9, 1, 5])
+    args = 2, np.arange(2), np.array([0, 399]), np.zeros(2, np.int64)
+    whole, some = near.distances(*args), near.distances(*args, ends=ends)
+    cost = lambda best: [min(best[0, 40] + 9, best[0, 44] + 1), best[1, 320] + 5]
+    assert cost(whole) == cost(some) and (some < FAR).sum() < (whole < FAR).sum()
