@@ -18,6 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows stay or go together; of equally likely languages the first in order is taken. An empty table stays empty; so does
     one without any lang to learn from.
     """
+    give_back(spark)
     kept = langid.predict(docs, langid.fit(docs, ~langid.held_out()), keep=tuple(COLUMNS)).where("not rejected")
     give_back(spark)  # the training texts
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
@@ -29,6 +30,7 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labels every score is 0 and all stay. A null or empty text has the labels' mean score and a null doc_id is scored like
     any other; repeated rows stay or go together. A score just at the threshold goes.
     """
+    give_back(spark)
     index = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), ~toxicity.held_out())
     scored = toxicity.score(docs, index, keep=tuple(COLUMNS))
     del index
@@ -64,6 +66,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text holds none and stays, as does everything if the benchmark is empty; rows are judged one by one, whatever
     their ids.
     """
+    give_back(spark)
     found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS))
     return found.where("n_hit = 0").select(COLUMNS)
 
@@ -74,6 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text without words has none to take. The null source is one of its own; repeated rows count as often as they stand. An
     empty table gives no rows.
     """
+    give_back(spark)
     return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 

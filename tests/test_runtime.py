@@ -20,3 +20,19 @@ def test_near_dedup_gives_back_before_and_after_its_rounds(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "give_back", calls.append)
     docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (2, "a b c d", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1] and calls == [spark, spark]
+
+
+def test_every_stage_gives_back_before_it_starts(spark, monkeypatch):
+    class Began(Exception):
+        pass
+
+    def began(_):
+        raise Began
+
+    monkeypatch.setattr(corpus_pipeline, "give_back", began)
+    for name, stage in corpus_pipeline.STAGES:
+        try:
+            stage(spark, None, "")  # no documents to work on: anything before is an error of another kind
+        except Began:
+            continue
+        raise AssertionError(name)
