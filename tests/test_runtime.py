@@ -36,3 +36,12 @@ def test_every_stage_gives_back_before_it_starts(spark, monkeypatch):
         except Began:
             continue
         raise AssertionError(name)
+
+
+def test_rounds_keep_no_size_that_no_table_has(spark):
+    state = spark.range(3).selectExpr("id", "if(id = 1, null, id) as x")
+    for _ in range(8):  # a join's estimate is the product of its sides'
+        state = runtime.checkpointed(state.join(state.select("id"), "id"))
+    assert int(str(state._jdf.queryExecution().analyzed().stats().sizeInBytes())) < 1 << 63
+    assert sorted(map(tuple, state.collect())) == [(0, 0), (1, None), (2, 2)]
+    assert [(f.name, f.dataType.typeName(), f.nullable) for f in state.schema] == [("id", "long", False), ("x", "long", True)]
