@@ -78,3 +78,12 @@ def test_bayes_against_plain_counts(spark):
 
 def test_no_rows(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_memory_is_given_back_before_pages_are_read(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(U, "give_back", calls.append)
+    monkeypatch.setattr(U.common, "table", lambda *_: calls.append("read"))
+    monkeypatch.setattr(U, "judge", lambda pages: pages)
+    U.op2_urls(spark, "")
+    assert calls == [spark, "read"]
