@@ -11,7 +11,7 @@ from critpath.functions import weights as W
 from critpath.operators import boundary as B
 from critpath.operators import cluster, metrics, paths, prep, search, workload
 from critpath.plans import oracles as O
-from critpath.runtime import checkpointed, shared_folder
+from critpath.runtime import checkpointed, give_back, shared_folder
 from critpath.sources import graphs, writers
 from critpath.sources.store import Store
 
@@ -231,8 +231,13 @@ def _supply_near(spark: SparkSession, d: str, k: int) -> Callable[[DataFrame], D
     return lambda v: W.edges_wide(prep.mirror(graphs.supply(spark, d, v)), k)
 
 
-def _mcsp(edges: DataFrame, k: int, n_pairs: int, strategy: str) -> DataFrame:
-    return _costs(search.mcsp(W.edges_wide(edges, k), workload.arithmetic_pairs(edges, n_pairs), k, strategy))
+def _multiplex_mcsp(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    give_back(spark)  # what earlier queries of the session left in the driver's heap counts as this one's memory
+    layered = graphs.event_layers(spark, d)
+    od = checkpointed(workload.arithmetic_pairs(layered, 6, graphs.multiplex_vertices(layered)))
+    give_back(spark)  # plans and figures of the ranking
+    edges = prep.mirror(graphs.multiplex(spark, d, layered))
+    return _costs(search.mcsp(W.edges_wide(edges, 5), od, 5, strategy))
 
 
 def _supply_mcsp(spark: SparkSession, d: str, k: int, strategy: str) -> DataFrame:
@@ -264,7 +269,7 @@ for _k in (2, 4, 5):
 
 @query(O.mcsp(O.MULTIPLEX, 5, 5, 6))
 def mcsp_multiplex(spark, d):
-    return _mcsp(prep.mirror(graphs.multiplex(spark, d)), 5, 6, "one_pass")
+    return _multiplex_mcsp(spark, d, "one_pass")
 
 
 def _overlay(spark, d, **how) -> DataFrame:
@@ -531,7 +536,7 @@ def io_blocks(spark, d):
 
 @query(f'with rr as ({O.mcsp(O.MULTIPLEX, 5, 5, 6)}) select cri, count("cost") n_reached, avg("cost") avg_cost from rr group by cri')
 def avg_cost(spark, d):
-    return metrics.average_cost(_mcsp(prep.mirror(graphs.multiplex(spark, d)), 5, 6, "kernel"))
+    return metrics.average_cost(_multiplex_mcsp(spark, d, "kernel"))
 
 
 @query(f'with rr as ({O.mcsp(O.SUPPLY, 5, 5, 6)}) select cri, cast(sum(case when "cost" < 200 then "cost" else 0 end) // count(*) as bigint) avg_cost from rr group by cri')

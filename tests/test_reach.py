@@ -47,3 +47,20 @@ def test_line_items_of_some_suppliers(spark):
 def test_supply_vertices(spark):
     want = workload.vertices(queries.supply_edges(spark, SF))
     assert sorted(r.v for r in graphs.supply_vertices(spark, SF).collect()) == sorted(r.v for r in want.collect())
+
+
+def test_multiplex_vertices(spark):
+    rows = [("view", 1, 2, 3), ("view", 1, 2, 0), ("view", 3, 4, 0), ("error", 3, 4, 5), ("click", 5, 6, -1), ("view", 7, 7, 2), ("other", 8, 9, 1), (None, 9, 10, 1)]
+    for layered in (spark.createDataFrame(rows, "layer string, u long, v long, w int"), graphs.event_layers(spark, SF)):
+        want = workload.vertices(prep.mirror(graphs.multiplex(spark, SF, layered)))
+        assert sorted(r.v for r in graphs.multiplex_vertices(layered).collect()) == sorted(r.v for r in want.collect()) != []
+
+
+def test_multiplex_pairs_need_no_second_graph(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(queries, "give_back", lambda _: calls.append("back"))
+    multiplex = graphs.multiplex
+    monkeypatch.setattr(graphs, "multiplex", lambda *a: calls.append("graph") or multiplex(*a))
+    monkeypatch.setattr(search, "mcsp", lambda edges, od, k, strategy: calls.append(od.count()) or search.one_pass(edges, od, k))
+    assert queries.mcsp_multiplex(spark, SF).count() == 5 * calls[-1]
+    assert calls == ["back", "back", "graph", calls[-1]]
